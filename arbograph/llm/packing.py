@@ -16,6 +16,7 @@ columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -24,6 +25,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,11 @@ END_ID = 0
 #: Rows in a shard at most on average: what one task holds while it packs.
 SHARD_ROWS = 8192
 #: Words whose ids a worker looks up before it starts a new table; the last full one is kept beside it.
-CACHE_WORDS = 250_000
-#: Characters that are split into words at a time.
-CHUNK_CHARS = 2_000_000
+CACHE_WORDS = 400_000
+#: Words that are encoded as one text.
+RUN_WORDS = 200
+#: Bytes of text that are encoded at a time.
+CHUNK_BYTES = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -45,15 +49,19 @@ class WordTokenizer:
     """Ids of whole texts by a word-level BPE file of ``tokenizers``.
 
     The file's rules split a text into words that are encoded independently,
-    so the ids of a word are looked up once.  That holds for characters below
-    U+0300, where normal form C changes nothing; other texts, and texts that
-    may hold a special token, go to the library as a whole.
+    so the ids of a word are looked up once.  That holds for characters below U+0300, where normal form
+    C changes nothing; other texts, and texts that may hold a special token,
+    go to the library as a whole.
     """
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_str(spec)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         of = lambda kind: "".join(f"\\u{c:04x}" for c in range(0x300) if unicodedata.category(chr(c))[0] == kind)
         letters, digits = of("L"), of("N")
         spaces = "\\x09-\\x0d\\x20\\x85\\xa0"
@@ -62,36 +70,59 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, missing: list[str]) -> None:
+        """Enter words not seen yet: many are encoded as one text, and its ids cut after those that end a word."""
+        runs = [missing[k : k + RUN_WORDS] for k in range(0, len(missing), RUN_WORDS)]
+        for words, found in zip(runs, self.library.encode_batch_fast([" ".join(x) for x in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            data = ids.tobytes()
+            if len(cuts) == len(words) + 1 and cuts[-1] == len(ids):
+                for word, start, end in zip(words, cuts, cuts[1:], strict=False):
+                    self.cache[word] = data[4 * start : 4 * end]
+            else:
+                for word in words:
+                    self.cache[word] = self.whole(word).tobytes()
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        whole = [bool(self.other.search(t)) for t in texts]
-        found = [[] if w else self.words.findall(t.lower()) for t, w in zip(texts, whole, strict=True)]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            self.older, self.cache = cache, {}
-            cache = self.cache
-        missing = set().union(*found) - cache.keys()
-        for word in missing & self.older.keys():
-            cache[word] = self.older[word]
-        missing = list(missing - self.older.keys())
+        found = [None if self.other.search(t) else self.words.findall(t.lower()) for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        missing = set().union(*(x for x in found if x)) - cache.keys()
+        for x in missing & older.keys():
+            cache[x] = older[x]
+        missing -= older.keys()
         if missing:
-            for word, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                cache[word] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(cache.__getitem__, words)) for words in found]
-        for k, w in enumerate(whole):
-            if w:
-                out[k] = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-
-def chunks(texts: Sequence[str], chars: int) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about ``chars`` characters."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= chars:
+            self.learn(list(missing))
+        get = cache.__getitem__
+        return [self.whole(t).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, found, strict=True)]
+
+
+_LOADED: dict[int, WordTokenizer] = {}
+
+
+def loaded(spec: str) -> WordTokenizer:
+    """The tokenizer that this worker keeps, with what it has looked up."""
+    key = zlib.crc32(spec.encode())
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = WordTokenizer(spec)
+    return _LOADED[key]
+
+
+def chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``size`` bytes."""
+    start = total = 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        total += n or 0
+        if total >= size:
             yield start, k + 1
-            start, size = k + 1, 0
+            start, total = k + 1, 0
     if start < len(texts):
         yield start, len(texts)
 
@@ -106,12 +137,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(spec.value)
+        tokenizer = loaded(spec.value)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for low, high in chunks(texts, CHUNK_CHARS):
+            for low, high in chunks(batch.column(1), CHUNK_BYTES):
+                ids, texts = (c.slice(low, high - low).to_pylist() for c in batch.columns)
                 rows: list[tuple] = []
-                for doc_id, data in zip(ids[low:high], tokenizer.encode(texts[low:high]), strict=True):
+                for doc_id, data in zip(ids, tokenizer.encode([t or "" for t in texts]), strict=True):
                     data += end
                     size = len(data) // 4
                     for piece, start in enumerate(range(0, size, capacity)):
