@@ -67,6 +67,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _nth(k: int, step: int = 0x9E3779B97F4A7C15) -> np.uint64:
+    return _U(k * step & 0xFFFFFFFFFFFFFFFF)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Uniform numbers in (0, 1]."""
     return ((x >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53
@@ -129,7 +133,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_text
             if not reach.any():
                 break
             of, key, below = of[reach], key[reach], below[reach]
-            _points(out, of, _mix(key + _U(level) * _U(0xD1B54A32D192ED03)), below, low, high, horizon, size)
+            _points(out, of, _mix(key + _nth(level, 0xD1B54A32D192ED03)), below, low, high, horizon, size)
             low, level = high, level + 1
         todo = todo[np.isinf(out[todo]).any(axis=1)]
         horizon[todo] *= 2.0
@@ -141,12 +145,12 @@ def _points(out, text, seed, weight, low, high, horizon, size) -> None:
     """Enter the points of one range of weights, shingle by shingle in order of time, up to each text's horizon."""
     time, step = np.zeros(len(text)), 0
     while len(text):
-        draw = _mix(seed + _U(3 * step + 1) * _U(0x9E3779B97F4A7C15))
+        draw = _mix(seed + _nth(3 * step + 1))
         time = time - np.log(_unit(draw)) / (size * (high - low))
         early = time <= horizon[text]
         text, seed, weight, time = text[early], seed[early], weight[early], time[early]
-        component = (_mix(seed + _U(3 * step + 2) * _U(0x9E3779B97F4A7C15)) % _U(size)).astype(np.int64)
-        at = low + (high - low) * _unit(_mix(seed + _U(3 * step + 3) * _U(0x9E3779B97F4A7C15)))
+        component = (_mix(seed + _nth(3 * step + 2)) % _U(size)).astype(np.int64)
+        at = low + (high - low) * _unit(_mix(seed + _nth(3 * step + 3)))
         counts = at <= weight
         np.minimum.at(out, (text[counts], component[counts]), time[counts])
         step += 1

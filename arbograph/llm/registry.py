@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arbograph.llm import packing
+from arbograph.llm import bagminhash, packing
 from arbograph.session import read_table
 
 
@@ -14,8 +14,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_bagminhash_near_duplicates": op10_bagminhash_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
