@@ -5,8 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arbograph.llm import bagminhash, packing
-from arbograph.session import read_table
+from arbograph.llm import bagminhash, packing, quality
+from arbograph.session import materialise, read_table
+
+
+def op4_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = materialise(quality.counts(docs).drop("text"), "counts")
+    judged = quality.judge(counted, quality.fit(counted))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +26,11 @@ def op10_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES = {
+    "op4_weak_supervision_quality": op4_weak_supervision_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_bagminhash_near_duplicates": op10_bagminhash_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_weak_supervision_quality": quality.oracle_sql(),
+}
