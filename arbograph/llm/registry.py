@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arbograph.llm import bagminhash, packing, quality
+from arbograph.llm import bagminhash, mixing, packing, quality, toxicity
 from arbograph.session import materialise, read_table
 
 
+def op3_pattern_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = materialise(quality.counts(docs).drop("text"), "counts")
@@ -21,16 +25,24 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.schedule(docs).select("doc_id", "source", "block", "slot")
+
+
 def op10_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_pattern_grammar_toxicity": op3_pattern_grammar_toxicity,
     "op4_weak_supervision_quality": op4_weak_supervision_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_pfair_mixing": op9_pfair_mixing,
     "op10_bagminhash_near_duplicates": op10_bagminhash_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
     "op4_weak_supervision_quality": quality.oracle_sql(),
+    "op9_pfair_mixing": mixing.ORACLE_SQL,
 }
