@@ -397,7 +397,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, with all its columns; rows without a doc_id stay."""
+    """One document of each class, with all its columns; rows without a doc_id stay, as do all texts of a repeated one."""
     kept = near_duplicate_classes(docs, threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return chosen.select(docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbograph.session import materialise
+
 BLOCK_CHARS = 16_384
 #: Slots of a period, before each source's quanta are rounded.
 PERIOD = 1_000
@@ -113,10 +115,15 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
 
 
 def in_order(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:
-    """``docs`` in the order of the mixture: files, and rows within them, go by slot."""
-    planned = schedule(docs, **how)
+    """``docs`` in the order of the mixture: files, and rows within them, go by slot.
+
+    Rows that repeat a doc_id in a source go to the first of their slots.
+    """
+    slots = materialise(schedule(docs.select("doc_id", "source", "text"), **how).select("doc_id", "source", "slot"), "slots")
+    slots = slots.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.min("slot").alias("_slot"))
+    placed = docs.join(slots, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = planned.repartitionByRange(n, "slot").sortWithinPartitions("slot", "doc_id")
+    parted = placed.repartitionByRange(n, "_slot").sortWithinPartitions("_slot", "doc_id")
     return parted.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -294,6 +294,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 def keep_clean(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` whose texts score below one half, with their columns."""
     model = fit(docs, labels, sample_rows)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
-    kept = strengths(whole, model, ["_row"]).filter(score(F.col("strength"), model) < 0.5)
-    return kept.select("_row.*")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.words, model.stems)
+        for batch in batches:
+            found = np.array([scorer.text(t.as_py())[0] for t in batch.column(at)])
+            yield batch.filter(pa.array(model.bias + model.slope * np.log1p(found) < 0))
+
+    return docs.mapInArrow(run, docs.schema)
