@@ -1,6 +1,8 @@
-"""All queries over the graph by name, with their SQL."""
+"""All queries of the library by name, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from arbograph.plans import graph_queries
+
+QUERIES: dict = {**graph_queries.QUERIES}
+ORACLES: dict[str, str] = {**graph_queries.ORACLES}
