@@ -421,10 +421,10 @@ def node_connections(g):
     return views.node_connections(g)
 
 
-@query(f"""WITH hits AS (SELECT id FROM ({_NODES}) t WHERE lower(label) LIKE '%urgent%')
+@query(f"""WITH hits AS (SELECT id FROM ({_NODES}) t WHERE lower(label) LIKE '%or%')
 SELECT source, target, type FROM ({_EDGES}) e WHERE source IN (SELECT id FROM hits) AND target IN (SELECT id FROM hits)""")
 def search_subgraph(g):
-    return views.search_subgraph(g, "Urgent")
+    return views.search_subgraph(g, "OR")
 
 
 @query(f"""WITH ids AS (SELECT concat('sec_', CAST(section_id AS VARCHAR)) AS id FROM g_turn_sections
