@@ -13,12 +13,36 @@ from arbograph.operators.reads import sections_by_ids
 STEP = ("question_id", "entity_ord", "row_ord", "node_type", "node_id", "node_label", "edge_label", "edge_direction", "reason")
 
 
+def _gram(text: Column, n: int):
+    return lambda i: F.substring(text, i, F.lit(n))
+
+
+def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct runs of characters of the given lengths."""
+    parts = [F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), _gram(text, n)) for n in sizes]
+    return F.array_distinct(F.flatten(F.array(*(F.when(F.length(text) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(sizes, parts, strict=True)))))
+
+
+def containing(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, entity_id, entity_name) for all names that contain a key; both in lower case.
+
+    A key is met through its rarest run of three characters, by equality, so
+    only names that share it are compared.
+    """
+    runs = names.select("entity_id", "low", F.explode(_grams(F.col("low"), (1, 2, 3))).alias("gram"))
+    counted = runs.groupBy("gram").agg(F.count("*").alias("n"))
+    own = keys.filter("key <> ''").select("key", F.explode(F.when(F.length("key") >= 3, _grams(F.col("key"), (3,))).otherwise(F.array("key"))).alias("gram"))
+    rarest = own.join(counted, "gram").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rarest.join(runs, "gram").filter(F.contains("low", "key")).select("key", "entity_id").distinct()
+
+
 def resolve_entity_names(g: DocumentGraph, names: DataFrame) -> DataFrame:
     """For each (question_id, ord, name) the entity with the smallest id whose name contains it, ignoring case."""
-    distinct = names.select(F.lower("name").alias("key")).distinct()
+    keyed = names.withColumn("key", F.lower("name"))
     e = g["entities"].select("entity_id", F.col("name").alias("entity_name"), "entity_type")
-    hits = e.join(distinct, F.contains(F.lower("entity_name"), F.col("key"))).groupBy("key").agg(F.min_by(F.struct("entity_id", "entity_name", "entity_type"), "entity_id").alias("e"))
-    return names.withColumn("key", F.lower("name")).join(hits, "key").select("question_id", "ord", "name", "e.entity_id", "e.entity_name", "e.entity_type")
+    hits = containing(e.select("entity_id", F.lower("entity_name").alias("low")), keyed.select("key").distinct())
+    first = hits.groupBy("key").agg(F.min("entity_id").alias("entity_id")).join(e, "entity_id")
+    return keyed.join(first, "key").select("question_id", "ord", "name", "entity_id", "entity_name", "entity_type")
 
 
 def resolve_relationship_endpoints(entities: DataFrame, relations: DataFrame) -> DataFrame:

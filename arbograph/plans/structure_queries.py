@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbograph.operators import markdown as md
 from arbograph.operators import structure, vectors
-from arbograph.session import read_table
+from arbograph.session import materialise, read_table
 from arbograph.sources import documents as source
 
 QUERIES: dict = {}
@@ -209,7 +209,7 @@ def page_groups(d):
 def flatten_tree(d):
     """Trees written as nested JSON and read back."""
     nodes = structure.node_ids(d.tree).withColumns({"start_index": F.col("ord"), "end_index": F.col("ord")})
-    return structure.flatten_tree(structure.nested_json(nodes)).select("doc_id", "depth", "title", "node_id", "ord")
+    return structure.flatten_tree(materialise(structure.nested_json(nodes), "trees")).select("doc_id", "depth", "title", "node_id", "ord")
 
 
 _LINES = """lines AS (
