@@ -54,7 +54,7 @@ def tagged_pages(text: Column) -> Column:
 def repaired_json(answer: Column) -> Column:
     """The JSON in a model's answer: out of its fence, with null for None and without trailing commas; null if it is none."""
     fenced = F.regexp_extract(answer, r"(?s)```json\s*(.*)```", 1)
-    body = F.trim(F.when(fenced != "", fenced).otherwise(answer))
+    body = F.regexp_replace(F.when(fenced != "", fenced).otherwise(answer), r"^\s+|\s+$", "")
     body = F.regexp_replace(F.regexp_replace(body, r"\bNone\b", "null"), r",\s*([\]}])", "$1")
     parsed = F.try_parse_json(body)
     return F.when(parsed.isNotNull(), body).otherwise(F.when(F.try_parse_json(F.regexp_replace(body, r"\s+", " ")).isNotNull(), F.regexp_replace(body, r"\s+", " ")))

@@ -16,18 +16,19 @@ from arbograph.schema import SCHEMAS
 def allocate_ids(existing: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``rows`` with ids that follow the largest of ``existing``, in ``order``.
 
-    New rows are ranked within ranges of their order and the ranges' sizes
-    added up, so no single task sees all of them.
+    New rows are ranked within parts by a hash of their order and the parts'
+    sizes added up, so no single task sees all of them.  The largest id is read
+    at once: were it part of the plan, each write would double the plan.
     """
     spark = rows.sparkSession
-    start = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_start"))
+    start = existing.agg(F.max(key)).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parted = rows.withColumn("_h", F.xxhash64(*order)).withColumn("_p", F.pmod("_h", F.lit(n)))
     sizes = parted.groupBy("_p").count()
     before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # n rows
     place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    out = parted.join(F.broadcast(before), "_p").join(F.broadcast(start)).withColumn(key, F.col("_start") + F.col("_before") + place)
-    return out.drop("_h", "_p", "_before", "_start")
+    out = parted.join(F.broadcast(before), "_p").withColumn(key, F.lit(start) + F.col("_before") + place)
+    return out.drop("_h", "_p", "_before")
 
 
 def _append(g: DocumentGraph, table: str, rows: DataFrame, key: str, order: list[str], defaults: dict | None = None) -> DocumentGraph:
