@@ -33,7 +33,7 @@ PERIOD = 1_000
 #: Without given weights, a source's weight is its number of characters to this power.
 TEMPER = 0.5
 #: Width of a run of doc_ids.
-RUN_IDS = 4_096
+RUN_IDS = 1_024
 
 
 def _length() -> Column:
@@ -85,9 +85,10 @@ def period_slots(sources: DataFrame) -> DataFrame:
 
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """``docs`` with ``block`` and ``slot``: reading by slot gives the mixture."""
-    own = [c for c in docs.columns if c not in ("block", "slot")]
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in ("block", "slot")}
     rows = docs.select(
-        *(F.col(f"`{c}`") for c in own),
+        *(F.col(f"`{c}`").alias(k) for c, k in own.items()),
+        F.col("doc_id").alias("_id"),
         F.col("source").cast("string").alias("_source"),
         F.floor(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) / RUN_IDS).alias("_run"),
         _length().alias("_chars"),
@@ -100,17 +101,17 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     )
     runs = runs.select(F.col("_source").alias("s"), F.col("_run").alias("r"), F.coalesce(F.sum("chars").over(by_run), F.lit(0)).alias("_before"))
     rows = rows.join(runs, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_run") == F.col("r")))
-    inside = Window.partitionBy("_source", "_run").orderBy("doc_id", "_chars").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("block", F.floor((F.col("_before") + F.coalesce(F.sum("_chars").over(inside), F.lit(0))) / block_chars))
+    inside = Window.partitionBy("_source", "_run").orderBy("_id", "_chars").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_block", F.floor((F.col("_before") + F.coalesce(F.sum("_chars").over(inside), F.lit(0))) / block_chars))
     slots = period_slots(quanta(docs, weights, period))
     table = (
         slots.groupBy(F.col("_source").alias("s2"), "quanta", "period")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "slot"))), lambda x: x["slot"]).alias("slots"))
     )
     return rows.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("s2"))).select(
-        *(F.col(f"`{c}`") for c in own),
-        F.col("block").cast("long").alias("block"),
-        (F.floor(F.col("block") / F.col("quanta")) * F.col("period") + F.get("slots", (F.col("block") % F.col("quanta")).cast("int"))).cast("long").alias("slot"),
+        *(F.col(k).alias(c) for c, k in own.items()),
+        F.col("_block").cast("long").alias("block"),
+        (F.floor(F.col("_block") / F.col("quanta")) * F.col("period") + F.get("slots", (F.col("_block") % F.col("quanta")).cast("int"))).cast("long").alias("slot"),
     )
 
 
@@ -121,10 +122,12 @@ def in_order(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame
     """
     slots = materialise(schedule(docs.select("doc_id", "source", "text"), **how).select("doc_id", "source", "slot"), "slots")
     slots = slots.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.min("slot").alias("_slot"))
-    placed = docs.join(slots, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in own.items()))
+    placed = rows.join(slots, F.col(own["doc_id"]).eqNullSafe(F.col("_id")) & F.col(own["source"]).eqNullSafe(F.col("_source")))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = placed.repartitionByRange(n, "_slot").sortWithinPartitions("_slot", "doc_id")
-    return parted.select(*(F.col(f"`{c}`") for c in docs.columns))
+    parted = placed.repartitionByRange(n, "_slot").sortWithinPartitions("_slot", "_id")
+    return parted.select(*(F.col(k).alias(c) for c, k in own.items()))
 
 
 ORACLE_SQL = f"""
