@@ -36,9 +36,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +56,10 @@ BLOCK = 1024
 #: Candidates' ids are broadcast up to this number (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 250_000
-CHUNK_CHARS = 1_500_000
+#: Points that are generated in one step.
+AT_ONCE = 16_384
+#: Bytes of text that are sketched at a time.
+CHUNK_BYTES = 1_000_000
 
 WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -92,27 +97,29 @@ class Shingler:
         for word in set().union(*found) - cache.keys():
             cache[word] = xxhash.xxh3_64_intdigest(word)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((cache[w] for words in found for w in words), np.uint64, int(sizes.sum()))
+        flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(found)), np.uint64, int(sizes.sum()))
         return flat, sizes
 
-    def bags(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text numbers, distinct shingle hashes and their counts, sorted by text and hash."""
-        flat, sizes = self.word_hashes(texts)
+    def bags(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text numbers, distinct shingle hashes and their counts, in no order, from ``word_hashes``."""
         text = np.repeat(np.arange(len(sizes)), sizes)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        width = np.minimum(np.repeat(sizes, sizes), self.words)
+        width = np.minimum(sizes, self.words)
+        at = np.flatnonzero(np.arange(len(flat)) + width[text] <= np.cumsum(sizes)[text])
+        text = text[at]
+        width = width[text]
         padded = np.concatenate([flat, np.zeros(self.words, np.uint64)])
+        short = bool(len(width)) and int(width.min()) < self.words
         shingle = width.astype(np.uint64)
         for k in range(self.words):
-            shingle = np.where(k < width, _mix(shingle * _U(0x9E3779B97F4A7C15) + padded[k : k + len(flat)]), shingle)
-        whole = np.arange(len(flat)) + width <= ends
-        text, shingle = text[whole], shingle[whole]
-        order = np.lexsort((shingle, text))
-        text, shingle = text[order], shingle[order]
-        first = np.ones(len(text), bool)
-        first[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
-        at = np.flatnonzero(first)
-        return text[at], shingle[at], np.diff(np.append(at, len(text)))
+            part = padded[at + k] * _nth(2 * k + 1)
+            shingle += np.where(k < width, part, _U(0)) if short else part
+        shingle = _mix(shingle)
+        key = _mix(shingle + text.astype(np.uint64) * _nth(11))
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        kept = order[first]
+        return text[kept], shingle[kept], np.diff(np.append(first, len(key)))
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_texts: int, size: int) -> np.ndarray:
@@ -142,18 +149,25 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_text
 
 
 def _points(out, text, seed, weight, low, high, horizon, size) -> None:
-    """Enter the points of one range of weights, shingle by shingle in order of time, up to each text's horizon."""
+    """Enter the points of one range of weights, shingle by shingle in order of time, up to each text's horizon.
+
+    Few shingles that have many points each are carried on by several points
+    at once; times are running sums either way, so they don't depend on it.
+    """
     time, step = np.zeros(len(text)), 0
     while len(text):
-        draw = _mix(seed + _nth(3 * step + 1))
-        time = time - np.log(_unit(draw)) / (size * (high - low))
-        early = time <= horizon[text]
-        text, seed, weight, time = text[early], seed[early], weight[early], time[early]
-        component = (_mix(seed + _nth(3 * step + 2)) % _U(size)).astype(np.int64)
-        at = low + (high - low) * _unit(_mix(seed + _nth(3 * step + 3)))
-        counts = at <= weight
-        np.minimum.at(out, (text[counts], component[counts]), time[counts])
-        step += 1
+        width = 1 if step == 0 else max(1, min(256, AT_ONCE // len(text)))
+        draws = [_mix(seed[:, None] + np.array([_nth(3 * k + j) for k in range(step, step + width)])[None, :]) for j in (1, 2, 3)]
+        gaps = -np.log(_unit(draws[0])) / (size * (high - low))
+        times = np.cumsum(np.concatenate([time[:, None], gaps], axis=1), axis=1)[:, 1:]
+        level = low + (high - low) * _unit(draws[2])
+        counts = (times <= horizon[text][:, None]) & (level <= weight[:, None])
+        row, column = np.nonzero(counts)
+        component = (draws[1][row, column] % _U(size)).astype(np.int64)
+        np.minimum.at(out, (text[row], component), times[row, column])
+        go_on = times[:, -1] <= horizon[text]
+        text, seed, weight, time = text[go_on], seed[go_on], weight[go_on], times[go_on, -1]
+        step += width
 
 
 def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -165,13 +179,14 @@ def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _runs(texts: Sequence[str | None], chars: int) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= chars:
+def _runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``size`` bytes."""
+    start = total = 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        total += n or 0
+        if total >= size:
             yield start, k + 1
-            start, size = k + 1, 0
+            start, total = k + 1, 0
     if start < len(texts):
         yield start, len(texts)
 
@@ -182,11 +197,11 @@ def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) ->
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for low, high in _runs(texts, CHUNK_CHARS):
-                part = texts[low:high]
+            ids = batch.column(0)
+            for low, high in _runs(batch.column(1), CHUNK_BYTES):
+                part = batch.column(1).slice(low, high - low).to_pylist()
                 flat, sizes = shingler.word_hashes(part)
-                text, shingle, weight = shingler.bags(part)
+                text, shingle, weight = shingler.bags(flat, sizes)
                 keys = band_keys(signatures(text, shingle, weight, len(part), bands * rows), bands, rows)
                 ends = np.cumsum(sizes)
                 digests = [xxhash.xxh3_128_digest(flat[e - n : e].tobytes()) if n else None for e, n in zip(ends, sizes, strict=True)]
@@ -231,7 +246,8 @@ def overlaps(text, shingle, weight, n: int, left: int) -> np.ndarray:
 
 
 def _linked(texts: Sequence[str], left: int, threshold: float) -> np.ndarray:
-    text, shingle, weight = Shingler().bags(texts)
+    shingler = Shingler()
+    text, shingle, weight = shingler.bags(*shingler.word_hashes(texts))
     total = np.bincount(text, weights=weight, minlength=len(texts))
     both = overlaps(text, shingle, weight, len(texts), left).astype(np.float64)
     return (both >= threshold * (total[:left, None] + total[None, :] - both) - 1e-9) & (both > 0)
@@ -367,10 +383,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # stored, so that the join below has exchanges of its own, whose skewed partitions can be split
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialise(large.filter("a <> b").distinct(), "large")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(
             small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
