@@ -74,3 +74,10 @@ def cosine(a: Column, b: Column) -> Column:
     dot = total(F.zip_with(a, b, lambda x, y: x * y))
     norm = F.sqrt(total(F.transform(a, lambda x: x * x))) * F.sqrt(total(F.transform(b, lambda x: x * x)))
     return F.when(norm == 0, 0.0).otherwise(dot / norm)
+
+
+def without_first_block(text: Column) -> Column:
+    """A text without its first ``<physical_index_N>...<physical_index_N>`` block; later ones stay."""
+    block = F.regexp_extract(text, r"(?s)(<physical_index_\d+>.*?<physical_index_\d+>)", 1)
+    at = F.instr(text, block)
+    return F.when(block == "", text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(block), F.length(text))))

@@ -7,13 +7,12 @@ appear_start]); pages are (doc_id, page_no, text).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbograph.functions.text import estimated_tokens, parent_code, zero_padded
+from arbograph.functions.text import estimated_tokens, page_tag, parent_code, zero_padded
 from arbograph.operators.hierarchy import walks
 
 
@@ -148,6 +147,25 @@ def section_text(spans: DataFrame, pages: DataFrame) -> DataFrame:
     return _span_pages(spans.select("doc_id", "ord", "start_index", "end_index"), pages.select("doc_id", "page_no", "text")).groupBy("doc_id", "ord").agg(text.alias("text"))
 
 
+def labelled_text(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """As ``section_text``, each page between its tags."""
+    tagged = pages.select("doc_id", "page_no", page_tag(F.col("page_no"), F.col("text")).alias("text"))
+    return section_text(spans, tagged)
+
+
+def sampled(entries: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n random entries, the same for the same seed and rows."""
+    return entries.orderBy(F.xxhash64(F.lit(seed), "doc_id", "ord"), "doc_id", "ord").limit(n)
+
+
+def split_large(spans: DataFrame, parts: DataFrame) -> DataFrame:
+    """Spans with parts (doc_id, ord of the parent, part, title, start_index, end_index) below them: a parent ends where its first part begins."""
+    first = parts.groupBy("doc_id", "ord").agg(F.min("start_index").alias("first"))
+    trimmed = spans.join(first, ["doc_id", "ord"], "left").withColumn("end_index", F.coalesce(F.greatest("start_index", F.least("end_index", "first")), "end_index"))
+    own = trimmed.select("doc_id", "ord", F.lit(0).alias("part"), "title", "start_index", "end_index")
+    return own.unionByName(parts.select("doc_id", "ord", "part", "title", "start_index", "end_index"))
+
+
 def section_tokens(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Tokens and pages of each span, without its text."""
     rows = _span_pages(spans.select("doc_id", "ord", "title", "start_index", "end_index"), pages.select("doc_id", "page_no", "tokens"))
@@ -264,14 +282,3 @@ def summaries(nodes: DataFrame, client, limit: int = 2000) -> DataFrame:
 
     asked = nodes.filter("text <> ''")
     return answers(asked, F.concat(F.lit("Summarise this section.\n\n"), F.substring("text", 1, limit)), client, "summary")
-
-
-def batches(rows: Iterator, size: int) -> Iterator[list]:
-    part: list = []
-    for row in rows:
-        part.append(row)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part

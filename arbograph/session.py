@@ -46,12 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps
-    reuse the rows, and a lost executor loses none of them."""
+    reuse the rows, and a lost executor loses none of them.
+
+    ``batch_rows``: rows of an Arrow batch meanwhile, for whole texts that go
+    to Python; smaller batches need less memory on both sides.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch_rows is not None:
+            spark.conf.set(key, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        if batch_rows is not None:
+            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,6 +39,20 @@ def test_page_tags(spark, given, wanted):
     assert tuple(one(spark, given, text.tagged_pages)) == wanted
 
 
+@pytest.mark.parametrize("given, wanted", [("a<physical_index_1>x\ny<physical_index_1>b<physical_index_2>z<physical_index_2>", "ab<physical_index_2>z<physical_index_2>"), ("none", "none")])
+def test_first_block_goes(spark, given, wanted):
+    assert one(spark, given, text.without_first_block) == wanted
+
+
+def test_large_sections_are_split(spark):
+    spans = spark.createDataFrame([(1, 1, "A", 1, 9), (1, 2, "B", 10, 12)], "doc_id long, ord int, title string, start_index int, end_index int")
+    parts = spark.createDataFrame([(1, 1, 1, "A1", 3, 5), (1, 1, 2, "A2", 6, 9)], "doc_id long, ord int, part int, title string, start_index int, end_index int")
+    assert [(r.title, r.start_index, r.end_index) for r in structure.split_large(spans, parts).orderBy("ord", "part").collect()] == [("A", 1, 3), ("A1", 3, 5), ("A2", 6, 9), ("B", 10, 12)]
+    pages = spark.createDataFrame([(1, 1, "x", 1), (1, 2, "y", 1)], "doc_id long, page_no int, text string, tokens long")
+    assert structure.labelled_text(spans.limit(1).withColumn("end_index", F.lit(1)), pages).first().text == "<physical_index_1>\nx\n<physical_index_1>\n"
+    assert [r.ord for r in structure.sampled(spans, 1).collect()] == [r.ord for r in structure.sampled(spans, 1).collect()]
+
+
 def test_zero_padding_keeps_long_numbers(spark):
     assert one(spark, 7, text.zero_padded, "int") == "0007"
     assert one(spark, 12345, text.zero_padded, "int") == "12345"
