@@ -10,6 +10,12 @@ from arbograph.graph import DocumentGraph
 from arbograph.operators import hierarchy, patterns
 from arbograph.operators.reads import sections_by_ids
 
+# Lines of a context, and reasons of traversal steps; {} is a name's place.
+HEADING, UNTITLED, UNKNOWN = "## Relevant Document Sections\n\n", "Untitled", "Unknown"
+TITLE, DOCUMENT, DEPTH, RELEVANCE, CUT = "### {}", "**Document:** {}", " | **Depth:** {}", "**Relevance:** {}", "\n[...truncated...]\n"
+MENTIONED, COMPARED, REACHED = "Section mentions entity '{}'", "Comparison context for '{}'", "Multi-hop entity from '{}'"
+BETWEEN, BELOW = "Path from '{}' to '{}'", "Descendant of section '{}'"
+
 STEP = ("question_id", "entity_ord", "row_ord", "node_type", "node_id", "node_label", "edge_label", "edge_direction", "reason")
 
 
@@ -71,25 +77,30 @@ def _mention_steps(g: DocumentGraph, resolved: DataFrame, reason: Column) -> Dat
     )
 
 
-def _about(text: str) -> Column:
-    return F.concat(F.lit(text + " '"), F.col("entity_name"), F.lit("'"))
+def _filled(template: str, *values: Column | str) -> Column:
+    """The template with its places filled in."""
+    parts = template.split("{}")
+    columns = [F.lit(parts[0])]
+    for value, rest in zip(values, parts[1:], strict=True):
+        columns += [F.col(value) if isinstance(value, str) else value, F.lit(rest)]
+    return F.concat(*columns)
 
 
 def intent_lookup(g: DocumentGraph, resolved: DataFrame) -> DataFrame:
-    return first_steps(_mention_steps(g, resolved, _about("Section mentions entity")))
+    return first_steps(_mention_steps(g, resolved, _filled(MENTIONED, "entity_name")))
 
 
 def intent_comparison(g: DocumentGraph, resolved: DataFrame) -> DataFrame:
-    return first_steps(_mention_steps(g, resolved, _about("Comparison context for")))
+    return first_steps(_mention_steps(g, resolved, _filled(COMPARED, "entity_name")))
 
 
 def intent_exploration(g: DocumentGraph, resolved: DataFrame) -> DataFrame:
     """Neighbourhoods, and entities one and two relationships away."""
-    near = _mention_steps(g, resolved, _about("Section mentions entity"))
+    near = _mention_steps(g, resolved, _filled(MENTIONED, "entity_name"))
     hops = patterns.multi_hop_entities(g, 2, resolved.select("entity_id")).withColumnRenamed("entity_id", "node_id").withColumnRenamed("start_id", "entity_id")
     far = resolved.select("question_id", "ord", "entity_id", "entity_name").join(hops.select("entity_id", "node_id", "name", "relationship", "hops"), "entity_id").select(
         "question_id", F.col("ord").alias("entity_ord"), (F.col("node_id") + F.col("hops") * 10**12).alias("row_ord"), F.lit("entity").alias("node_type"), "node_id",
-        F.col("name").alias("node_label"), F.col("relationship").alias("edge_label"), F.lit("outbound").alias("edge_direction"), _about("Multi-hop entity from").alias("reason"),
+        F.col("name").alias("node_label"), F.col("relationship").alias("edge_label"), F.lit("outbound").alias("edge_direction"), _filled(REACHED, "entity_name").alias("reason"),
     )
     return first_steps(near.unionByName(far))
 
@@ -102,7 +113,7 @@ def intent_relationship(g: DocumentGraph, resolved: DataFrame) -> DataFrame:
     return first_steps(pairs.withColumnRenamed("entity_id", "source_id").join(paths, ["source_id", "target_id"]).select(
         "question_id", F.col("ord").alias("entity_ord"), F.col("mid_id").alias("row_ord"), F.lit("entity").alias("node_type"), F.col("mid_id").alias("node_id"),
         F.col("mid_name").alias("node_label"), F.col("r1_type").alias("edge_label"), F.lit("outbound").alias("edge_direction"),
-        F.concat(F.lit("Path from '"), "entity_name", F.lit("' to '"), "to_name", F.lit("'")).alias("reason"),
+        _filled(BETWEEN, "entity_name", "to_name").alias("reason"),
     ))
 
 
@@ -114,7 +125,7 @@ def intent_hierarchical(g: DocumentGraph, resolved: DataFrame) -> DataFrame:
     steps = own.select("question_id", "ord", F.col("section_id").alias("top"), F.col("title").alias("top_title")).join(below, "top")
     return first_steps(steps.select(
         "question_id", F.col("ord").alias("entity_ord"), F.col("section_id").alias("row_ord"), F.lit("section").alias("node_type"), F.col("section_id").alias("node_id"),
-        "title", F.lit("parent_of").alias("edge_label"), F.lit("outbound").alias("edge_direction"), F.concat(F.lit("Descendant of section '"), "top_title", F.lit("'")).alias("reason"),
+        "title", F.lit("parent_of").alias("edge_label"), F.lit("outbound").alias("edge_direction"), _filled(BELOW, "top_title").alias("reason"),
     ).withColumnRenamed("title", "node_label"))
 
 
@@ -163,11 +174,11 @@ def context_budget(sections: DataFrame, budget: int = 12_000) -> DataFrame:
     """
     header = 8  # tokens of the heading line
     body = F.coalesce(empty_as_null(F.col("text_content")), empty_as_null(F.col("summary")), F.lit(""))
-    title, doc = F.coalesce(empty_as_null(F.col("title")), F.lit("Untitled")), F.coalesce("doc_name", F.lit("Unknown"))
+    title, doc = F.coalesce(empty_as_null(F.col("title")), F.lit(UNTITLED)), F.coalesce("doc_name", F.lit(UNKNOWN))
     lines = F.array(
-        F.concat(F.lit("### "), title),
-        F.concat(F.lit("**Document:** "), doc, F.lit(" | **Depth:** "), F.coalesce("depth_level", F.lit(0)).cast("string")),
-        F.when(F.coalesce("relevance", F.lit("")) != "", F.concat(F.lit("**Relevance:** "), "relevance")),
+        _filled(TITLE, title),
+        F.concat(_filled(DOCUMENT, doc), _filled(DEPTH, F.coalesce("depth_level", F.lit(0)).cast("string"))),
+        F.when(F.coalesce("relevance", F.lit("")) != "", _filled(RELEVANCE, "relevance")),
         F.when(body != "", F.concat(F.lit("\n"), body)),
         F.lit(""),
     )
@@ -178,7 +189,7 @@ def context_budget(sections: DataFrame, budget: int = 12_000) -> DataFrame:
     s = s.withColumn("remaining", budget - (F.col("used") - F.col("tokens")))
     s = s.withColumn("fits", F.col("used") <= budget)
     s = s.withColumn("first_over", ~F.col("fits") & F.coalesce(F.lag("fits").over(order), F.lit(True)))
-    cut = F.concat(F.lit("### "), title, F.lit("\n**Document:** "), doc, F.lit("\n\n"), F.expr("substring(body, 1, cast(remaining * 3 as int))"), F.lit("\n[...truncated...]\n"))
+    cut = F.concat(_filled(TITLE, title), F.lit("\n"), _filled(DOCUMENT, doc), F.lit("\n\n"), F.expr("substring(body, 1, cast(remaining * 3 as int))"), F.lit(CUT))
     kept = s.filter("fits or (first_over and remaining > 200)")
     return kept.select("question_id", "ord", "section_id", F.when(F.col("fits"), F.col("text")).otherwise(cut).alias("text"), F.when(F.col("fits"), F.col("tokens")).alias("tokens"), (~F.col("fits")).alias("truncated"))
 
@@ -186,12 +197,12 @@ def context_budget(sections: DataFrame, budget: int = 12_000) -> DataFrame:
 def context(parts: DataFrame) -> DataFrame:
     """One Markdown text a question."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
-    return parts.groupBy("question_id").agg(F.concat(F.lit("## Relevant Document Sections\n\n"), text).alias("context"))
+    return parts.groupBy("question_id").agg(F.concat(F.lit(HEADING), text).alias("context"))
 
 
 def answer_sources(sections: DataFrame) -> DataFrame:
     """Distinct (title, doc_name) of each question in their order, with names for missing ones."""
-    named = sections.withColumn("title", F.coalesce(empty_as_null(F.col("title")), F.lit("Untitled"))).withColumn("doc_name", F.coalesce("doc_name", F.lit("Unknown")))
+    named = sections.withColumn("title", F.coalesce(empty_as_null(F.col("title")), F.lit(UNTITLED))).withColumn("doc_name", F.coalesce("doc_name", F.lit(UNKNOWN)))
     return named.groupBy("question_id", "title", "doc_name").agg(F.min("ord").alias("ord"))
 
 

@@ -182,14 +182,14 @@ def neighborhood_entities(g):
     return patterns.neighborhood_entities(g)
 
 
-_PATHS = """SELECT a.entity_id AS source_id, a.name AS source_name, m.entity_id AS mid_id, m.name AS mid_name, m.entity_type AS mid_type,
+PATHS = """SELECT a.entity_id AS source_id, a.name AS source_name, m.entity_id AS mid_id, m.name AS mid_name, m.entity_type AS mid_type,
   r1.relationship AS r1_type, b.entity_id AS target_id, b.name AS target_name, r2.relationship AS r2_type
 FROM g_relationships r1 JOIN g_relationships r2 ON r2.source_entity = r1.target_entity
 JOIN g_entities a ON a.entity_id = r1.source_entity JOIN g_entities m ON m.entity_id = r1.target_entity
 JOIN g_entities b ON b.entity_id = r2.target_entity"""
 
 
-@query(_PATHS)
+@query(PATHS)
 def entity_paths(g):
     return patterns.entity_paths(g)
 
@@ -197,7 +197,7 @@ def entity_paths(g):
 @query(f"""SELECT source_query, target_query, ord, source_id, source_name, mid_id, mid_name, mid_type, r1_type, target_id, target_name, r2_type FROM (
   SELECT q.s AS source_query, q.t AS target_query, p.*,
     CAST(row_number() OVER (PARTITION BY q.s, q.t ORDER BY source_id, mid_id, target_id, r1_type, r2_type) AS INT) AS ord
-  FROM (VALUES ('supplier', '1'), ('widget', 'red')) q(s, t) JOIN ({_PATHS}) p
+  FROM (VALUES ('supplier', '1'), ('widget', 'red')) q(s, t) JOIN ({PATHS}) p
   ON lower(p.source_name) LIKE '%' || q.s || '%' AND lower(p.target_name) LIKE '%' || q.t || '%') x WHERE ord <= 10""")
 def entity_paths_by_name(g):
     pairs = g.spark.createDataFrame([("supplier", "1"), ("widget", "red")], "source_query string, target_query string")

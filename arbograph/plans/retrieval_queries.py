@@ -9,6 +9,7 @@ from arbograph.functions import models
 from arbograph.functions.text import repaired_json
 from arbograph.graph import DocumentGraph
 from arbograph.operators import enrichment, patterns, retrieval
+from arbograph.plans.graph_queries import PATHS
 from arbograph.sources.tables import load_graph, with_views
 
 QUERIES: dict = {}
@@ -29,12 +30,6 @@ QUALIFY row_number() OVER (PARTITION BY r.question_id, m.section_id ORDER BY r.o
 UNION SELECT a.source_entity, b.target_entity, b.relationship, 2 FROM g_relationships a JOIN g_relationships b ON b.source_entity = a.target_entity WHERE b.target_entity <> a.source_entity""",
     "q_far": """SELECT r.question_id, r.ord AS entity_ord, h.node_id + h.hops * CAST(1000000000000 AS BIGINT) AS row_ord, 'entity' AS node_type, h.node_id, e.name AS node_label,
   h.relationship AS edge_label, 'outbound' AS edge_direction, r.entity_name FROM q_resolved r JOIN q_hops h ON h.entity_id = r.entity_id JOIN g_entities e ON e.entity_id = h.node_id""",
-    "q_paths": """SELECT r.question_id, r.ord AS entity_ord, p.mid_id AS row_ord, 'entity' AS node_type, p.mid_id AS node_id, p.mid_name AS node_label, p.r1_type AS edge_label,
-  'outbound' AS edge_direction, concat('Path from ''', r.entity_name, ''' to ''', t.entity_name, '''') AS reason
-FROM q_resolved r JOIN q_resolved t ON t.question_id = r.question_id AND t.ord = r.ord + 1
-JOIN (SELECT a.source_entity AS source_id, b.target_entity AS target_id, m.entity_id AS mid_id, m.name AS mid_name, a.relationship AS r1_type
-  FROM g_relationships a JOIN g_relationships b ON b.source_entity = a.target_entity JOIN g_entities m ON m.entity_id = a.target_entity) p
-ON p.source_id = r.entity_id AND p.target_id = t.entity_id""",
     "q_used": """SELECT turn_id AS question_id, section_id, CAST(row_number() OVER (PARTITION BY turn_id ORDER BY rank_score DESC, section_id) AS INT) AS ord FROM g_turn_sections""",
     "q_full": """SELECT u.question_id, u.ord, u.section_id, s.title, 'MENTIONS' AS relevance, s.summary, s.text_content, s.depth_level, s.start_index, d.doc_name
 FROM q_used u LEFT JOIN (g_sections s JOIN g_documents d ON d.doc_id = s.doc_id) ON s.section_id = u.section_id""",
@@ -134,9 +129,16 @@ def intent_comparison(q):
     return retrieval.intent_comparison(q.g, q.resolved).select("question_id", "entity_ord", "node_id", "node_label", "edge_label", "reason")
 
 
-@query("SELECT question_id, entity_ord, node_id, node_label, edge_label, reason FROM q_paths")
+@query(f"""SELECT p.source_id AS question_id, 1 AS entity_ord, p.mid_id AS node_id, p.mid_name AS node_label, p.r1_type AS edge_label,
+  concat('Path from ''', p.source_name, ''' to ''', p.target_name, '''') AS reason
+FROM ({PATHS}) p JOIN (SELECT source_id, min(target_id) AS t FROM ({PATHS}) x GROUP BY source_id) m ON m.source_id = p.source_id AND m.t = p.target_id""")
 def intent_relationship(q):
-    return retrieval.intent_relationship(q.g, q.resolved).select("question_id", "entity_ord", "node_id", "node_label", "edge_label", "reason")
+    """For every entity with paths, how it is connected with the first that they lead to."""
+    paths = patterns.entity_paths(q.g)
+    ends = paths.groupBy("source_id", "source_name").agg(F.min_by("target_name", "target_id").alias("target_name"))
+    names = ends.select(F.col("source_id").alias("question_id"), F.posexplode(F.array("source_name", "target_name")).alias("k", "name"))
+    resolved = retrieval.resolve_entity_names(q.g, names.select("question_id", (F.col("k") + 1).alias("ord"), "name"))
+    return retrieval.intent_relationship(q.g, resolved).select("question_id", "entity_ord", "node_id", "node_label", "edge_label", "reason")
 
 
 @query("""SELECT question_id, entity_ord, node_type, node_id, node_label, edge_label, concat('Section mentions entity ''', entity_name, '''') AS reason FROM q_near

@@ -59,6 +59,7 @@ EDGES = {
     "has_turn": Edge("turns", ("session_id", "session"), ("turn_id", "turn")),
 }
 
+# Vocabularies.
 ENTITY_TYPES = ("PERSON", "ORGANIZATION", "TECHNOLOGY", "CONCEPT", "LOCATION", "EVENT", "METRIC")
 RELEVANCES = ("DEFINES", "DISCUSSES", "MENTIONS")
 INTENTS = ("LOOKUP", "RELATIONSHIP", "EXPLORATION", "COMPARISON", "HIERARCHICAL", "TEMPORAL")
