@@ -58,6 +58,8 @@ BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 250_000
 #: Points that are generated in one step.
 AT_ONCE = 16_384
+#: Documents of an Arrow batch.
+BATCH_ROWS = 1_000
 #: Bytes of text that are sketched at a time.
 CHUNK_BYTES = 1_000_000
 
@@ -316,13 +318,14 @@ def links(docs: DataFrame, prints: DataFrame, threshold: float = THRESHOLD, bloc
     """
     members = prints.select("doc_id", F.explode("buckets").alias("bucket"))
     hashed = F.xxhash64("doc_id")
-    shared = (
+    shared = materialise(
         members.groupBy("bucket")
         .agg(F.count("*").alias("n"), F.sum(F.shiftright(hashed, 20)).alias("s"), F.bit_xor(hashed).alias("x"))
         .filter("n > 1")
         .groupBy("n", "s", "x")  # buckets of the same members
         .agg(F.min("bucket").alias("bucket"))
-        .select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        .select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")),
+        "shared",
     )
     members = materialise(
         members.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int")),
@@ -402,7 +405,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id of every row of ``docs``; a class is named by its smallest doc_id."""
-    prints = materialise(fingerprints(docs), "fingerprints")
+    prints = materialise(fingerprints(docs), "fingerprints", BATCH_ROWS)
     copies = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("first")), "copies")
     firsts = prints.join(copies.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     found = links(docs, firsts.dropDuplicates(["doc_id"]), threshold)

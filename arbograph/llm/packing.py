@@ -39,6 +39,8 @@ SHARD_ROWS = 8192
 CACHE_WORDS = 250_000
 #: Words that are encoded as one text.
 RUN_WORDS = 200
+#: Documents of an Arrow batch.
+BATCH_ROWS = 1_000
 #: Bytes of text that are encoded at a time.
 CHUNK_BYTES = 2_000_000
 
@@ -246,4 +248,4 @@ def pack_documents(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``docs``."""
-    return pack(materialise(token_pieces(docs, tokenizer_path, capacity), "pieces"), capacity, shard_rows)
+    return pack(materialise(token_pieces(docs, tokenizer_path, capacity), "pieces", BATCH_ROWS), capacity, shard_rows)

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbograph.session import materialise
+
 #: Labelled rows to learn from, at most about so many.
 SAMPLE_ROWS = 12_000
 #: A learned word is found in so many toxic texts at least, and in so large a share of toxic ones among all.
@@ -212,15 +214,15 @@ def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         .groupBy("word")
         .agg(F.count("*").alias("n"), toxic.alias("bad"))
     )
-    stems = [
-        per_word.filter(F.length("word") >= n).groupBy(F.substring("word", 1, n).alias("word"))
+    kinds = [F.struct(F.lit(0).alias("size"), F.col("word").alias("form"))]
+    kinds += [F.when(F.length("word") >= n, F.struct(F.lit(n).alias("size"), F.substring("word", 1, n).alias("form"))) for n in STEM_LETTERS]
+    found = (
+        per_word.select("n", "bad", F.explode(F.array_compact(F.array(*kinds))).alias("k"))
+        .groupBy(F.col("k.form").alias("word"), F.col("k.size").alias("size"))
         .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum((F.col("bad") > 0).cast("int")).alias("forms"))
-        .filter(F.col("forms") >= STEM_FORMS)
-        for n in STEM_LETTERS
-    ]
-    found = per_word.withColumn("forms", F.lit(0))
-    for s in stems:
-        found = found.unionByName(s)
+        .filter((F.col("size") == 0) | (F.col("forms") >= STEM_FORMS))
+        .withColumn("forms", F.when(F.col("size") == 0, 0).otherwise(F.col("forms")))
+    )
     found = found.filter((F.col("bad") >= MIN_TEXTS) & (F.col("bad") >= MIN_PURITY * F.col("n")))
     found = found.orderBy(F.desc("bad"), "word", "forms").limit(MAX_LEARNED).collect()
     base = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.5
@@ -253,7 +255,7 @@ def strengths(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Lexicon and curve from labelled rows that aren't held out."""
-    rows = training_rows(docs, labels, sample_rows)
+    rows = materialise(training_rows(docs, labels, sample_rows), "training")  # read several times
     words, stems = learn_words(rows)
     model = seed_model()
     model = Model(model.words | words, stems, model.bias, model.slope)
