@@ -117,14 +117,14 @@ def _rows(keys: np.ndarray) -> set[bytes]:
     return {row.tobytes() for row in keys}
 
 
-def build_cascade(listed: np.ndarray, universe: DataFrame) -> Cascade:
-    """``listed``: pairs of hashes; ``universe``: the corpus's hashes (x, y), repeats allowed."""
+def build_cascade(listed: np.ndarray, universe: DataFrame, n: int | None = None) -> Cascade:
+    """``listed``: pairs of hashes; ``universe``: the corpus's hashes (x, y), repeats allowed; ``n``: about how many."""
     if len(listed) > MAX_LISTED:
         raise ValueError(f"{len(listed)} listed keys; at most {MAX_LISTED} fit in a cascade: split the list by host or use a semi-join")
     if not len(listed):
         return Cascade(())
     listed = np.unique(listed, axis=0)
-    n = universe.agg(F.approx_count_distinct("x")).first()[0]
+    n = universe.agg(F.approx_count_distinct("x")).first()[0] if n is None else n
     rate = min(max(0.5 * len(listed) / max(n, 1), FIRST_RATE[0]), FIRST_RATE[1])
     first = Bloom.of(listed, rate, 1)
 
@@ -174,11 +174,11 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     spark = pages.sparkSession
     universe = keyed.select(F.explode("keys").alias("key"))
     universe = universe.select(*(h.alias(c) for h, c in zip(hashes(F.col("key")), "xy", strict=True)))
-    cascades = {}
+    cascades, n = {}, universe.agg(F.approx_count_distinct("x")).first()[0]
     for action in ("allow", "block"):
         own = [(r.key,) for r in rules if r.action == action]
         found = spark.createDataFrame(own, "key string").select(*(h.alias(c) for h, c in zip(hashes(F.col("key")), "xy", strict=True))).toArrow()
-        cascades[action] = build_cascade(_pairs(found.column("x").combine_chunks(), found.column("y").combine_chunks()), universe)
+        cascades[action] = build_cascade(_pairs(found.column("x").combine_chunks(), found.column("y").combine_chunks()), universe, n)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
