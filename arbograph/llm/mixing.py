@@ -32,6 +32,8 @@ BLOCK_CHARS = 16_384
 PERIOD = 1_000
 #: Without given weights, a source's weight is its number of characters to this power.
 TEMPER = 0.5
+#: Sources whose slots are broadcast at most (about as many numbers as twice the period); more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 #: Width of a run of doc_ids.
 RUN_IDS = 1_024
 
@@ -108,7 +110,8 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
         slots.groupBy(F.col("_source").alias("s2"), "quanta", "period")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "slot"))), lambda x: x["slot"]).alias("slots"))
     )
-    return rows.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("s2"))).select(
+    few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return rows.join(F.broadcast(table) if few else table, F.col("_source").eqNullSafe(F.col("s2"))).select(
         *(F.col(k).alias(c) for c, k in own.items()),
         F.col("_block").cast("long").alias("block"),
         (F.floor(F.col("_block") / F.col("quanta")) * F.col("period") + F.get("slots", (F.col("_block") % F.col("quanta")).cast("int"))).cast("long").alias("slot"),
