@@ -36,8 +36,9 @@ from arbograph.session import materialise
 
 #: Labelled rows to learn from, at most about so many.
 SAMPLE_ROWS = 12_000
-#: A learned word is found in so many toxic texts at least, and in so large a share of toxic ones among all.
-MIN_TEXTS, MIN_PURITY, MAX_LEARNED = 5, 0.6, 5_000
+#: A learned word is found in so many families of toxic texts at least, in so large a share of toxic ones among all, and more often
+#: than chance allows by so many nats: one in 10^7, as about a million words are tried.
+MIN_TEXTS, MIN_PURITY, MIN_EVIDENCE, MAX_LEARNED = 5, 0.6, 16.0, 5_000
 #: Stems have so many letters, and so many forms at least.
 STEM_LETTERS, STEM_FORMS = (4, 5, 6, 7, 8), 4
 
@@ -204,15 +205,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Insults by the texts that hold them: words, and stems of which many forms are found.
 
-    Copies of a text count once.  Only what passes the limits is collected.
+    Near copies, which mostly share the smallest hash of their words, count
+    as one text of either kind.  Only what passes the limits is collected.
     """
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))), lambda w: F.length(w) >= 4)
-    toxic = F.sum((F.col("toxic") > 0).cast("int"))
+    # both columns come out of a generator, so that no plan computes the hash again for every word
+    both = F.transform(F.array(words), lambda ws: F.struct(ws.alias("words"), F.array_min(F.transform(ws, lambda w: F.xxhash64(w))).alias("family")))
     per_word = (
         rows.select("text", "toxic").distinct()
-        .select("toxic", F.explode(words).alias("word"))
+        .select("toxic", F.inline(both))
+        .select("toxic", "family", F.explode("words").alias("word"))
+        .groupBy("word", "family")
+        .agg(F.max((F.col("toxic") > 0).cast("int")).alias("bad"), F.max((F.col("toxic") <= 0).cast("int")).alias("good"))
         .groupBy("word")
-        .agg(F.count("*").alias("n"), toxic.alias("bad"))
+        .agg(F.sum(F.col("bad") + F.col("good")).alias("n"), F.sum("bad").alias("bad"))
     )
     kinds = [F.struct(F.lit(0).alias("size"), F.col("word").alias("form"))]
     kinds += [F.when(F.length("word") >= n, F.struct(F.lit(n).alias("size"), F.substring("word", 1, n).alias("form"))) for n in STEM_LETTERS]
@@ -223,9 +229,11 @@ def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         .filter((F.col("size") == 0) | (F.col("forms") >= STEM_FORMS))
         .withColumn("forms", F.when(F.col("size") == 0, 0).otherwise(F.col("forms")))
     )
-    found = found.filter((F.col("bad") >= MIN_TEXTS) & (F.col("bad") >= MIN_PURITY * F.col("n")))
-    found = found.orderBy(F.desc("bad"), "word", "forms").limit(MAX_LEARNED).collect()
     base = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.5
+    share, rate = F.col("bad") / F.col("n"), F.lit(min(max(base, 1e-6), 0.5))
+    nats = F.col("bad") * F.log(share / rate) + F.when(share < 1, (F.col("n") - F.col("bad")) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    found = found.filter((F.col("bad") >= MIN_TEXTS) & (share >= MIN_PURITY) & (nats >= MIN_EVIDENCE))
+    found = found.orderBy(F.desc("bad"), "word", "forms").limit(MAX_LEARNED).collect()
     prior = float(np.log((1 - base + 0.01) / (base + 0.01)))
     weigh = lambda r: max(float(np.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5))) + prior, 0.0)
     stem_weights: dict[str, float] = {}

@@ -119,7 +119,7 @@ def test_toxicity_learns_words_and_stems(spark):
     rows, labels = [], []
     for k in range(400):
         bad = k % 4 == 0
-        rows.append((k, f"{PROSE} number{k}" + (f" grobzu{'abcdefghij'[k // 4 % 10]} zorkface" if bad else "")))
+        rows.append((k, prose(k) + (f" grobzu{'abcdefghij'[k // 4 % 10]} zorkface" if bad else "")))
         labels.append((k, 1, int(bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
