@@ -2,13 +2,17 @@
 
 Documents are tokenised once, in Arrow batches, into pieces of at most
 ``capacity`` tokens; only documents longer than that are cut.  Full pieces are
-sequences of their own.  The other pieces are dealt evenly into shards of a
-bounded number of rows, and each shard is packed by best-two-fit: a bin is
+sequences of their own.  A shard is a run of a bounded number of consecutive
+documents, in the order of the files and of the rows within them, and the other
+pieces of each shard are packed by best-two-fit: a bin is
 filled greedily with the longest piece that fits, then its smallest piece is
 replaced by the two unpacked pieces that fill the expanded gap most tightly.
 A shard leaves at most a few bins part-filled, so the loss against packing all
 pieces together is a few bins in some thousands.
 
+Sequence ids rise with the place of a sequence's earliest document, so the order
+of a mixture holds among the sequences but for stretches of one shard.
+
 Defined results: a null text counts as empty and still holds the end id; rows
 that repeat are packed as often as they occur; an empty table gives no rows;
 columns other than ``doc_id`` and ``text`` are ignored.
@@ -21,11 +25,13 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +39,10 @@ from arbograph.session import materialise
 
 CAPACITY = 2048
 END_ID = 0
-#: Rows in a shard at most on average: what one task holds while it packs.
+#: Consecutive documents of a shard, each of which has one part-filled piece at most: what one task holds while it packs.
 SHARD_ROWS = 8192
+#: Lower bits of a sequence id: 0 for a bin, else one more than the piece.  The upper ones are the earliest document's place.
+PIECE_BITS = 26
 #: Words whose ids a worker looks up before it starts a new table; the last full one is kept beside it.
 CACHE_WORDS = 400_000
 #: Words that are encoded as one text.
@@ -44,7 +52,7 @@ BATCH_ROWS = 1_000
 #: Bytes of text that are encoded at a time.
 CHUNK_BYTES = 2_000_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _place long"
 
 
 class WordTokenizer:
@@ -129,8 +137,34 @@ def chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and _place: a row's number from 0, by the names of the files and the rows within them.
+
+    Scans deal files to tasks by size, so the order is taken from the files
+    themselves.  Rows that aren't those of whole files are stored first.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")]
+
+    def counted(rows: DataFrame) -> list:
+        files = rows.select(*where).groupBy("_file").agg(F.count("*").alias("n"), F.min("_index").alias("low"), F.max("_index").alias("high"), F.sum("_index").alias("total"))
+        return sorted(files.collect(), key=lambda r: (len(r["_file"]), r["_file"]))
+
+    try:
+        files = counted(own)
+    except AnalysisException:  # not read from files
+        files = None
+    if files is None or any(r["low"] or r["high"] != r["n"] - 1 or 2 * r["total"] != r["n"] * r["high"] for r in files):
+        own = materialise(own, "documents")
+        files = counted(own)
+    starts = accumulate((r["n"] for r in files), initial=0)
+    before = docs.sparkSession.createDataFrame([(r["_file"], start) for r, start in zip(files, starts, strict=False)], "_name string, _before long")
+    rows = own.select("doc_id", "text", *where)
+    return rows.join(F.broadcast(before), F.col("_file") == F.col("_name")).select("doc_id", "text", (F.col("_before") + F.col("_index")).alias("_place"))  # a row a file
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of at most ``capacity`` ids of every document, its end id included.
+    """Pieces of at most ``capacity`` ids of every document, its end id included, with the document's place.
 
     The tokenizer file is read on the driver and sent along; its size is that
     of a vocabulary.
@@ -142,22 +176,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         tokenizer = loaded(spec.value)
         for batch in batches:
             for low, high in chunks(batch.column(1), CHUNK_BYTES):
-                ids, texts = (c.slice(low, high - low).to_pylist() for c in batch.columns)
+                ids, texts, places = (c.slice(low, high - low).to_pylist() for c in batch.columns)
                 rows: list[tuple] = []
-                for doc_id, data in zip(ids, tokenizer.encode([t or "" for t in texts]), strict=True):
+                for doc_id, place, data in zip(ids, places, tokenizer.encode([t or "" for t in texts]), strict=True):
                     data += end
                     size = len(data) // 4
                     for piece, start in enumerate(range(0, size, capacity)):
                         part = data[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
+                        rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part), place))
                 columns = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "_place"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return placed(docs).mapInArrow(cut, PIECES)
 
 
 def best_two_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
@@ -210,34 +244,32 @@ def best_two_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces with a ``length`` from 1 to capacity.
+    """``sequence_id`` and ``offset`` instead of ``_place`` for pieces with a ``length`` from 1 to capacity.
 
-    ``pieces`` must be stored rows (see ``materialise``): they are counted and
-    then dealt to shards by a number that depends on their place in the files.
+    A document's pieces share its place and have numbers in ``piece``; no two
+    documents share one.  At most one of them is shorter than the capacity.
     """
-    numbered = pieces.withColumn("_n", F.monotonically_increasing_id())
-    full = numbered.filter(F.col("length") >= capacity).select(
-        *pieces.columns, (-1 - F.col("_n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    own = [c for c in pieces.columns if c != "_place"]
+    full = pieces.filter(F.col("length") >= capacity).select(
+        *own, (F.shiftleft("_place", PIECE_BITS) + F.col("piece") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    partial = numbered.filter(F.col("length") < capacity)
-    shards = max(1, -(-partial.count() // shard_rows))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    partial = pieces.filter(F.col("length") < capacity)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*own).schema)
 
     def pack_shard(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("_n", "ascending")])
-        bins = best_two_fit(table.column("length").to_numpy(), capacity)
+        table = table.sort_by([("length", "descending"), ("_place", "ascending")])
+        sizes, places = table.column("length").to_numpy(), table.column("_place").to_numpy()
+        bins = best_two_fit(sizes, capacity)
         sequence, offset = np.empty(table.num_rows, np.int64), np.empty(table.num_rows, np.int64)
-        sizes = table.column("length").to_numpy()
-        base = int(table.column("_shard")[0].as_py()) << 32
-        for number, members in enumerate(bins):
-            at = 0
+        for members in bins:
+            at, first = 0, int(places[members].min()) << PIECE_BITS
             for k in members:
-                sequence[k], offset[k] = base + number, at
+                sequence[k], offset[k] = first, at
                 at += int(sizes[k])
-        return table.drop_columns(["_n", "_shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return table.select(own).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     packed = (
-        partial.withColumn("_shard", F.pmod(F.xxhash64("_n"), F.lit(shards)))
+        partial.withColumn("_shard", F.floor(F.col("_place") / shard_rows))
         .groupBy("_shard")
         .applyInArrow(pack_shard, f"{schema}, sequence_id long, offset long")
     )

@@ -30,7 +30,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs every document that is left into sequences."""
+    """Packs every document that is left into sequences, whose ids go by the order of the mixture's files."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

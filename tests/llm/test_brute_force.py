@@ -77,6 +77,36 @@ def test_pieces_give_back_the_documents(spark):
     assert len(by_sequence) <= 1.02 * total / 2048 + 2 * (len(rows) / 64 + 1)
 
 
+def test_sequences_follow_the_order_of_the_files(spark, tmp_path):
+    # long rows in later files, which scans read first
+    rows = [(k, "ab " * (20 + 3 * k), "s") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", 37).parquet(f"{tmp_path}/a")
+    stored = spark.read.parquet(f"{tmp_path}/a")
+    for docs in (stored, stored.filter("doc_id >= 0").orderBy("doc_id")):
+        assert [r._place for r in packing.placed(docs).orderBy("doc_id").collect()] == list(range(400))
+    few = packing.placed(stored.filter("doc_id % 3 = 0")).collect()
+    assert sorted(r._place for r in few) == list(range(134))
+    found = packing.pack_documents(stored, TOKENS, shard_rows=50).orderBy("sequence_id").collect()
+    assert [r.doc_id // 50 for r in found] == sorted(r.doc_id // 50 for r in found)
+    own = packing.pack_documents(stored, TOKENS, capacity=64, shard_rows=50).collect()
+    whole = {r.sequence_id for r in own if r.length == 64}
+    assert len(whole) == sum(r.length == 64 for r in own) and not whole & {r.sequence_id for r in own if r.length < 64}
+
+
+def test_sequences_keep_the_mixture(spark, tmp_path):
+    """Shares among the first sequences are those of the mixture, up to one shard, with a hot source."""
+    rows = [(k, "some words of one length here " * 40, "hot" if k < 3000 else "abc"[k % 3]) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = {"weights": {"hot": 0.4, "a": 0.3, "b": 0.2, "c": 0.1}, "block_chars": 1200, "partitions": 7}
+    mixing.in_order(docs, **how).write.parquet(f"{tmp_path}/mixed")
+    found = packing.pack_documents(spark.read.parquet(f"{tmp_path}/mixed"), TOKENS, shard_rows=50).orderBy("sequence_id", "offset").collect()
+    source = {k: s for k, _, s in rows}
+    for shards in (2, 6, 12):
+        first = [source[r.doc_id] for r in found[: 50 * shards]]
+        for name, weight in how["weights"].items():
+            assert abs(first.count(name) - weight * len(first)) <= 1, (shards, name)
+
+
 # token counts
 
 def count_alone(scores, word):
