@@ -3,12 +3,17 @@
 A source's documents, in the order of doc_id, are dealt into blocks of
 ``block_chars`` characters.  Weights become whole quanta a out of a period of P
 slots; block r of a source may run from slot floor(r P / a) and must have run
-by slot ceil((r + 1) P / a).  Earliest-deadline-first gives each slot of one
-period to a source, so at any time a source is less than one block ahead of or
-behind its share.  The table of one period has P rows whatever the corpus, and
-later periods repeat it.  Every document is kept: slots of sources that have
+by slot ceil((r + 1) P / a).  Earliest-deadline-first gives each slot to a
+source, so at any time a source is less than one block ahead of or behind its
+share.  Every document is kept: slots of sources that have
 run out stay empty and the others go on in their proportions.
 
+One period of ``PERIOD`` slots that is repeated serves as long as every source
+stays within one block of its weight up to the last slot that is needed, which
+is checked.  Beyond that, weights are quanta of ``FINE`` slots, whose rounding
+is far below a block, and all slots that are needed are given in turn, the state
+carried from window to window.  Sources without weight come after the others.
+
 Running totals within a source are taken in two steps, by runs of doc_ids and
 then within a run, so a source that holds a large part of all rows is spread
 over many tasks.
@@ -30,6 +35,10 @@ from arbograph.session import materialise
 BLOCK_CHARS = 16_384
 #: Slots of a period, before each source's quanta are rounded.
 PERIOD = 1_000
+#: Slots of which weights are quanta when that is too coarse, and of which the products with a block's number fit 64 bits.
+FINE = 10_000_000_000
+#: Slots that are given within one step of the outer aggregate.
+WINDOW = 1_000
 #: Without given weights, a source's weight is its number of characters to this power.
 TEMPER = 0.5
 #: Sources whose slots are broadcast at most (about as many numbers as twice the period); more are joined by a shuffle.
@@ -42,8 +51,8 @@ def _length() -> Column:
     return F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long")
 
 
-def quanta(docs: DataFrame, weights: dict[str | None, float] | None = None, period: int = PERIOD) -> DataFrame:
-    """_source and its quanta of a period; sources that ``weights`` leaves out weigh as little as possible."""
+def shares(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """_source, share (0 for sources that ``weights`` leaves out, unless all weigh nothing) and blocks, at least 1."""
     sizes = docs.groupBy(F.col("source").cast("string").alias("_source")).agg(F.sum(_length()).alias("size"))
     if weights is None:
         weight = F.pow(F.col("size").cast("double"), F.lit(TEMPER))
@@ -53,36 +62,58 @@ def quanta(docs: DataFrame, weights: dict[str | None, float] | None = None, peri
             weight = F.when(F.col("_source").eqNullSafe(F.lit(name)), float(value)).otherwise(weight)
     total = F.sum("weight").over(Window.partitionBy())
     share = F.when(total > 0, F.col("weight") / total).otherwise(0.0)
-    return sizes.withColumn("weight", weight).select("_source", F.greatest(F.lit(1), F.round(share * period)).cast("int").alias("quanta"))
+    return sizes.withColumn("weight", weight).select("_source", share.alias("share"), (F.floor(F.col("size") / block_chars) + 1).alias("blocks"))
+
+
+def quanta(sources: DataFrame, period: int = PERIOD) -> DataFrame:
+    """_source and its quanta of a period, 1 at least."""
+    return sources.select("_source", F.greatest(F.lit(1), F.round(F.col("share") * period)).cast("long").alias("quanta"))
 
 
-def period_slots(sources: DataFrame) -> DataFrame:
-    """_source, quanta, period, nth (from 0) and slot: who runs when in one period, earliest deadline first."""
+def period_slots(sources: DataFrame, slots: int | None = None) -> DataFrame:
+    """_source, quanta, period, nth (from 0) and slot: who runs when, earliest deadline first, in one period or its first ``slots``."""
     row = sources.agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("_source", F.lit("")).alias("order"), F.col("_source").isNull().alias("none"), F.col("_source").alias("name"), F.col("quanta").alias("a")))).alias("s"),
-        F.sum("quanta").alias("p"),
+        F.array_sort(F.collect_list(F.struct(F.coalesce("_source", F.lit("")).alias("order"), F.col("_source").isNull().alias("none"), F.col("_source").alias("name"), F.col("quanta").cast("long").alias("a")))).alias("s"),
+        F.sum(F.col("quanta").cast("long")).alias("p"),
     ).filter("p is not null")
+    end = "p" if slots is None else f"least(p, {int(slots)}L)"
+    # windows are arrays of their own, so that no step copies all slots before it
     picked = F.expr(
-        """
+        f"""
         aggregate(
-          sequence(0, cast(p as int) - 1),
-          named_struct('next', transform(s, x -> 0), 'out', cast(array() as array<int>)),
-          (state, t) -> transform(
-            array(array_min(transform(s, (x, i) -> case
-              when state.next[i] < x.a and floor(state.next[i] * p / x.a) <= t
-              then named_struct('deadline', ceil((state.next[i] + 1) * p / x.a), 'i', i) end))),
-            best -> named_struct(
-              'next', transform(state.next, (k, i) -> case when i = best.i then k + 1 else k end),
-              'out', concat(state.out, array(best.i)))
-          )[0],
-          state -> state.out
+          sequence(0L, ({end} - 1) div {WINDOW}),
+          named_struct('next', transform(s, x -> 0L), 'windows', cast(array() as array<array<int>>)),
+          (carried, w) -> transform(array(aggregate(
+            sequence(w * {WINDOW}, least((w + 1) * {WINDOW}, {end}) - 1),
+            named_struct('next', carried.next, 'out', cast(array() as array<int>)),
+            (state, t) -> transform(
+              array(array_min(transform(s, (x, i) -> case
+                when state.next[i] < x.a and (state.next[i] * p) div x.a <= t
+                then named_struct('deadline', ((state.next[i] + 1) * p + x.a - 1) div x.a, 'i', i) end))),
+              best -> named_struct(
+                'next', transform(state.next, (k, i) -> case when i = best.i then k + 1 else k end),
+                'out', concat(state.out, array(best.i)))
+            )[0])),
+            done -> named_struct('next', done.next, 'windows', concat(carried.windows, array(done.out))))[0],
+          carried -> carried.windows
         )
         """
     )
-    slots = row.select("s", "p", F.posexplode(picked).alias("slot", "i"))
-    slots = slots.select(F.get("s", F.col("i")).alias("x"), "p", "slot")
+    windows = row.select("s", "p", F.posexplode(picked).alias("w", "is"))
+    found = windows.select("s", "p", "w", F.posexplode("is").alias("k", "i")).select(F.get("s", F.col("i")).alias("x"), "p", (F.col("w").cast("long") * WINDOW + F.col("k")).alias("slot"))
     nth = F.row_number().over(Window.partitionBy("x.order", "x.none").orderBy("slot")) - 1
-    return slots.select(F.col("x.name").alias("_source"), F.col("x.a").alias("quanta"), F.col("p").alias("period"), nth.alias("nth"), "slot")
+    return found.select(F.col("x.name").alias("_source"), F.col("x.a").alias("quanta"), F.col("p").alias("period"), nth.alias("nth"), "slot")
+
+
+def deviation(slots: DataFrame, sources: DataFrame, needed: int) -> float:
+    """By how many blocks a source is ahead of or behind its share at most, up to slot ``needed``, if the period of ``slots`` is repeated."""
+    own = sources.select(F.col("_source").alias("s3"), "share")
+    last = F.floor(F.lit(needed) / F.col("period"))
+    found = slots.join(own, F.col("_source").eqNullSafe(F.col("s3")))
+    # errors of rounding grow evenly with the periods, so the first and the last ones show the largest
+    found = found.withColumn("k", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.greatest(last - 1, F.lit(0)).cast("long"), last.cast("long")))))
+    found = found.select("share", (F.col("nth") + F.col("k") * F.col("quanta")).alias("n"), (F.col("slot") + F.col("k") * F.col("period")).alias("t")).filter(F.col("t") < needed)
+    return found.agg(F.max(F.greatest(F.abs(F.expr("n - share * t")), F.abs(F.expr("n + 1 - share * (t + 1)"))))).first()[0] or 0.0
 
 
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
@@ -105,17 +136,24 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     rows = rows.join(runs, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_run") == F.col("r")))
     inside = Window.partitionBy("_source", "_run").orderBy("_id", "_chars").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_block", F.floor((F.col("_before") + F.coalesce(F.sum("_chars").over(inside), F.lit(0))) / block_chars))
-    slots = period_slots(quanta(docs, weights, period))
-    table = (
-        slots.groupBy(F.col("_source").alias("s2"), "quanta", "period")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "slot"))), lambda x: x["slot"]).alias("slots"))
-    )
-    few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return rows.join(F.broadcast(table) if few else table, F.col("_source").eqNullSafe(F.col("s2"))).select(
-        *(F.col(k).alias(c) for c, k in own.items()),
-        F.col("_block").cast("long").alias("block"),
-        (F.floor(F.col("_block") / F.col("quanta")) * F.col("period") + F.get("slots", (F.col("_block") % F.col("quanta")).cast("int"))).cast("long").alias("slot"),
-    )
+    sources = materialise(shares(docs, weights, block_chars), "shares")
+    needed = sources.filter("share > 0").agg(F.max(F.ceil(F.col("blocks") / F.col("share")))).first()[0] or 0
+    slots = materialise(period_slots(quanta(sources, period)), "period")
+    chosen = [*(F.col(k).alias(c) for c, k in own.items()), F.col("_block").cast("long").alias("block")]
+    if not needed or deviation(slots, sources, needed) < 1:
+        table = (
+            slots.groupBy(F.col("_source").alias("s2"), "quanta", "period")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "slot"))), lambda x: x["slot"]).alias("slots"))
+        )
+        few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+        at = F.floor(F.col("_block") / F.col("quanta")) * F.col("period") + F.get("slots", (F.col("_block") % F.col("quanta")).cast("int"))
+        return rows.join(F.broadcast(table) if few else table, F.col("_source").eqNullSafe(F.col("s2"))).select(*chosen, at.cast("long").alias("slot"))
+    needed += 1  # quanta are rounded
+    weighed = sources.filter("share > 0")
+    given = period_slots(quanta(weighed, FINE), needed).select(F.col("_source").alias("s2"), F.col("nth").cast("long").alias("b2"), "slot")
+    rest = sources.filter("share <= 0").select(F.col("_source").alias("s2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))).alias("b2"))
+    given = materialise(given.unionByName(rest.withColumn("slot", F.lit(needed) + F.col("b2"))), "given")
+    return rows.join(given, F.col("_source").eqNullSafe(F.col("s2")) & (F.col("_block") == F.col("b2"))).select(*chosen, F.col("slot").cast("long").alias("slot"))
 
 
 def in_order(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:

@@ -213,6 +213,33 @@ def test_every_source_stays_within_a_block_of_its_share(spark):
             assert abs(sum(s < t for s in own) - n * t / period) < 1
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.70049, "b": 0.29851, "c": 0.001}, {"a": 0.5004, "b": 0.4996, "d": 0.0}])
+def test_sources_stay_within_a_block_of_given_weights_over_many_periods(spark, weights):
+    docs = spark.range(12_000).selectExpr("id as doc_id", "repeat('x', 10) as text", "case when id % 1200 = 0 then 'c' when id % 1200 = 1 then 'd' when id % 10 < 7 then 'a' else 'b' end as source")
+    rows = mixing.schedule(docs, weights=weights, block_chars=10, period=100).collect()
+    assert len(rows) == 12_000
+    total, last = sum(weights.values()), max(r.slot for r in rows if weights.get(r.source))
+    own = defaultdict(list)
+    for r in rows:
+        own[r.source].append(r.slot)
+    assert len({r.slot for r in rows if weights.get(r.source)}) == sum(len(own[s]) for s in own if weights.get(s))
+    for name, slots in own.items():
+        w = weights.get(name, 0) / total
+        for k, slot in enumerate(sorted(slots)):
+            if w:
+                assert abs(k - w * slot) < 1 + 1e-5 and abs(k + 1 - w * (slot + 1)) < 1 + 1e-5, (name, k, slot)
+            else:
+                assert slot > last
+
+
+def test_thousands_of_small_sources_leave_a_hot_one_its_weight(spark):
+    weights = {"hot": 0.75} | {f"s{k}": 0.00025 for k in range(3_000, 4_000)}
+    shares = spark.createDataFrame([(s, w, 3001 if s == "hot" else 2) for s, w in weights.items()], "_source string, share double, blocks long")
+    first = mixing.period_slots(mixing.quanta(shares, mixing.FINE), 40).collect()
+    assert sum(r._source == "hot" for r in first) == 30
+    assert mixing.deviation(mixing.period_slots(mixing.quanta(shares, 100)), shares, 4_000) > 1
+
+
 def test_order_of_the_mixture_keeps_all_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mixed = mixing.in_order(docs, 4)
