@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbograph.llm import bagminhash
 from arbograph.session import materialise
 
 #: Labelled rows to learn from, at most about so many.
@@ -205,18 +206,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Insults by the texts that hold them: words, and stems of which many forms are found.
 
-    Near copies, which mostly share the smallest hash of their words, count
-    as one text of either kind.  Only what passes the limits is collected.
+    Near copies, by the classes of ``bagminhash`` among the rows, count as one
+    text of either kind; what other texts have in common changes nothing.  Only
+    what passes the limits is collected.
     """
+    texts = rows.groupBy("text").agg(F.max((F.col("toxic") > 0).cast("int")).alias("bad"), F.max((F.col("toxic") <= 0).cast("int")).alias("good"))
+    # a key of each text, as rows may repeat a doc_id with other texts
+    texts = materialise(texts.withColumn("doc_id", F.xxhash64("text")), "families")
+    classes = bagminhash.near_duplicate_classes(texts).select("doc_id", F.col("class_id").alias("family"))
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))), lambda w: F.length(w) >= 4)
-    # both columns come out of a generator, so that no plan computes the hash again for every word
-    both = F.transform(F.array(words), lambda ws: F.struct(ws.alias("words"), F.array_min(F.transform(ws, lambda w: F.xxhash64(w))).alias("family")))
     per_word = (
-        rows.select("text", "toxic").distinct()
-        .select("toxic", F.inline(both))
-        .select("toxic", "family", F.explode("words").alias("word"))
+        texts.join(F.broadcast(classes), "doc_id")  # two numbers for each of the sampled texts
+        .select("family", "bad", "good", F.explode(words).alias("word"))
         .groupBy("word", "family")
-        .agg(F.max((F.col("toxic") > 0).cast("int")).alias("bad"), F.max((F.col("toxic") <= 0).cast("int")).alias("good"))
+        .agg(F.max("bad").alias("bad"), F.max("good").alias("good"))
         .groupBy("word")
         .agg(F.sum(F.col("bad") + F.col("good")).alias("n"), F.sum("bad").alias("bad"))
     )

@@ -127,6 +127,23 @@ def test_toxicity_learns_words_and_stems(spark):
     assert any(r.held_out for r in found) and all(0 <= r.score <= 1 for r in found)
 
 
+def test_toxicity_learns_from_texts_that_share_a_passage(spark):
+    rows, labels, passage = [], [], " ".join(prose(1000 + k) for k in range(4))
+    for k in range(120):
+        bad = k % 4 == 0
+        rows.append((k, f"{passage} {prose(k)}" + (" zorkface" if bad else "")))
+        labels.append((k, 1, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in found)
+
+
+def test_near_copies_are_one_text_when_words_are_learned(spark):
+    rows = [(k, prose(k) + " plainword", 0) for k in range(60)] + [(100 + k, f"{PROSE} {prose(99)} copiedword number{k}", 1) for k in range(30)]
+    words, _ = toxicity.learn_words(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert "copiedword" not in words and "plainword" not in words
+
+
 def test_url_parts_and_rules(spark):
     urls = {
         "http://A.Example.COM/en/7x?q": ("a.example.com", "/en/7x", "example.com/en/7", "allow"),
