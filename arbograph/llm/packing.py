@@ -43,8 +43,10 @@ END_ID = 0
 SHARD_ROWS = 8192
 #: Lower bits of a sequence id: 0 for a bin, else one more than the piece.  The upper ones are the earliest document's place.
 PIECE_BITS = 26
-#: Words whose ids a worker looks up before it starts a new table; the last full one is kept beside it.
-CACHE_WORDS = 400_000
+#: Runs and words whose ids a worker keeps before it starts a new table; what the last full one holds moves over as it is met.
+CACHE_RUNS = 200_000
+#: Texts that go to the library as a whole: characters from U+0300 on, those whose lower case is two, separators that only Python splits at, special tokens.
+OTHER = r"[^\x00-\x1b\x20-\x{012f}\x{0131}-\x{02ff}]|<\|"
 #: Words that are encoded as one text.
 RUN_WORDS = 200
 #: Documents of an Arrow batch.
@@ -58,10 +60,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _plac
 class WordTokenizer:
     """Ids of whole texts by a word-level BPE file of ``tokenizers``.
 
-    The file's rules split a text into words that are encoded independently,
-    so the ids of a word are looked up once.  That holds for characters below U+0300, where normal form
-    C changes nothing; other texts, and texts that may hold a special token,
-    go to the library as a whole.
+    The file's rules split a text at white space and each run between into
+    words that are encoded independently, so the ids of a run are looked up
+    once, and those of words when a new run is met.  That holds for characters
+    below U+0300, where normal form C changes nothing; other texts, and texts
+    that may hold a special token, go to the library as a whole.
     """
 
     def __init__(self, spec: str) -> None:
@@ -76,15 +79,15 @@ class WordTokenizer:
         letters, digits = of("L"), of("N")
         spaces = "\\x09-\\x0d\\x20\\x85\\xa0"
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+")
-        self.other = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u02ff]|<\\|")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, missing: list[str]) -> None:
-        """Enter words not seen yet: many are encoded as one text, and its ids cut after those that end a word."""
+    def learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of words not seen yet: many are encoded as one text, and its ids cut after those that end a word."""
+        learned: dict[str, bytes] = {}
         runs = [missing[k : k + RUN_WORDS] for k in range(0, len(missing), RUN_WORDS)]
         for words, found in zip(runs, self.library.encode_batch_fast([" ".join(x) for x in runs], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
@@ -92,24 +95,36 @@ class WordTokenizer:
             data = ids.tobytes()
             if len(cuts) == len(words) + 1 and cuts[-1] == len(ids):
                 for word, start, end in zip(words, cuts, cuts[1:], strict=False):
-                    self.cache[word] = data[4 * start : 4 * end]
+                    learned[word] = data[4 * start : 4 * end]
             else:
                 for word in words:
-                    self.cache[word] = self.whole(word).tobytes()
+                    learned[word] = self.whole(word).tobytes()
+        return learned
+
+    def look_up(self, wanted: set[str]) -> set[str]:
+        """What the table lacks of ``wanted``; what only the older one holds moves to the new one."""
+        missing = wanted - self.cache.keys()
+        known = missing & self.older.keys()
+        for x in known:
+            self.cache[x] = self.older.pop(x)
+        return missing - known
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        found = [None if self.other.search(t) else self.words.findall(t.lower()) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), pattern=OTHER).to_pylist()
+        found = [None if x else t.lower().split() for t, x in zip(texts, odd, strict=True)]
+        if len(self.cache) > CACHE_RUNS:
             self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        missing = set().union(*(x for x in found if x)) - cache.keys()
-        for x in missing & older.keys():
-            cache[x] = older[x]
-        missing -= older.keys()
-        if missing:
-            self.learn(list(missing))
-        get = cache.__getitem__
+        runs = self.look_up(set().union(*(x for x in found if x)))
+        if runs:
+            split = {x: self.words.findall(x) for x in runs}
+            words = self.look_up(set().union(*split.values()))
+            self.cache |= self.learn(list(words))
+            get = self.cache.__getitem__
+            for x, parts in split.items():
+                if len(parts) > 1:
+                    self.cache[x] = b"".join(map(get, parts))
+        get = self.cache.__getitem__
         return [self.whole(t).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, found, strict=True)]
 
 
