@@ -25,7 +25,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from itertools import accumulate, chain
 from pathlib import Path
 
 import numpy as np
@@ -44,7 +44,9 @@ SHARD_ROWS = 8192
 #: Lower bits of a sequence id: 0 for a bin, else one more than the piece.  The upper ones are the earliest document's place.
 PIECE_BITS = 26
 #: Runs and words whose ids a worker keeps before it starts a new table; what the last full one holds moves over as it is met.
-CACHE_RUNS = 200_000
+CACHE_RUNS = 300_000
+#: What is set apart by spaces before a text is split at them: marks and the short forms after an apostrophe.
+MARKS = r"('s|'t|'re|'ve|'m|'ll|'d|[^\x09-\x0d\x20\x{85}\x{a0}\pL\pN]+)"
 #: Texts that go to the library as a whole: characters from U+0300 on, those whose lower case is two, separators that only Python splits at, special tokens.
 OTHER = r"[^\x00-\x1b\x20-\x{012f}\x{0131}-\x{02ff}]|<\|"
 #: Words that are encoded as one text.
@@ -101,31 +103,57 @@ class WordTokenizer:
                     learned[word] = self.whole(word).tobytes()
         return learned
 
-    def look_up(self, wanted: set[str]) -> set[str]:
-        """What the table lacks of ``wanted``; what only the older one holds moves to the new one."""
-        missing = wanted - self.cache.keys()
-        known = missing & self.older.keys()
-        for x in known:
-            self.cache[x] = self.older.pop(x)
-        return missing - known
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), pattern=OTHER).to_pylist()
-        found = [None if x else t.lower().split() for t, x in zip(texts, odd, strict=True)]
+    def look_up(self, wanted: list[str]) -> list[bytes | None]:
+        """The tables' ids of each; what only the older one holds is entered in the new one."""
+        found = list(map(self.cache.get, wanted))
+        for k in [k for k, x in enumerate(found) if x is None]:
+            if (data := self.older.get(wanted[k])) is not None:
+                found[k] = self.cache[wanted[k]] = data
+        return found
+
+    def runs(self, wanted: list[str]) -> list[bytes]:
+        """The ids of runs without white space: words as a rule, else split into words."""
         if len(self.cache) > CACHE_RUNS:
             self.older, self.cache = self.cache, {}
-        runs = self.look_up(set().union(*(x for x in found if x)))
-        if runs:
-            split = {x: self.words.findall(x) for x in runs}
-            words = self.look_up(set().union(*split.values()))
-            self.cache |= self.learn(list(words))
-            get = self.cache.__getitem__
-            for x, parts in split.items():
-                if len(parts) > 1:
-                    self.cache[x] = b"".join(map(get, parts))
-        get = self.cache.__getitem__
-        return [self.whole(t).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, found, strict=True)]
+        found = self.look_up(wanted)
+        new = [x for x, data in zip(wanted, found, strict=True) if data is None]
+        split = {x: self.words.findall(x) for x in new if not x.isalpha()}
+        words = list({x for x in new if x not in split}.union(*split.values()))
+        known = self.look_up(words)
+        ids = {w: x for w, x in zip(words, known, strict=True) if x is not None}
+        learned = self.learn([w for w, x in zip(words, known, strict=True) if x is None])
+        ids |= learned
+        ids |= {x: b"".join([ids[w] for w in parts]) for x, parts in split.items()}
+        self.cache |= ids
+        return [ids[x] if data is None else data for x, data in zip(wanted, found, strict=True)]
+
+    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, as little-endian unsigned 32-bit numbers, and the number of each text's.
+
+        Equal runs are found by Arrow, so each is looked up once, and ids are
+        gathered for all at once.
+        """
+        texts = pc.fill_null(pa.array(texts).cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, pattern=OTHER)
+        spaced = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(odd, "", texts)), pattern=MARKS, replacement=r" \1 ")
+        parts = pc.utf8_split_whitespace(spaced)
+        coded = parts.flatten().dictionary_encode()
+        known = self.runs(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), "<u4")
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        length = size[code]
+        end = np.cumsum(length)
+        shift = (np.cumsum(size) - size)[code] - (end - length)
+        ids = flat[np.repeat(shift, length) + np.arange(len(shift) and end[-1])]
+        bounds = np.concatenate(([0], end))[parts.offsets.to_numpy()]
+        counts = np.diff(bounds)
+        strange = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(strange):  # their ids go where the others leave nothing
+            own = [self.whole(texts[int(k)].as_py()) for k in strange]
+            counts[strange] = [len(x) for x in own]
+            ids = np.insert(ids, np.repeat(bounds[strange], counts[strange]), np.concatenate(own))
+        return ids, counts
 
 
 _LOADED: dict[int, WordTokenizer] = {}
@@ -185,24 +213,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     of a vocabulary.
     """
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())
-    end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(spec.value)
         for batch in batches:
             for low, high in chunks(batch.column(1), CHUNK_BYTES):
-                ids, texts, places = (c.slice(low, high - low).to_pylist() for c in batch.columns)
-                rows: list[tuple] = []
-                for doc_id, place, data in zip(ids, places, tokenizer.encode([t or "" for t in texts]), strict=True):
-                    data += end
-                    size = len(data) // 4
-                    for piece, start in enumerate(range(0, size, capacity)):
-                        part = data[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part), place))
-                columns = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                ids, texts, places = (c.slice(low, high - low) for c in batch.columns)
+                flat, counts = tokenizer.encode(texts)
+                ends = np.cumsum(counts)
+                flat = np.insert(flat, ends, END_ID).astype("<u4")
+                counts += 1
+                pieces = -(-counts // capacity)
+                row = np.repeat(np.arange(len(counts)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, counts[row] - start)
+                data, at = memoryview(flat.tobytes()), 4 * ((np.cumsum(counts) - counts)[row] + start)
+                sums = [zlib.crc32(data[a : a + n]) for a, n in zip(at.tolist(), (4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                    [ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), places.take(pa.array(row))],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "_place"],
                 )
 
