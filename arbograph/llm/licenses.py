@@ -1,15 +1,19 @@
 """Licence scans by canonical digests, in DataFrame functions only.
 
-A text is brought into a canonical form: lower case, without copyright lines,
-equivalent spellings made one, every run of other characters than letters and
-digits made one space.  Its digest is looked up among those of known licences,
-as a whole; the same is done with each of its lines taken as a text, for notices
-that stand within a document.
+A text is brought into a canonical form: lower case, without lines that name the
+owner of a copyright, every run of other characters than letters and digits made
+one space, equivalent spellings made one, however its lines are wrapped.  Its
+digest is looked up among those of known licences, as a whole; the same is done
+with each of its lines taken as a text, for notices that stand within a
+document.  Lines are brought into their form once for both.
+
+Whole texts of long licences are known by their digests alone.
 
 Defined results: null and empty texts have no licence; of known licences with
 equal digests the first by name counts; a document's notices are distinct and
-sorted; rows that repeat a doc_id share their notices; an empty table gives no
-rows; columns other than doc_id and text are ignored.
+sorted, and each row has those of its own text, null and repeated doc_ids
+included; an empty table gives no rows; columns other than doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +23,11 @@ from pyspark.sql import functions as F
 
 # Spellings taken as equal, from the first to the second.
 SPELLINGS = (("licence", "license"), ("sublicence", "sublicense"), ("organisation", "organization"), ("copyright holder", "copyright owner"), ("merchantibility", "merchantability"), ("https", "http"))
-#: Lines that name the owner of a copyright.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that name the owner of a copyright, by a sign, a year or a place for one ...
+OWNER_LINE = r"(?i)^[^\p{L}\p{N}]*(copyright\s*(\(c\)|©|[0-9\[<{]|by\s)|\(c\)\s*[0-9\[<{]|©|all rights reserved)"
+#: ... or by a name, which isn't one of the words that follow "copyright" in the terms of licences.
+NAMED_LINE = r"^[^\p{L}\p{N}]*[Cc]opyright\s+\p{Lu}"
+TERMS_LINE = r"(?i)^[^\p{L}\p{N}]*copyright\s+(and|claim|disclaimer|holder|interest|law|licen[cs]e|license|notice|or|owner|permission|right|statement|status|treaty)"
 
 # Licences and the names by which notices call them.
 NAMES = {
@@ -61,70 +68,115 @@ TEXTS = (
 )
 
 
+# Digests of the canonical forms of whole texts as published, and of their terms without the appendix.
+DIGESTS = (
+    ("Apache-2.0", "77e1a2c8e9671a8095fa8108104daeae"),
+    ("Apache-2.0", "d44d7dd7bb33c43e91c9d5e48b1d489e"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GPL-2.0", "422f821c6c0b1812cbde7c1c3be04922"),
+    ("GPL-2.0", "26f606e3d78ac5cd21540a2d8adde537"),
+    ("GPL-2.0", "f70d604d4a80209220de9c8357273822"),
+    ("GPL-2.0", "bbaca3ed3cdb6c5370bd8be74388f25f"),
+    ("GPL-3.0", "dd25740036eafeeb440b379ece56a8ae"),
+    ("GPL-3.0", "2048533964f4a556d38eb2de2a0efac8"),
+    ("LGPL-2.1", "1ff066c677365f47fea81c911a7c822e"),
+    ("LGPL-2.1", "678176bc76eced93c061414ea9afa263"),
+    ("LGPL-2.1", "bc5b2209506412796e319e384736323b"),
+    ("LGPL-2.1", "fc13126365c85d1c3d39e113df5144b5"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-2.0", "b5b7a0cf4994910cd0204fba4637d6ec"),
+)
+
+
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text) of all whole texts and notices."""
+    """(licence, text) of all whole texts and notices that are given as such."""
     notices = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
     return [*TEXTS, *notices]
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+def _spelled(form: Column) -> Column:
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+        form = F.replace(form, F.lit(old), F.lit(new))
+    return form
+
+
+def line_forms(text: Column) -> Column:
+    """The canonical form of each line but for spellings; empty for owners' lines."""
 
+    def of(line: Column) -> Column:
+        owner = line.rlike(OWNER_LINE) | (line.rlike(NAMED_LINE) & ~line.rlike(TERMS_LINE))
+        return F.when(owner, "").otherwise(F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")))
 
-def digest(text: Column) -> Column:
-    """Of the canonical form; null if nothing is left of the text."""
-    form = canonical(text)
-    return F.when(form != "", F.md5(form.cast("binary")))
+    return F.transform(F.split(text, "\n"), of)
+
+
+def _digest(form: Column) -> Column:
+    """Null if nothing is left of the text."""
+    return F.when(form != "", F.md5(_spelled(form).cast("binary")))
+
+
+def digests(text: Column) -> Column:
+    """Of the whole text, and then of each line; null for a null text."""
+    whole = lambda forms: _digest(F.array_join(F.filter(forms, lambda x: x != ""), " "))
+    both = F.transform(F.array(line_forms(text)), lambda forms: F.concat(F.array(whole(forms)), F.transform(forms, _digest)))
+    return F.get(both, F.lit(0))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest and license of known texts."""
+    """digest and license of known texts, as a rule those of this module."""
     rows = spark.createDataFrame(known if known is not None else known_texts(), "license string, known string")
-    return rows.groupBy(digest(F.col("known")).alias("digest")).agg(F.min("license").alias("license")).filter("digest is not null")
+    rows = rows.select(F.get(digests(F.col("known")), F.lit(0)).alias("digest"), "license")
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame(list(DIGESTS), "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license")).filter("digest is not null")
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license (of the whole text, or null) and notices (licences that lines name) of every row."""
     table = F.broadcast(known_digests(docs.sparkSession, known))  # as many rows as the driver's list of known texts at most
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    notices = (
-        lines.select("doc_id", digest(F.col("line")).alias("digest"))
-        .join(table, "digest")
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_set("license")).alias("notices"))
-    )
-    whole = own.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left").select("doc_id", "license")
-    return whole.join(notices, "doc_id", "left").select("doc_id", "license", F.array_join(F.coalesce("notices", F.array()), ", ").alias("notices"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    parts = own.select("doc_id", "row", F.posexplode_outer(digests(F.col("text"))).alias("k", "digest"))
+    # one row a text, and one for each of the few lines that are found
+    found = parts.join(table, "digest", "left").filter("license is not null or k = 0 or k is null")
+    notices = F.array_sort(F.collect_set(F.when(F.col("k") > 0, F.col("license"))))
+    rows = found.groupBy("row", "doc_id").agg(F.max(F.when(F.col("k") == 0, F.col("license"))).alias("license"), notices.alias("notices"))
+    return rows.select("doc_id", "license", F.array_join("notices", ", ").alias("notices"))
 
 
 def oracle_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
-    def canonical_sql(x: str) -> str:
-        out = f"regexp_replace(lower({x}), {quoted(COPYRIGHT_LINE)}, '', 'g')"
+    def spelled(x: str) -> str:
         for old, new in SPELLINGS:
-            out = f"replace({out}, {quoted(old)}, {quoted(new)})"
-        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+            x = f"replace({x}, {quoted(old)}, {quoted(new)})"
+        return x
+
+    def forms(text: str) -> str:
+        owner = f"regexp_matches(x, {quoted(OWNER_LINE)}) or (regexp_matches(x, {quoted(NAMED_LINE)}) and not regexp_matches(x, {quoted(TERMS_LINE)}))"
+        line = f"case when {owner} then '' else trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) end"
+        return f"[{line} for x in string_split({text}, chr(10))]"
 
+    whole = "array_to_string([x for x in forms if x <> ''], ' ')"
     values = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in known_texts())
+    listed = ", ".join(f"({quoted(k)}, {quoted(d)})" for k, d in DIGESTS)
     return f"""
-with forms as (
-  select license, {canonical_sql('known')} as form from (values {values}) v(license, known)
+with given as (
+  select license, {forms('known')} as forms from (values {values}) v(license, known)
 ), known as (
-  select md5(form) as digest, min(license) as license from forms where form <> '' group by 1
+  select digest, min(license) as license from (
+    select license, md5({spelled(whole)}) as digest from given where {whole} <> ''
+    union all select * from (values {listed}) v(license, digest)
+  ) group by digest
+), texts as materialized (
+  select row_number() over () as r, doc_id, {forms('text')} as forms from documents
 ), lines as (
-  select doc_id, unnest(string_split(text, chr(10))) as line from documents
+  select r, unnest(forms) as form from texts
 ), noticed as (
-  select doc_id, string_agg(distinct license, ', ' order by license) as notices
-  from (select doc_id, {canonical_sql('line')} as form from lines) l join known on md5(form) = digest where form <> ''
-  group by doc_id
+  select r, string_agg(distinct license, ', ' order by license) as notices
+  from (select r, md5({spelled('form')}) as digest from lines where form <> '') l join known using (digest) group by r
 ), whole as (
-  select doc_id, {canonical_sql('text')} as form from documents
+  select r, doc_id, case when {whole} <> '' then md5({spelled(whole)}) end as digest from texts
 )
-select w.doc_id, case when form <> '' then k.license end as license, coalesce(notices, '') as notices
-from whole w left join known k on md5(form) = k.digest left join noticed n on n.doc_id = w.doc_id
+select w.doc_id, k.license, coalesce(notices, '') as notices
+from whole w left join known k using (digest) left join noticed n using (r)
 """
