@@ -8,9 +8,12 @@ products with the codebooks (asymmetric distances), and reranks the best by the
 exact product of the original vectors in double precision.
 
 How many lists a query visits is fitted: the fewest that hold the wanted share
-of the nearest rows of sampled queries among the sample.  Lists are cut into
-blocks and queries into groups, both of bounded size, so neither a crowded list
-nor many queries must fit in one task.
+of the rows nearest to some probes among all rows, which are found by brute
+force in one pass.  Where vectors have no clusters, as random directions have
+none, that may be half of the lists; the more clustered, the fewer.  Lists are
+cut into blocks and the queries of a list into groups, both of bounded size, so
+neither a crowded list nor many queries must fit in one task, and a list's rows
+are copied only as often as its own queries need.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those whose length is not the commonest one, or
@@ -22,7 +25,7 @@ other than the id and the vector are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,12 @@ from arbograph.session import materialise
 SAMPLE_ROWS, SAMPLE_VALUES = 16_384, 8_000_000
 #: Components that share a codebook, and its entries.
 GROUP, CODES = 2, 256
+#: Lists for the root of the number of rows, and at most; rows of the sample for each of them.
+LISTS, MAX_LISTS, ROWS_A_LIST = 1 / 3, 4_096, 4
 #: The share of the nearest rows that the visited lists are to hold, and the sampled queries that show it.
-COVERAGE, PROBES = 0.97, 512
-#: Up to so many rows all lists are visited.
-VISIT_ALL = 2_000
+COVERAGE, PROBES = 0.97, 256
 #: Rows of a list's block, queries of a group, and rows that a query reranks in each block.
-BLOCK, QUERIES, RERANK = 8_192, 4_096, 512
+BLOCK, QUERIES, RERANK = 8_192, 4_096, 256
 #: Queries whose tables a task holds at once.
 TABLES = 128
 
@@ -88,28 +91,16 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int) -> np.n
     return centres
 
 
-def train(sample: np.ndarray, rows: int, k: int, seed: int = 7) -> Index:
-    """``rows``: the number of rows that will be indexed; ``k``: neighbours that a query wants."""
+def train(sample: np.ndarray, rows: int, seed: int = 7) -> Index:
+    """``rows``: the number of rows that will be indexed.  All lists are visited until ``fit_visits`` has seen the rows."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
-    lists = int(np.clip(round(rows**0.5 / 8), 1, 4096))
+    lists = int(np.clip(round(LISTS * rows**0.5), 1, min(MAX_LISTS, max(1, len(x) // ROWS_A_LIST))))
     centroids = _means(x, lists, rng, 10)
-    coarse = Index(centroids, np.zeros((1, 1, 1), np.float32), lists)
-    own = coarse.assign(x)
     n_groups = -(-x.shape[1] // GROUP)
     shaped = Index(centroids, np.zeros((n_groups, CODES, GROUP), np.float32), lists)
-    parts = shaped.groups(x - centroids[own])
-    books = np.stack([_means(parts[:, j], CODES, rng, 6) for j in range(n_groups)])
-    visits = lists
-    if rows > VISIT_ALL and len(x) > k:
-        picked = rng.choice(len(x), min(PROBES, len(x)), replace=False)
-        near = x[picked] @ x.T
-        near[np.arange(len(picked)), picked] = -np.inf
-        best = np.argpartition(-near, k, axis=1)[:, :k]
-        rank = np.argsort(np.argsort(-(x[picked] @ centroids.T), axis=1), axis=1)
-        at = np.sort(np.take_along_axis(rank, own[best], axis=1).ravel())
-        visits = int(at[min(len(at) - 1, int(np.ceil(COVERAGE * len(at))))]) + 1
-    return Index(centroids, books, visits)
+    parts = shaped.groups(x - centroids[shaped.assign(x)])
+    return Index(centroids, np.stack([_means(parts[:, j], CODES, rng, 6) for j in range(n_groups)]), lists)
 
 
 def _usable(vector: Column) -> Column:
@@ -142,7 +133,8 @@ def build(vectors: DataFrame, k: int) -> tuple[Index | None, DataFrame]:
     sample = vectors.filter(chosen).select("id", "vector").toArrow().sort_by("id")
     if not sample.num_rows:
         sample = vectors.select("id", "vector").limit(wanted).toArrow().sort_by("id")
-    index = train(_matrix(sample.column("vector")), shape["n"], k)
+    x = _matrix(sample.column("vector"))
+    index = train(x, shape["n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +147,37 @@ def build(vectors: DataFrame, k: int) -> tuple[Index | None, DataFrame]:
                     ["list", "id", "codes", "vector"],
                 )
 
-    return index, materialise(vectors.select("id", "vector").mapInArrow(run, schema), "index")
+    rows = materialise(vectors.select("id", "vector").mapInArrow(run, schema), "index")
+    at = np.random.default_rng(1).choice(len(x), min(PROBES, len(x)), replace=False)
+    return fit_visits(index, rows, sample.column("id").to_numpy()[at], x[at], k), rows
+
+
+def fit_visits(index: Index, rows: DataFrame, ids: np.ndarray, probes: np.ndarray, k: int) -> Index:
+    """The index with the fewest visits that reach the wanted share of the k rows nearest to each of some probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = np.full((len(ids), 0), -np.inf)
+        lists = np.zeros((len(ids), 0), np.int32)
+        for batch in batches:
+            if batch.num_rows:
+                found = probes @ _matrix(batch.column(2)).T
+                found[ids[:, None] == batch.column(1).to_numpy()[None, :]] = -np.inf
+                score = np.concatenate([score, found], axis=1)
+                lists = np.concatenate([lists, np.broadcast_to(batch.column(0).to_numpy(), found.shape)], axis=1)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score, lists = np.take_along_axis(score, best, axis=1), np.take_along_axis(lists, best, axis=1)
+        probe, _ = np.nonzero(np.isfinite(score))
+        kept = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(probe.astype(np.int32)), pa.array(score[kept]), pa.array(lists[kept])], ["probe", "score", "list"])
+
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "list")
+    near = rows.select("list", "id", "vector").mapInArrow(run, "probe int, score double, list int")
+    near = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("probe", "list").toArrow()  # at most PROBES times k
+    if not near.num_rows:
+        return index
+    rank = np.argsort(np.argsort(-(probes.astype(np.float32) @ index.centroids.T), axis=1, kind="stable"), axis=1)
+    at = np.sort(rank[near.column("probe").to_numpy(), near.column("list").to_numpy()])
+    return replace(index, visits=int(at[int(np.ceil(COVERAGE * len(at))) - 1]) + 1)
 
 
 def _best(scores: np.ndarray, n: int) -> np.ndarray:
@@ -181,19 +203,18 @@ def search(queries: DataFrame, index: Index | None, rows: DataFrame, k: int) ->
                 lists = pa.ListArray.from_arrays(at, pa.array(near.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "vector", "lists"])
 
-    blocks = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    n_groups = max(1, -(-queries.count() // QUERIES))
+    routed = materialise(queries.mapInArrow(route, "id long, vector array<double>, lists array<int>"), "routed")
+    asked = routed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    held = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = F.broadcast(materialise(held.join(asked, "list"), "lists"))  # a row a list, whose number is bounded
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sent = (
-        queries.mapInArrow(route, "id long, vector array<double>, lists array<int>")
-        .select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.explode("lists").alias("list"))
-        .join(F.broadcast(blocks), "list")  # one row a list
-        .select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("part"), "query_id", "query")
+        routed.select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.explode("lists").alias("list"))
+        .join(cut, "list")
+        .select("list", upto("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), "query_id", "query")
     )
-    held = rows.join(F.broadcast(blocks), "list").select(
-        "list",
-        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("part"),
-        "id", "codes", "vector",
+    held = rows.join(cut, "list").select(
+        "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), upto("parts").alias("part"), "id", "codes", "vector"
     )
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:

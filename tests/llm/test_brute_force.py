@@ -281,6 +281,41 @@ def test_recall(spark, n, hot):
     assert hits >= 0.95 * wanted
 
 
+def test_clustered_vectors_need_few_visits(spark):
+    rng = np.random.default_rng(5)
+    n = 50_000
+    x = rng.normal(size=(300, 32))[rng.integers(0, 300, n)] + 0.35 * rng.normal(size=(n, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(np.arange(0, 32 * n + 1, 32, dtype=np.int32), pa.array(x.ravel()))})
+    df = spark.createDataFrame(table)
+    index, rows = ann.build(ann.usable_vectors(df, "vec_id", "embedding"), 20)
+    sizes = {r["list"]: r["count"] for r in rows.groupBy("list").count().collect()}
+    asked = np.arange(0, n, 500)
+    order = np.argsort(-(x[asked] @ index.centroids.T), axis=1)[:, : index.visits]
+    visited = sum(sizes.get(int(v), 0) for v in order.ravel()) / (len(asked) * n)
+    found = defaultdict(set)
+    for r in ann.search(df.filter("vec_id % 500 = 0").selectExpr("vec_id as id", "cast(embedding as array<double>) as vector"), index, rows, 20).collect():
+        found[r.query_id].add(r.id)
+    hits = 0
+    for q in asked:
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.lexsort((np.arange(n), -s))[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(asked), hits
+    assert visited <= 0.25, visited
+
+
+def test_groups_of_queries_and_blocks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    run = lambda: sorted(map(tuple, ann.nearest(df, df, 5).collect()))
+    whole = run()
+    monkeypatch.setattr(ann, "BLOCK", 37)
+    monkeypatch.setattr(ann, "QUERIES", 23)
+    assert run() == whole
+
+
 # the pipeline
 
 def test_pipeline_on_the_smallest_tables(spark):
