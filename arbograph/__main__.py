@@ -1,4 +1,4 @@
-"""Command line: ``python -m arbograph init|index|query|enrich|stats``.
+"""Command line: ``python -m arbograph init|index|query|sessions|enrich|stats``.
 
 A graph lives in numbered folders below ``--graph``; every command that writes
 reads the latest and writes the next.  Models are named as ``module:attribute``.
@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from arbograph.functions import models
 from arbograph.graph import DocumentGraph
-from arbograph.operators import reads, retrieval, writes
+from arbograph.operators import answers, reads, retrieval, sessions, writes
 from arbograph.plans import indexing
-from arbograph.plans.retrieval_queries import answer_questions
 from arbograph.session import local_session
 from arbograph.sources import documents as source
 
@@ -48,7 +47,7 @@ def _model(name: str | None, default):
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="arbograph", description=__doc__.splitlines()[0])
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, about in (("init", "an empty graph"), ("index", "Markdown files"), ("query", "answer a question"), ("enrich", "ask for missing relationships"), ("stats", "rows of each table")):
+    for name, about in (("init", "an empty graph"), ("index", "Markdown files"), ("query", "answer a question"), ("enrich", "ask for missing relationships"), ("sessions", "list conversations"), ("stats", "rows of each table")):
         c = commands.add_parser(name, help=about)
         c.add_argument("--graph", required=True)
         c.add_argument("--model", help="a client, as module:attribute")
@@ -60,6 +59,8 @@ def main(args: list[str] | None = None) -> None:
         if name == "query":
             c.add_argument("question")
             c.add_argument("--entity", action="append", default=[])
+            c.add_argument("--session", type=int, help="go on with a session; else a new one is begun")
+            c.add_argument("--keep", action="store_true", help="store the session with its turn")
         if name == "enrich":
             c.add_argument("--min-shared", type=int, default=2)
             c.add_argument("--limit", type=int, default=50)
@@ -87,7 +88,13 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "query":
         question = spark.createDataFrame([(1, a.question)], "question_id long, question string").withColumn("intent", models.intent(F.col("question")))
         names = spark.createDataFrame([(1, k, n) for k, n in enumerate(a.entity, 1)], "question_id long, ord int, name string")
-        print(answer_questions(g, question, names, _model(a.model, models.FirstSentence())).first()["answer"])
+        question = question.withColumn("session_id", F.lit(a.session).cast("long"))
+        g, found, turns = answers.ask(g, question, names, _model(a.model, models.FirstSentence()))
+        print(found.answers.first()["answer"])
+        if a.keep:
+            print(f"session {turns.first()['session_id']} in {_save(g, a.graph)}")
+    elif a.command == "sessions":
+        sessions.list_sessions(g).select("session_id", "title", "started_at").show(truncate=False)
     elif a.command == "enrich":
         from arbograph.operators import extraction
 

@@ -47,10 +47,11 @@ class Retrying:
 
 
 class FirstSentence:
-    """Answers with the first sentence of the prompt's last part."""
+    """Answers with the first sentence of the prompt's last part, but for a list of concepts at its end."""
 
     def chat(self, prompt: str) -> str:
-        return prompt.rsplit("\n\n", 1)[-1].split(". ")[0][:200]
+        text = prompt.split("\n## Related Concepts\n")[0].strip()
+        return text.rsplit("\n\n", 1)[-1].split(". ")[0][:200]
 
 
 class HashEmbedder:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbograph.graph import DocumentGraph
+from arbograph.operators.reads import asked_patterns, contains
 from arbograph.schema import EDGES, VERTICES
 
 
@@ -135,27 +136,43 @@ def neighborhood_entities(g: DocumentGraph, entities: DataFrame | None = None) -
     return pairs.join(named, "co_entity_id").select("entity_id", "co_entity_id", "name", "entity_type")
 
 
-def entity_paths(g: DocumentGraph, pairs: DataFrame | None = None, limit: int | None = 10) -> DataFrame:
-    """Paths of two directed edges.
+PATH = ("source_id", "source_name", "mid_id", "mid_name", "mid_type", "r1_type", "target_id", "target_name", "r2_type")
 
-    With ``pairs`` (source_query, target_query) only those whose ends' names
-    contain the queries, the first ``limit`` of each pair; else all paths.
-    """
-    from pyspark.sql import Window
 
-    from arbograph.operators.reads import contains
+def entity_paths(g: DocumentGraph, ends: DataFrame | None = None) -> DataFrame:
+    """Paths of two directed edges, all or those between the ``ends`` (source_id, target_id).
 
+    Ends restrict both edges before they meet.
+    """
     r, e = g["entity_relationships"], g["entities"]
     first = r.select(F.col("source_entity").alias("source_id"), F.col("target_entity").alias("mid_id"), F.col("relationship").alias("r1_type"))
     second = r.select(F.col("source_entity").alias("mid_id"), F.col("target_entity").alias("target_id"), F.col("relationship").alias("r2_type"))
+    if ends is not None:
+        ends = ends.select("source_id", "target_id").distinct()
+        first = first.join(ends.select("source_id").distinct(), "source_id", "left_semi")
+        second = second.join(ends.select("target_id").distinct(), "target_id", "left_semi")
+    paths = first.join(second, "mid_id")
+    if ends is not None:
+        paths = paths.join(ends, ["source_id", "target_id"], "left_semi")
     named = lambda p, *more: e.select(F.col("entity_id").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"), *(F.col("entity_type").alias(m) for m in more))
-    paths = first.join(second, "mid_id").join(named("source"), "source_id").join(named("mid", "mid_type"), "mid_id").join(named("target"), "target_id")
-    columns = ["source_id", "source_name", "mid_id", "mid_name", "mid_type", "r1_type", "target_id", "target_name", "r2_type"]
-    if pairs is None:
-        return paths.select(columns)
-    hits = paths.join(pairs.select("source_query", "target_query").distinct(), contains("source_name", F.col("source_query")) & contains("target_name", F.col("target_query")))
+    return paths.join(named("source"), "source_id").join(named("mid", "mid_type"), "mid_id").join(named("target"), "target_id").select(*PATH)
+
+
+def entity_paths_by_name(g: DocumentGraph, pairs: DataFrame, limit: int | None = 10) -> DataFrame:
+    """The first ``limit`` paths for each of ``pairs`` (source_query, target_query), between entities whose names contain the queries."""
+    pairs = pairs.select("source_query", "target_query").distinct()
+    named = g["entities"].select("entity_id", "name")
+    ends = {}
+    for end in ("source", "target"):
+        asked = asked_patterns(pairs.select(F.col(f"{end}_query").alias("query")))
+        ends[end] = named.join(asked, contains("name", F.col("query"))).select(F.col("query").alias(f"{end}_query"), F.col("entity_id").alias(f"{end}_id"))
+    r = g["entity_relationships"].select(F.col("source_entity").alias("source_id"), F.col("target_entity").alias("mid_id"))
+    s = g["entity_relationships"].select(F.col("source_entity").alias("mid_id"), F.col("target_entity").alias("target_id"))
+    # ids that meet over some middle, so that pairs of ends aren't formed
+    met = r.join(ends["source"].select("source_id").distinct(), "source_id", "left_semi").join(s.join(ends["target"].select("target_id").distinct(), "target_id", "left_semi"), "mid_id")
+    hits = entity_paths(g, met).join(ends["source"], "source_id").join(ends["target"], "target_id").join(pairs, ["source_query", "target_query"])
     order = Window.partitionBy("source_query", "target_query").orderBy("source_id", "mid_id", "target_id", "r1_type", "r2_type")
-    return hits.withColumn("ord", F.row_number().over(order)).filter(F.lit(True) if limit is None else F.col("ord") <= limit).select("source_query", "target_query", "ord", *columns)
+    return hits.withColumn("ord", F.row_number().over(order)).filter(F.lit(True) if limit is None else F.col("ord") <= limit).select("source_query", "target_query", "ord", *PATH)
 
 
 def multi_hop_entities(g: DocumentGraph, max_hops: int = 2, entities: DataFrame | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def all_entities(g: DocumentGraph) -> DataFrame:
     return g["entities"].select("entity_id", "name", "entity_type", "description", "canonical_id", "first_seen_doc", "last_seen_doc").orderBy("entity_id")
 
 
-def _asked(names: DataFrame) -> DataFrame:
+def asked_patterns(names: DataFrame) -> DataFrame:
     """The distinct queries, sent to every task: patterns with wildcards meet names by no key."""
     asked = names.select("query").distinct()
     if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
@@ -67,7 +67,7 @@ def _asked(names: DataFrame) -> DataFrame:
 
 def entity_sections(g: DocumentGraph, names: DataFrame, limit: int = 10) -> DataFrame:
     """For each ``query`` of ``names``, the first sections that mention an entity whose name contains it."""
-    found = g["entities"].select("entity_id", "name").join(_asked(names), contains("name", F.col("query")))
+    found = g["entities"].select("entity_id", "name").join(asked_patterns(names), contains("name", F.col("query")))
     rows = (
         found.select("query", "entity_id").join(g["section_entities"].select("section_id", "entity_id", "relevance"), "entity_id")
         .join(g["sections"].select("section_id", "doc_id", "title", "depth_level", "start_index"), "section_id")
@@ -79,7 +79,7 @@ def entity_sections(g: DocumentGraph, names: DataFrame, limit: int = 10) -> Data
 
 def related_entities(g: DocumentGraph, names: DataFrame, limit: int = 20) -> DataFrame:
     """For each ``query``, the first targets of edges from entities whose name contains it."""
-    found = g["entities"].select(F.col("entity_id").alias("source_entity"), "name").join(_asked(names), contains("name", F.col("query")))
+    found = g["entities"].select(F.col("entity_id").alias("source_entity"), "name").join(asked_patterns(names), contains("name", F.col("query")))
     rows = (
         found.select("query", "source_entity").join(g["entity_relationships"].select("source_entity", F.col("target_entity").alias("entity_id"), "relationship"), "source_entity")
         .join(g["entities"].select("entity_id", "name", "entity_type", "description"), "entity_id")

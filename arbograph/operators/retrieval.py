@@ -109,8 +109,9 @@ def intent_relationship(g: DocumentGraph, resolved: DataFrame) -> DataFrame:
     """Middle entities of two-edge paths between consecutive entities of a question."""
     following = resolved.select("question_id", (F.col("ord") - 1).alias("ord"), F.col("entity_id").alias("target_id"), F.col("entity_name").alias("to_name"))
     pairs = resolved.join(following, ["question_id", "ord"])
-    paths = patterns.entity_paths(g).select("source_id", "target_id", "mid_id", "mid_name", "r1_type")
-    return first_steps(pairs.withColumnRenamed("entity_id", "source_id").join(paths, ["source_id", "target_id"]).select(
+    pairs = pairs.withColumnRenamed("entity_id", "source_id")
+    paths = patterns.entity_paths(g, pairs).select("source_id", "target_id", "mid_id", "mid_name", "r1_type")
+    return first_steps(pairs.join(paths, ["source_id", "target_id"]).select(
         "question_id", F.col("ord").alias("entity_ord"), F.col("mid_id").alias("row_ord"), F.lit("entity").alias("node_type"), F.col("mid_id").alias("node_id"),
         F.col("mid_name").alias("node_label"), F.col("r1_type").alias("edge_label"), F.lit("outbound").alias("edge_direction"),
         _filled(BETWEEN, "entity_name", "to_name").alias("reason"),

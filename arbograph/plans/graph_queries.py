@@ -201,7 +201,7 @@ def entity_paths(g):
   ON lower(p.source_name) LIKE '%' || q.s || '%' AND lower(p.target_name) LIKE '%' || q.t || '%') x WHERE ord <= 10""")
 def entity_paths_by_name(g):
     pairs = g.spark.createDataFrame([("supplier", "1"), ("widget", "red")], "source_query string, target_query string")
-    return patterns.entity_paths(g, pairs)
+    return patterns.entity_paths_by_name(g, pairs)
 
 
 @query("""SELECT t.start_id, t.entity_id, e.name, e.entity_type, t.relationship, t.hops FROM (

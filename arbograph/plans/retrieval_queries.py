@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from arbograph.functions import models
 from arbograph.functions.text import repaired_json
-from arbograph.graph import DocumentGraph
-from arbograph.operators import enrichment, patterns, retrieval
+from arbograph.operators import answers, enrichment, patterns, retrieval
 from arbograph.plans.graph_queries import PATHS
 from arbograph.sources.tables import load_graph, with_views
 
@@ -33,6 +32,31 @@ UNION SELECT a.source_entity, b.target_entity, b.relationship, 2 FROM g_relation
     "q_used": """SELECT turn_id AS question_id, section_id, CAST(row_number() OVER (PARTITION BY turn_id ORDER BY rank_score DESC, section_id) AS INT) AS ord FROM g_turn_sections""",
     "q_full": """SELECT u.question_id, u.ord, u.section_id, s.title, 'MENTIONS' AS relevance, s.summary, s.text_content, s.depth_level, s.start_index, d.doc_name
 FROM q_used u LEFT JOIN (g_sections s JOIN g_documents d ON d.doc_id = s.doc_id) ON s.section_id = u.section_id""",
+    "q_asked": """SELECT turn_id AS question_id, question, ['LOOKUP', 'RELATIONSHIP', 'EXPLORATION', 'COMPARISON', 'HIERARCHICAL', 'TEMPORAL'][(turn_id // 2) % 6 + 1] AS intent FROM g_turns""",
+    "q_words": """SELECT question_id, ord, CASE WHEN (question_id // 2) % 11 = 0 THEN concat('ORDER ', CAST(question_id AS VARCHAR)) ELSE name END AS name FROM q_names WHERE (question_id // 2) % 7 <> 0""",
+    "q_known": """SELECT n.question_id, n.ord, e.entity_id, e.name AS entity_name, a.intent FROM q_words n JOIN q_asked a ON a.question_id = n.question_id
+JOIN (SELECT k.key, min(e.entity_id) AS entity_id FROM (SELECT DISTINCT lower(name) AS key FROM q_words) k JOIN g_entities e ON contains(lower(e.name), k.key) GROUP BY k.key) f ON f.key = lower(n.name)
+JOIN g_entities e ON e.entity_id = f.entity_id""",
+    "q_below": """SELECT parent_id AS top, child_id AS node, 1 AS level FROM g_hierarchy UNION ALL SELECT a.parent_id, b.child_id, 2 FROM g_hierarchy a JOIN g_hierarchy b ON b.parent_id = a.child_id""",
+    "q_hits1": """SELECT r.question_id, 1 AS step, r.ord AS entity_ord, m.section_id AS top, 0 AS level, m.section_id, m.relevance FROM q_known r JOIN g_mentions m ON m.entity_id = r.entity_id
+WHERE r.intent = 'HIERARCHICAL' OR EXISTS (SELECT 1 FROM g_mentions o WHERE o.section_id = m.section_id AND o.entity_id <> m.entity_id)
+UNION ALL SELECT r.question_id, 1, r.ord, m.section_id, b.level, b.node, NULL FROM q_known r JOIN g_mentions m ON m.entity_id = r.entity_id JOIN q_below b ON b.top = m.section_id WHERE r.intent = 'HIERARCHICAL'""",
+    "q_hits2": """SELECT r.question_id, 2 AS step, r.ord AS entity_ord, x.k AS top, 0 AS level, x.section_id, x.relevance FROM q_known r JOIN (
+  SELECT k.key, m.section_id, m.relevance, row_number() OVER (PARTITION BY k.key ORDER BY s.start_index NULLS LAST, m.section_id, m.entity_id) AS k
+  FROM (SELECT DISTINCT lower(entity_name) AS key FROM q_known WHERE question_id NOT IN (SELECT question_id FROM q_hits1)) k
+  JOIN g_entities e ON contains(lower(e.name), k.key) JOIN g_mentions m ON m.entity_id = e.entity_id JOIN g_sections s ON s.section_id = m.section_id) x
+ON x.key = lower(r.entity_name) AND x.k <= 10 WHERE r.question_id NOT IN (SELECT question_id FROM q_hits1)""",
+    "q_hits3": """SELECT question_id, 3 AS step, 0 AS entity_ord, row_number() OVER (PARTITION BY question_id ORDER BY doc_id, start_index NULLS LAST, section_id) AS top, 0 AS level, section_id, NULL AS relevance
+FROM (SELECT DISTINCT w.question_id, s.section_id, s.doc_id, s.start_index FROM q_words w JOIN g_sections s ON contains(lower(s.title), lower(w.name))
+  WHERE w.question_id NOT IN (SELECT question_id FROM q_hits1 UNION ALL SELECT question_id FROM q_hits2)) t""",
+    "q_hits": """SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY entity_ord, top, level, coalesce(relevance, ''), section_id) AS INT) AS ord, section_id, relevance, step
+FROM (SELECT * FROM (SELECT * FROM q_hits1 UNION ALL SELECT * FROM q_hits2 UNION ALL SELECT * FROM q_hits3) u
+QUALIFY row_number() OVER (PARTITION BY question_id, section_id ORDER BY entity_ord, top, level, coalesce(relevance, '')) = 1) f""",
+    "q_near2": """SELECT DISTINCT r.question_id, r.ord AS entity_ord, 0 AS hops, o.entity_id, 'RELATED_TO' AS relationship, '' AS rel FROM q_known r JOIN g_mentions m ON m.entity_id = r.entity_id
+JOIN g_mentions o ON o.section_id = m.section_id AND o.entity_id <> r.entity_id WHERE r.intent <> 'HIERARCHICAL'
+UNION ALL SELECT r.question_id, r.ord, h.hops, h.node_id, h.relationship, h.relationship FROM q_known r JOIN q_hops h ON h.entity_id = r.entity_id WHERE r.intent IN ('EXPLORATION', 'TEMPORAL')""",
+    "q_found": """SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY entity_ord, hops, entity_id, rel) AS INT) AS ord, entity_id, relationship
+FROM (SELECT * FROM q_near2 QUALIFY row_number() OVER (PARTITION BY question_id, entity_id ORDER BY entity_ord, hops, entity_id, rel) = 1) u""",
 }
 
 
@@ -78,6 +102,25 @@ class Questions:
             "question_id", (F.col("ord") * 10**12 + F.col("rid") * 100 + F.length("relationship")).alias("ord"), F.col("rid").alias("entity_id"), F.col("rname").alias("name"), F.col("rtype").alias("entity_type"), "relationship")
 
 
+    @property
+    def asked(self) -> DataFrame:
+        """The questions, with the six intents in turn."""
+        intents = F.array(*map(F.lit, ("LOOKUP", "RELATIONSHIP", "EXPLORATION", "COMPARISON", "HIERARCHICAL", "TEMPORAL")))
+        half = F.floor(F.col("turn_id") / 2)
+        return self.g["turns"].select(F.col("turn_id").alias("question_id"), "question", F.get(intents, (half % 6).cast("int")).alias("intent"))
+
+    @property
+    def words(self) -> DataFrame:
+        """Names of the questions: none for every seventh, a title instead for every eleventh."""
+        half = F.floor(F.col("question_id") / 2)
+        name = F.when(half % 11 == 0, F.concat(F.lit("ORDER "), F.col("question_id").cast("string"))).otherwise(F.col("name"))
+        return self.names.filter(half % 7 != 0).withColumn("name", name)
+
+    @property
+    def known(self) -> DataFrame:
+        return retrieval.resolve_entity_names(self.g, self.words).join(self.asked.select("question_id", "intent"), "question_id")
+
+
 def query(sql: str | None = None):
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,24 +278,51 @@ def repaired_answers(q):
     return q.g["sessions"].select("session_id", ((read["id"] == F.col("session_id")) & read["x"].isNull() & (F.size(read["y"]) == 2)).alias("valid"))
 
 
-@query()
+@query(f"""SELECT s.question_id, CAST(to_json({{'sections': s.l, 'related': coalesce(r.l, [])}}) AS VARCHAR) AS result FROM (
+  SELECT question_id, list({{'title': title, 'doc_name': doc_name, 'summary': substring(summary, 1, 200)}} ORDER BY ord) AS l FROM q_full GROUP BY question_id) s
+LEFT JOIN (SELECT question_id, list({{'name': name, 'entity_type': entity_type, 'relationship': relationship}} ORDER BY name, entity_type, relationship) AS l FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id, entity_id ORDER BY ord) AS k FROM ({_RELATED}) x) y WHERE k = 1 GROUP BY question_id) r ON r.question_id = s.question_id""")
 def structured_retrieve(q):
     return retrieval.structured_retrieve(q.hydrated, retrieval.dedupe_related(q.related))
 
 
-@query()
+_REASON = "CASE intent WHEN 'COMPARISON' THEN 'Comparison context for ''' ELSE 'Section mentions entity ''' END || entity_name || ''''"
+
+
+@query(f"""SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY entity_ord, row_ord, edge_label, reason) AS INT) AS step_number, node_type, node_id, node_label, edge_label, edge_direction, reason FROM (
+  SELECT * FROM (SELECT r.question_id, r.ord AS entity_ord, m.section_id AS row_ord, 'section' AS node_type, m.section_id AS node_id, m.title AS node_label, 'mentions' AS edge_label, 'inbound' AS edge_direction, {_REASON} AS reason
+    FROM q_known r JOIN q_shared m ON m.entity_id = r.entity_id WHERE r.intent NOT IN ('RELATIONSHIP', 'HIERARCHICAL')) n
+    QUALIFY row_number() OVER (PARTITION BY question_id, node_id ORDER BY entity_ord, row_ord, reason) = 1
+  UNION ALL SELECT r.question_id, r.ord, h.node_id + h.hops * CAST(1000000000000 AS BIGINT), 'entity', h.node_id, e.name, h.relationship, 'outbound', 'Multi-hop entity from ''' || r.entity_name || ''''
+    FROM q_known r JOIN q_hops h ON h.entity_id = r.entity_id JOIN g_entities e ON e.entity_id = h.node_id WHERE r.intent IN ('EXPLORATION', 'TEMPORAL')
+  UNION ALL SELECT r.question_id, r.ord, p.mid_id, 'entity', p.mid_id, p.mid_name, p.r1_type, 'outbound', 'Path from ''' || r.entity_name || ''' to ''' || t.entity_name || ''''
+    FROM q_known r JOIN q_known t ON t.question_id = r.question_id AND t.ord = r.ord + 1 JOIN ({PATHS}) p ON p.source_id = r.entity_id AND p.target_id = t.entity_id WHERE r.intent = 'RELATIONSHIP'
+  UNION ALL SELECT * FROM (SELECT r.question_id, r.ord AS entity_ord, b.node AS row_ord, 'section', b.node AS node_id, c.title, 'parent_of', 'outbound', 'Descendant of section ''' || s.title || '''' AS reason
+    FROM q_known r JOIN g_mentions m ON m.entity_id = r.entity_id JOIN q_below b ON b.top = m.section_id JOIN g_sections s ON s.section_id = b.top JOIN g_sections c ON c.section_id = b.node WHERE r.intent = 'HIERARCHICAL') h
+    QUALIFY row_number() OVER (PARTITION BY question_id, node_id ORDER BY entity_ord, row_ord, reason) = 1) u""")
 def question_dispatch(q):
-    """Traversals for every question by its own intent, in one plan."""
-    intents = q.g["turns"].select(F.col("turn_id").alias("question_id"), models.intent(F.col("question")).alias("intent"))
-    return retrieval.dispatch(q.g, q.resolved.join(intents, "question_id"))
-
-
-def answer_questions(g: DocumentGraph, questions: DataFrame, names: DataFrame, client=None, budget: int = 12_000) -> DataFrame:
-    """Questions (question_id, question, intent) with the client's answers over their contexts: the whole path in one plan."""
-    client = client or models.FirstSentence()
-    resolved = retrieval.resolve_entity_names(g, names).join(questions.select("question_id", "intent"), "question_id")
-    steps = retrieval.dispatch(g, resolved).filter("node_type = 'section'")
-    hits = steps.select("question_id", F.col("step_number").alias("ord"), F.col("node_id").alias("section_id"), F.col("node_label").alias("title"), F.lit("").alias("relevance"))
-    texts = retrieval.context(retrieval.context_budget(retrieval.hydrate_sections(g, hits), budget))
-    asked = questions.join(texts, "question_id", "left").withColumn("context", F.coalesce("context", F.lit("No relevant information was found.")))
-    return models.answers(asked, F.concat("question", F.lit("\n\n"), "context"), client, default="An error occurred while the answer was made.")
+    """Traversals for questions of all intents, in one plan."""
+    return retrieval.dispatch(q.g, q.known)
+
+
+@query("SELECT question_id, ord, section_id, relevance, step FROM q_hits")
+def question_sections(q):
+    """The sections that every question's context is made of, and what found them."""
+    return answers.section_hits(q.g, q.asked, q.words, q.known).select("question_id", "ord", "section_id", "relevance", "step")
+
+
+@query("SELECT question_id, ord, entity_id, relationship FROM q_found")
+def question_related(q):
+    return answers.related_entities(q.g, q.known).select("question_id", "ord", "entity_id", "relationship")
+
+
+@query("""SELECT a.question_id, a.intent, CASE WHEN w.question_id IS NULL THEN 'no names' WHEN s.n IS NULL THEN 'no sections' ELSE 'answered' END AS outcome,
+  coalesce(s.n, 0) AS n_sections, coalesce(r.n, 0) AS n_related FROM q_asked a LEFT JOIN (SELECT DISTINCT question_id FROM q_words) w ON w.question_id = a.question_id
+LEFT JOIN (SELECT question_id, count(*) AS n FROM q_hits GROUP BY question_id) s ON s.question_id = a.question_id
+LEFT JOIN (SELECT question_id, count(*) AS n FROM q_found GROUP BY question_id) r ON r.question_id = a.question_id""")
+def question_answers(q):
+    """All questions answered by the stand-in client: what became of them, and over how much."""
+    found = answers.answer(q.g, q.asked, q.words)
+    counted = lambda rows, name: rows.groupBy("question_id").agg(F.count("*").alias(name))
+    out = found.answers.join(counted(found.sections, "n_sections"), "question_id", "left").join(counted(found.related, "n_related"), "question_id", "left")
+    return out.select("question_id", "intent", "outcome", F.coalesce("n_sections", F.lit(0)).alias("n_sections"), F.coalesce("n_related", F.lit(0)).alias("n_related"))

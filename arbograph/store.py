@@ -98,7 +98,7 @@ class DocumentStore:
 
     def find_entity_paths(self, source_name: str, target_name: str) -> DataFrame:
         pair = self._frame([(source_name, target_name)], "source_query string, target_query string")
-        return patterns.entity_paths(self.graph, pair).orderBy("ord")
+        return patterns.entity_paths_by_name(self.graph, pair).orderBy("ord")
 
     def get_multi_hop_entities(self, entity_id: int, max_hops: int = 2) -> DataFrame:
         return patterns.multi_hop_entities(self.graph, max_hops, self._ids("entity_id", entity_id)).orderBy("hops", "entity_id")

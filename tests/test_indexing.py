@@ -8,7 +8,6 @@ from arbograph.functions import models
 from arbograph.graph import DocumentGraph
 from arbograph.operators import extraction, retrieval, structure
 from arbograph.plans import indexing
-from arbograph.plans.retrieval_queries import answer_questions
 from arbograph.store import DocumentStore
 
 V1 = "# Report\nAcme makes a Bolt.\n## Risks\nNothing."
@@ -116,17 +115,6 @@ def test_enrichment_and_resolution(spark, indexed):
     assert [(float(r.similarity), r.confirmed) for r in g["entity_aliases"].collect()] == [(1.0, 0)]
 
 
-def test_questions_are_answered_over_their_contexts(spark, indexed):
-    class Echo:
-        def chat(self, prompt):
-            return prompt
-
-    questions = spark.createDataFrame([(1, "What is Acme?", "LOOKUP"), (2, "Who?", "LOOKUP")], "question_id long, question string, intent string")
-    names = spark.createDataFrame([(1, 1, "acme")], "question_id long, ord int, name string")
-    found = {r.question_id: r.answer for r in answer_questions(indexed, questions, names, Echo()).collect()}
-    assert "### Risks" in found[1] and "Betacorp competes" in found[1] and "No relevant information" in found[2]
-
-
 def test_names_and_prompts_are_bounded(spark):
     rows = [(1, f"n{k:03}", "T", k) for k in range(80)]
     seen = []

@@ -12,8 +12,10 @@ def test_a_graph_is_made_indexed_and_asked(spark, tmp_path, capsys, monkeypatch)
         cli.main(["stats", "--graph", graph])
     cli.main(["init", "--graph", graph])
     cli.main(["index", "--graph", graph, "--markdown", str(tmp_path / "a.md"), "--terms", str(tmp_path / "terms.csv")])
-    cli.main(["query", "--graph", graph, "What is Acme?", "--entity", "acme"])
+    cli.main(["query", "--graph", graph, "What is Acme?", "--entity", "acme", "--keep"])
+    cli.main(["query", "--graph", graph, "What else?", "--entity", "bolts", "--session", "1"])
+    cli.main(["sessions", "--graph", graph])
     cli.main(["enrich", "--graph", graph, "--dry-run"])
     cli.main(["stats", "--graph", graph])
     said = capsys.readouterr().out
-    assert "Acme makes bolts" in said and "section_entities" in said
+    assert "Acme makes bolts" in said and "section_entities" in said and "session 1 in" in said and "What is Acme?" in said
