@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from arbograph.graph import DocumentGraph
 from arbograph.session import materialise
 
-MAX_LEVELS = 100
+#: Levels between looks for cycles.
+LOOK = 16
 
 
 class CycleError(ValueError):
-    """A walk didn't end within ``MAX_LEVELS`` levels."""
+    """A walk comes back to a node."""
 
 
-def walks(edges: DataFrame, starts: DataFrame | None = None, nocycle: bool = False, max_levels: int = MAX_LEVELS) -> DataFrame:
+def _goes_round(out: DataFrame) -> bool:
+    """Whether a walk is longer than the nodes that its start reaches are many, as only a cycle lets it be."""
+    reached = out.groupBy("start").agg(F.max("level").alias("l"), F.count_distinct("node").alias("n"))
+    return not reached.filter("l > n").isEmpty()
+
+
+def walks(edges: DataFrame, starts: DataFrame | None = None, nocycle: bool = False, look: int = LOOK) -> DataFrame:
     """(start, node, level) for every downward path of ``edges`` (parent, child); one row a path.
 
     Each level is one equi-join of the last level's ends with the edges, and is
     written before the next, so plans stay flat and lost executors lose no
     level.  A cycle raises, or with ``nocycle`` a path ends before it repeats a
-    node.
+    node.  Trees may have any depth.
     """
     first = edges if starts is None else edges.join(starts.select(F.col("start").alias("parent")).distinct(), "parent", "left_semi")
     front = first.select(F.col("parent").alias("start"), F.col("child").alias("node"), F.lit(1).alias("level"))
@@ -30,8 +37,8 @@ def walks(edges: DataFrame, starts: DataFrame | None = None, nocycle: bool = Fal
     front = materialise(front, "level")
     out, level = front, 1
     while not front.isEmpty():
-        if level >= max_levels:
-            raise CycleError(f"more than {max_levels} levels")
+        if not nocycle and level % look == 0 and _goes_round(out):
+            raise CycleError("a walk comes back to a node")
         level += 1
         front = front.withColumnRenamed("node", "parent").join(edges, "parent").withColumn("level", F.lit(level)).withColumnRenamed("child", "node")
         if nocycle:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbograph.session import materialise
+
 from arbograph.functions.text import estimated_tokens, page_tag, parent_code, zero_padded
 from arbograph.operators.hierarchy import walks
 
@@ -245,19 +247,20 @@ def page_groups(pages: DataFrame, max_tokens: int = 20_000, overlap: int = 1) ->
 NODE = "title string, node_id string, start_index int, end_index int, summary string, nodes string"
 
 
-def flatten_tree(trees: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Nodes of nested JSON structures (doc_id, json), with their path and depth, level by level."""
-    level = trees.select("doc_id", F.lit(0).alias("depth"), F.lit("").alias("path"), F.from_json(F.get_json_object("json", "$.structure"), "array<string>").alias("nodes"))
-    out = None
-    for depth in range(max_depth):
+def flatten_tree(trees: DataFrame) -> DataFrame:
+    """Nodes of nested JSON structures (doc_id, json), with their path and depth; levels are stored one after the other until one is empty."""
+    level = trees.select("doc_id", F.lit("").alias("path"), F.from_json(F.get_json_object("json", "$.structure"), "array<string>").alias("nodes"))
+    out, depth = None, 0
+    while True:
         parsed = level.select("doc_id", "path", F.posexplode("nodes").alias("k", "json"))
         parsed = parsed.select("doc_id", F.concat("path", F.lpad(F.col("k").cast("string"), 6, "0"), F.lit(".")).alias("path"), F.from_json("json", NODE).alias("n"))
-        rows = parsed.select("doc_id", F.lit(depth).alias("depth"), "path", "n.title", "n.node_id", "n.start_index", "n.end_index", "n.summary")
+        parsed = materialise(parsed.select("doc_id", "path", "n.*"), "level")
+        rows = parsed.select("doc_id", F.lit(depth).alias("depth"), "path", "title", "node_id", "start_index", "end_index", "summary")
         out = rows if out is None else out.unionByName(rows)
-        level = parsed.select("doc_id", "path", F.from_json("n.nodes", "array<string>").alias("nodes")).filter("size(nodes) > 0")
+        level = parsed.select("doc_id", "path", F.from_json("nodes", "array<string>").alias("nodes")).filter("size(nodes) > 0")
+        depth += 1
         if level.isEmpty():
-            break
-    return out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
+            return out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
 
 
 def nested_json(tree: DataFrame) -> DataFrame:

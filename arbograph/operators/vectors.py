@@ -2,72 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbograph.functions.text import cosine
+from arbograph.session import materialise
 
-#: Probes that are held by a task at once; more probes mean more passes.
-PROBES = 8_192
+#: Rows and probes of a block, and probes whose products a task holds at once.
+ROWS, PROBES, AT_ONCE = 16_384, 8_192, 256
 
 
-def similar_entities(entities: DataFrame, probes: DataFrame, threshold: float, k: int = 5) -> DataFrame:
-    """For each probe the k nearest other entities of its type below a cosine distance.
+def _nearest(rows: DataFrame, probes: DataFrame, k: int, below: float, earlier: bool) -> DataFrame:
+    """(probe_id, id, score) of the k rows most similar to each probe; both are (id, key, vector).
 
-    Both have entity_id, entity_type and name_embedding; null types and vectors
-    match nothing.
+    Rows and probes of a key, with vectors of equal length, are cut into blocks
+    of bounded size by their counts, and every block of probes meets every
+    block of rows, so a key that most rows share is spread over tasks.  Of a
+    pair of blocks only each probe's k best are kept.
     """
-    p = probes.filter("name_embedding is not null").select(F.col("entity_id").alias("probe_id"), "entity_type", F.col("name_embedding").alias("probe"))
-    e = entities.filter("name_embedding is not null").select("entity_id", "entity_type", "name_embedding")
-    near = (
-        e.join(p, "entity_type").filter("entity_id <> probe_id")
-        .select("probe_id", "entity_id", "entity_type", F.round(1 - cosine(F.col("name_embedding"), F.col("probe")), 6).alias("distance"))
-        .filter(F.col("distance") < threshold)
-    )
-    order = Window.partitionBy("probe_id").orderBy("distance", "entity_id")
-    return near.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= k)
+    spark = rows.sparkSession
+    rows, probes = (x.select(F.col("id").alias("id"), F.col("key").alias("key"), F.size("vector").alias("size"), F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null and key is not null") for x in (rows, probes))
+    count = lambda x, n, name: x.groupBy("key", "size").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    cut = materialise(count(rows, ROWS, "row_blocks").join(count(probes, PROBES, "probe_blocks"), ["key", "size"]), "blocks")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["key", "size", "row_block", "probe_block"]
+    held = rows.join(cut, ["key", "size"]).select("key", "size", part("row_blocks").alias("row_block"), every("probe_blocks").alias("probe_block"), "id", "vector")
+    sent = probes.join(cut, ["key", "size"]).select("key", "size", every("row_blocks").alias("row_block"), part("probe_blocks").alias("probe_block"), "id", "vector")
+
+    def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        vectors = table.column("vector").combine_chunks()
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return table.column("id").to_numpy(), np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            ids, x = unit(left.sort_by("id"))
+            names, p = unit(right)
+            for low in range(0, len(names), AT_ONCE):
+                own = names[low : low + AT_ONCE]
+                score = (p[low : low + AT_ONCE] @ x.T).round(6)
+                out = np.isnan(score) | (np.round(1 - score, 6) >= below)
+                if earlier:
+                    out |= ids[None, :] >= own[:, None]
+                score[out] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # of equal scores the smaller id
+                value = np.take_along_axis(score, best, axis=1)
+                kept = np.isfinite(value)
+                found.append((np.repeat(own, kept.sum(axis=1)), ids[best][kept], value[kept]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(dict(zip(("probe_id", "id", "score"), columns, strict=True)))
+
+    if cut.isEmpty():
+        return spark.createDataFrame([], "probe_id long, id long, score double")
+    return held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(meet, "probe_id long, id long, score double")
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("probe_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= k)
 
 
-def cosine_topk(rows: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame:
-    """The k rows of (id, vector) most similar to each probe (id, vector), over all rows.
+def similar_entities(entities: DataFrame, probes: DataFrame, threshold: float, k: int = 5, earlier: bool = False) -> DataFrame:
+    """For each probe the k nearest other entities of its type below a cosine distance, with ``earlier`` those with smaller ids.
 
-    Probes go to the tasks in blocks of a fixed number; each batch of rows
-    gives its own k best of every probe, so no pairs are kept beyond those.
+    Both have entity_id, entity_type and name_embedding; null types and vectors
+    match nothing, nor do vectors of different lengths.
     """
-    n_blocks = max(1, -(-probes.count() // PROBES))
-    schema = "probe_id long, id long, score double"
-    out = None
-    for block in range(n_blocks):
-        part = probes.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).select("id", "vector").toPandas()
-        if not len(part):
-            continue
-        names, matrix = part["id"].to_numpy(), np.array(part["vector"].tolist(), np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            norms = np.linalg.norm(matrix, axis=1)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy()
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                both = norms[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                score = np.divide(matrix @ x.T, both, out=np.zeros_like(both), where=both > 0).round(6)
-                best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, axis=1).ravel())],
-                    ["probe_id", "id", "score"],
-                )
-
-        found = rows.select("id", "vector").mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], schema + ", ord int")
-    order = Window.partitionBy("probe_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= k)
+    of = lambda x: x.select(F.col("entity_id").alias("id"), F.col("entity_type").alias("key"), F.col("name_embedding").alias("vector"))
+    found = _nearest(of(entities), of(probes), k + 1, threshold, earlier).filter("id <> probe_id")
+    kinds = probes.select(F.col("entity_id").alias("probe_id"), "entity_type").distinct()
+    return _first(found, k).join(kinds, "probe_id").select("probe_id", F.col("id").alias("entity_id"), "entity_type", F.round(1 - F.col("score"), 6).alias("distance"), "ord")
+
+
+def cosine_topk(rows: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame:
+    """The k rows of (id, vector) most similar to each probe (id, vector), over all rows; zero vectors score 0."""
+    of = lambda x: x.select("id", F.lit("").alias("key"), "vector")
+    return _first(_nearest(of(rows), of(probes), k, np.inf, False), k)
 
 
 def resolution_action(distance: Column, auto: float = 0.15, ask: float = 0.3) -> Column:

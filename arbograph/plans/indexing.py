@@ -99,7 +99,7 @@ def resolve_entities(g: DocumentGraph, embedder: models.Embedder, client: models
     made = materialise(models.embeddings(missing, "name", embedder, "name_embedding"), "embedded")
     g = _stored(writes.update_entity_embedding(g, made.select("entity_id", "name_embedding")), "entities")
     probes = g["entities"].join(made.select("entity_id"), "entity_id", "left_semi")
-    near = materialise(vectors.similar_entities(g["entities"], probes, ask), "near")
+    near = materialise(vectors.similar_entities(g["entities"], probes, ask, earlier=True), "near")
     confirmed = None if client is None else extraction.confirm(near.filter(F.col("distance") >= auto), g["entities"].select("entity_id", "name"), client)
     aliases = materialise(vectors.entity_aliases(near, confirmed, auto, ask), "aliases")
     g = writes.insert_entity_aliases(g, aliases)

@@ -264,8 +264,12 @@ _SIMILAR = f"""SELECT * FROM (
   WHERE p.entity_id % 100 = 0 AND round(1 - list_cosine_similarity(e.v, p.v), 6) < 0.9) x WHERE ord <= 5"""
 
 
+def _entities(d):
+    return d.embeddings().select((F.col("vec_id") + 1).alias("entity_id"), F.col("label").cast("string").alias("entity_type"), F.col("embedding").alias("name_embedding"))
+
+
 def _similar(d):
-    e = d.embeddings().select((F.col("vec_id") + 1).alias("entity_id"), F.col("label").cast("string").alias("entity_type"), F.col("embedding").alias("name_embedding"))
+    e = _entities(d)
     return vectors.similar_entities(e, e.filter("entity_id % 100 = 0"), 0.9)
 
 
@@ -274,6 +278,14 @@ def similar_entities(d):
     return _similar(d)
 
 
+#: Every entity against the earlier ones of its type.
+_RESOLVED = _SIMILAR.replace("p.entity_id <> e.entity_id", "p.entity_id > e.entity_id").replace("p.entity_id % 100 = 0 AND ", "")
+
+
+def _resolved(d):
+    return vectors.similar_entities(_entities(d), _entities(d), 0.9, earlier=True)
+
+
 _TOPK = f"""SELECT probe_id, id, score, ord FROM (
   SELECT p.entity_id AS probe_id, e.entity_id AS id, round(list_cosine_similarity(e.v, p.v), 6) AS score,
     CAST(row_number() OVER (PARTITION BY p.entity_id ORDER BY round(list_cosine_similarity(e.v, p.v), 6) DESC, e.entity_id) AS INT) AS ord
@@ -290,20 +302,20 @@ def cosine_topk(d):
     return _topk(d)
 
 
-@query(f"SELECT probe_id, entity_id, distance, CASE WHEN distance < 0.6 THEN 'auto' WHEN distance < 0.75 THEN 'llm' ELSE 'reject' END AS action FROM ({_SIMILAR}) s")
+@query(f"SELECT probe_id, entity_id, distance, CASE WHEN distance < 0.6 THEN 'auto' WHEN distance < 0.75 THEN 'llm' ELSE 'reject' END AS action FROM ({_RESOLVED}) s")
 def resolution_action(d):
-    return _similar(d).select("probe_id", "entity_id", "distance", vectors.resolution_action(F.col("distance"), 0.6, 0.75).alias("action"))
+    return _resolved(d).select("probe_id", "entity_id", "distance", vectors.resolution_action(F.col("distance"), 0.6, 0.75).alias("action"))
 
 
 @query(f"""SELECT entity_id AS canonical_id, probe_id AS alias_id, round(1 - distance, 4) AS similarity, 0 AS confirmed FROM (
-  SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY distance, entity_id) AS k FROM ({_SIMILAR}) s WHERE entity_id < probe_id AND distance < 0.85) x WHERE k = 1""")
+  SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY distance, entity_id) AS k FROM ({_RESOLVED}) s WHERE distance < 0.85) x WHERE k = 1""")
 def entity_aliases(d):
-    return vectors.entity_aliases(_similar(d), None, 0.85, 0.9)
+    return vectors.entity_aliases(_resolved(d), None, 0.85, 0.9)
 
 
-@query(f"""SELECT action, count(*) AS n FROM (SELECT CASE WHEN distance < 0.6 THEN 'auto' WHEN distance < 0.75 THEN 'llm' ELSE 'reject' END AS action FROM ({_SIMILAR}) s) x GROUP BY action""")
+@query(f"""SELECT action, count(*) AS n FROM (SELECT CASE WHEN distance < 0.6 THEN 'auto' WHEN distance < 0.75 THEN 'llm' ELSE 'reject' END AS action FROM ({_RESOLVED}) s) x GROUP BY action""")
 def resolution_stats(d):
-    return vectors.resolution_stats(_similar(d), 0.6, 0.75)
+    return vectors.resolution_stats(_resolved(d), 0.6, 0.75)
 
 
 @query("SELECT doc_id, sum(tokens / 1000.0) / sqrt(count(*) + 1) AS doc_score FROM t_pages GROUP BY doc_id")

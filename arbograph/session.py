@@ -1,8 +1,9 @@
 """Session and shared-storage helpers.
 
 Executors can be lost at any time, so intermediate tables are written as
-Parquet to the folder every machine can reach (``spark.checkpoint.dir``); a
-temporary folder is set only when the session names none, as in local tests.
+Parquet to the folder every machine can reach (``spark.checkpoint.dir``).  Where
+the session names none, a local one gets a temporary folder, as in tests, and
+any other raises.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="arbograph-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(own)

@@ -7,6 +7,7 @@ what its key selects.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,18 @@ from pyspark.sql import functions as F
 
 from arbograph.graph import DocumentGraph
 from arbograph.operators import enrichment, hierarchy, patterns, reads, sessions, temporal, vectors, views, writes
-from arbograph.session import materialise
+from arbograph.session import materialise, shared_dir
+
+#: Rows that are added to a table as files of their own before it is written again.
+FILES = 256
 
 
 class DocumentStore:
     def __init__(self, graph: DocumentGraph, small: bool = False) -> None:
         """``small``: tables are stored as one file each, for graphs that are written row by row."""
         self.graph, self.small = graph, small
+        self.paths: dict[str, str] = {}
+        self.files: dict[str, int] = {}
 
     @property
     def spark(self) -> SparkSession:
@@ -144,15 +150,33 @@ class DocumentStore:
 
     # writes
 
-    def _write(self, table: str, write, row: tuple, schema: str) -> None:
-        """One row written; the table is stored, so plans don't grow from write to write."""
-        graph = write(self.graph, self._frame([row], schema))
-        self.graph = graph.with_table(table, materialise(graph[table].coalesce(1) if self.small else graph[table], table))
+    def _insert(self, table: str, key: str, write, row: tuple, schema: str) -> int:
+        """One row as a further file of the table, and its id.
+
+        The table is stored once, when the store first writes to it; after
+        ``FILES`` rows its files are made few again.
+        """
+        held = self.graph[table]
+        last = held.orderBy(F.desc_nulls_last(key)).limit(1)  # all that a new id depends on
+        before = held.agg(F.max(key)).first()[0] or 0
+        new = write(self.graph.with_table(table, last), self._frame([row], schema))[table].filter(F.col(key) > before).coalesce(1)
+        if table not in self.paths or self.files.get(table, 0) >= FILES:
+            folder = f"{shared_dir(self.spark)}/{table}-{uuid.uuid4().hex}"
+            (held.coalesce(1) if self.small else held).write.parquet(folder)
+            self.paths[table], self.files[table] = folder, 0
+        new.write.mode("append").parquet(self.paths[table])
+        self.files[table] += 1
+        self.graph = self.graph.with_table(table, self.spark.read.schema(held.schema).parquet(self.paths[table]))
+        return before + 1
+
+    def _update(self, table: str, write, row: tuple, schema: str) -> None:
+        """One row changed: the table is written again."""
+        held = write(self.graph, self._frame([row], schema))[table]
+        self.paths.pop(table, None)
+        self.graph = self.graph.with_table(table, materialise(held.coalesce(1) if self.small else held, table))
 
     def _new(self, table: str, key: str, write, row: dict, schema: str) -> int:
-        before = self.graph[table].agg(F.max(key)).first()[0] or 0
-        self._write(table, write, tuple(row.values()), schema)
-        return before + 1
+        return self._insert(table, key, write, tuple(row.values()), schema)
 
     def insert_document(self, doc_name, doc_description=None, source_path=None, doc_group=None, doc_version=1) -> int:
         row = {"doc_name": doc_name, "doc_description": doc_description, "source_path": source_path, "doc_group": doc_group, "doc_version": doc_version}
@@ -170,29 +194,29 @@ class DocumentStore:
         return self._new("entities", "entity_id", writes.upsert_entities, {"name": name, "entity_type": entity_type, "description": description}, "name string, entity_type string, description string")
 
     def insert_hierarchy_edge(self, parent_id, child_id) -> None:
-        self._write("section_hierarchy", writes.insert_hierarchy_edges, (parent_id, child_id), "parent_id long, child_id long")
+        self._insert("section_hierarchy", "edge_id", writes.insert_hierarchy_edges, (parent_id, child_id), "parent_id long, child_id long")
 
     def insert_mention_edge(self, section_id, entity_id, relevance="MENTIONS") -> None:
-        self._write("section_entities", writes.insert_mention_edges, (section_id, entity_id, relevance), "section_id long, entity_id long, relevance string")
+        self._insert("section_entities", "edge_id", writes.insert_mention_edges, (section_id, entity_id, relevance), "section_id long, entity_id long, relevance string")
 
     def insert_entity_relationship(self, source_id, target_id, relationship="RELATED_TO") -> None:
-        self._write("entity_relationships", writes.insert_entity_relationships, (source_id, target_id, relationship), "source_entity long, target_entity long, relationship string")
+        self._insert("entity_relationships", "edge_id", writes.insert_entity_relationships, (source_id, target_id, relationship), "source_entity long, target_entity long, relationship string")
 
     def insert_enriched_relationship(self, source_id, target_id, relationship, confidence=0.8) -> None:
-        self._write("entity_relationships", writes.insert_enriched_relationships, (source_id, target_id, relationship, confidence), "source_entity long, target_entity long, relationship string, confidence double")
+        self._insert("entity_relationships", "edge_id", writes.insert_enriched_relationships, (source_id, target_id, relationship, confidence), "source_entity long, target_entity long, relationship string, confidence double")
 
     def insert_entity_alias(self, canonical_id, alias_id, similarity, confirmed=0) -> None:
-        self._write("entity_aliases", writes.insert_entity_aliases, (canonical_id, alias_id, similarity, confirmed), "canonical_id long, alias_id long, similarity double, confirmed int")
+        self._insert("entity_aliases", "edge_id", writes.insert_entity_aliases, (canonical_id, alias_id, similarity, confirmed), "canonical_id long, alias_id long, similarity double, confirmed int")
 
     def update_entity_canonical(self, entity_id, canonical_id) -> None:
-        self._write("entities", writes.update_entity_canonical, (entity_id, canonical_id), "entity_id long, canonical_id long")
+        self._update("entities", writes.update_entity_canonical, (entity_id, canonical_id), "entity_id long, canonical_id long")
 
     def update_entity_embedding(self, entity_id, embedding) -> None:
-        self._write("entities", writes.update_entity_embedding, (entity_id, [float(x) for x in embedding]), "entity_id long, name_embedding array<float>")
+        self._update("entities", writes.update_entity_embedding, (entity_id, [float(x) for x in embedding]), "entity_id long, name_embedding array<float>")
 
     def insert_temporal_edge(self, source_doc_id, target_doc_id, entity_id, change_type, old_value=None, new_value=None, confidence=1.0) -> None:
         row = (source_doc_id, target_doc_id, entity_id, change_type, old_value, new_value, confidence)
-        self._write("temporal_edges", writes.insert_temporal_edges, row, "source_doc_id long, target_doc_id long, entity_id long, change_type string, old_value string, new_value string, confidence double")
+        self._insert("temporal_edges", "edge_id", writes.insert_temporal_edges, row, "source_doc_id long, target_doc_id long, entity_id long, change_type string, old_value string, new_value string, confidence double")
 
     def create_session(self, title=None, metadata=None) -> int:
         return self._new("sessions", "session_id", writes.create_sessions, {"title": title, "metadata": metadata}, "title string, metadata string")
@@ -202,10 +226,10 @@ class DocumentStore:
         return self._new("turns", "turn_id", writes.create_turns, row, "session_id long, turn_number int, question string, intent string")
 
     def update_turn_answer(self, turn_id, answer) -> None:
-        self._write("turns", writes.update_turn_answer, (turn_id, answer), "turn_id long, answer string")
+        self._update("turns", writes.update_turn_answer, (turn_id, answer), "turn_id long, answer string")
 
     def insert_turn_entity(self, turn_id, entity_id, role="REFERENCED") -> None:
-        self._write("turn_entities", writes.insert_turn_entities, (turn_id, entity_id, role), "turn_id long, entity_id long, role string")
+        self._insert("turn_entities", "edge_id", writes.insert_turn_entities, (turn_id, entity_id, role), "turn_id long, entity_id long, role string")
 
     def insert_turn_section(self, turn_id, section_id, rank_score=None) -> None:
-        self._write("turn_sections", writes.insert_turn_sections, (turn_id, section_id, rank_score), "turn_id long, section_id long, rank_score double")
+        self._insert("turn_sections", "edge_id", writes.insert_turn_sections, (turn_id, section_id, rank_score), "turn_id long, section_id long, rank_score double")

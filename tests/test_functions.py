@@ -1,7 +1,9 @@
 """Column expressions, sequential algorithms and models, against plain Python."""
 
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +169,35 @@ def test_structures_survive_a_round_trip(spark, tmp_path):
     assert [(r.depth, r.title, r.node_id, r.end_index) for r in back] == [(0, "A", "0000", 5), (1, "B", "0001", 3), (2, "C", "0002", 3), (0, "D", "0003", 9)]
 
 
+def test_deep_structures_are_flattened_to_their_leaves(spark):
+    nested = {"title": "n30"}
+    for k in range(29, -1, -1):
+        nested = {"title": f"n{k}", "nodes": [nested]}
+    rows = structure.flatten_tree(spark.createDataFrame([(1, json.dumps({"structure": [nested]})), (2, "{}"), (3, None)], "doc_id long, json string")).collect()
+    assert sorted((r.depth, r.title) for r in rows) == [(k, f"n{k}") for k in range(31)]
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6))
+    x[7] = 0
+    df = spark.createDataFrame([(k, "ab"[k % 3 > 0], v.tolist()) for k, v in enumerate(x)] + [(900, None, [1.0] * 6), (901, "a", None), (902, "a", [1.0])], "entity_id long, entity_type string, name_embedding array<double>")
+    top = lambda: sorted((r.probe_id, r.id, r.score, r.ord) for r in vectors.cosine_topk(df.selectExpr("entity_id as id", "name_embedding as vector").filter("id < 900"), df.selectExpr("entity_id as id", "name_embedding as vector").filter("id % 9 = 0 and id < 900"), 4).collect())
+    near = lambda e: sorted((r.probe_id, r.entity_id, r.distance, r.ord) for r in vectors.similar_entities(df, df, 0.8, 3, e).collect())
+    whole = top(), near(False), near(True)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    for probe in (0, 9, 18):
+        score = (u @ u[probe]).round(6)
+        assert [i for p, i, _, _ in sorted(whole[0], key=lambda r: r[3]) if p == probe] == np.lexsort((np.arange(300), -score))[:4].tolist()
+    assert all(i < p for p, i, _, _ in whole[2]) and all(i != p and (i % 3 > 0) == (p % 3 > 0) and d < 0.8 for p, i, d, _ in whole[1])
+    expected = sum(min(3, int(((np.round(1 - (u @ u[p]).round(6), 6) < 0.8) & ((np.arange(300) % 3 > 0) == (p % 3 > 0)) & (np.arange(300) < p)).sum())) for p in range(300))
+    assert len(whole[2]) == expected
+    monkeypatch.setattr(vectors, "ROWS", 37)
+    monkeypatch.setattr(vectors, "PROBES", 11)
+    monkeypatch.setattr(vectors, "AT_ONCE", 4)
+    assert (top(), near(False), near(True)) == whole
+
+
 def test_config():
     assert source.load_config({"query": {"hops": 3}}, {"ARBOGRAPH_QUERY_BUDGET": "9"})["query"] == {"budget": 9, "hops": 3}
     with pytest.raises(ValueError):

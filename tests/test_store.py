@@ -137,10 +137,17 @@ def test_whole_graph(seeded):
 def test_cycles_raise_unless_told_otherwise(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "parent long, child long")
     with pytest.raises(hierarchy.CycleError):
-        hierarchy.walks(edges, max_levels=5).count()
+        hierarchy.walks(edges).count()
+    with pytest.raises(hierarchy.CycleError):  # a start outside the cycle
+        hierarchy.walks(edges.union(spark.createDataFrame([(9, 1)], edges.schema)), spark.createDataFrame([(9,)], "start long"), look=3).count()
     assert hierarchy.walks(edges, nocycle=True).count() == 6
 
 
+def test_deep_trees_are_no_cycles(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "parent long, child long")
+    assert hierarchy.walks(edges, spark.createDataFrame([(0,)], "start long"), look=5).count() == 40
+
+
 def test_empty_graph(spark):
     s = DocumentStore(DocumentGraph(spark))
     assert s.get_all_documents().count() == 0
