@@ -9,7 +9,8 @@ conversations the one with the smallest id stays for all.
 
 Positions and prefix hashes are taken in two steps, within runs of turns and
 over a conversation's runs, so that one very long conversation is spread over
-tasks until it is rendered.
+tasks until it is rendered; only turns with one number, or without any, are
+ordered together.  Both are stored once and read by the later steps.
 
 Defined results: turns are ordered by turn, role and text, null turns last;
 null roles and texts count as empty; rows without a conv_id take no part; rows
@@ -21,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbograph.session import materialise
+
 #: Turns of a run.
 RUN_TURNS = 256
 
 
 def positions(conversations: DataFrame) -> DataFrame:
-    """conv_id, k (from 1), role, text and the run of every turn."""
+    """conv_id, k (from 1), role, text, run and the turn's hash (x, y) of every turn."""
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.coalesce(F.col("turn").cast("long"), F.lit(2**63 - 1)).alias("turn"),
@@ -37,14 +40,15 @@ def positions(conversations: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = turns.groupBy("conv_id", "run").count().select("conv_id", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("conv_id", "run").orderBy("turn", "role", "text")
-    return turns.join(runs, ["conv_id", "run"]).select(
+    placed = turns.join(runs, ["conv_id", "run"]).select(
         "conv_id", "run", (F.row_number().over(inside) + F.col("before")).cast("long").alias("k"), "role", "text"
     )
+    return placed.select("*", F.xxhash64("k", "role", "text").alias("x"), F.xxhash64(F.lit("y"), "text", "k", "role").alias("y"))
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, k and the hash (x, y) of the first k turns, for every k."""
-    hashed = turns.select("conv_id", "run", "k", F.xxhash64("k", "role", "text").alias("x"), F.xxhash64(F.lit("y"), "text", "k", "role").alias("y"))
+    hashed = turns.select("conv_id", "run", "k", "x", "y")
     before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = hashed.groupBy("conv_id", "run").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
     runs = runs.select("conv_id", "run", *(F.coalesce(F.bit_xor(c).over(before), F.lit(0).cast("long")).alias(f"{c}0") for c in "xy"))
@@ -56,7 +60,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and copies (equal conversations) of every conversation that prefixes no longer one."""
-    rows = prefixes(turns)
+    rows = materialise(prefixes(turns), "prefixes")
     lengths = turns.groupBy(F.col("conv_id").alias("c")).agg(F.max("k").alias("n_turns"))
     rows = rows.join(lengths, F.col("conv_id") == F.col("c")).drop("c")
     whole = rows.filter("k = n_turns").groupBy("k", "x", "y").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
@@ -77,7 +81,7 @@ def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, copies and text of every maximal conversation."""
-    turns = positions(conversations)
+    turns = materialise(positions(conversations), "turns")  # read by every later step
     return render(turns, maximal(turns)).select("conv_id", "n_turns", "copies", "text")
 
 
