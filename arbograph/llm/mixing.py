@@ -14,14 +14,15 @@ is checked.  Beyond that, weights are quanta of ``FINE`` slots, whose rounding
 is far below a block, and all slots that are needed are given in turn, the state
 carried from window to window.  Sources without weight come after the others.
 
-Running totals within a source are taken in two steps, by runs of doc_ids and
-then within a run, so a source that holds a large part of all rows is spread
-over many tasks.
+Running totals within a source are taken in three steps, by ranges of runs of
+doc_ids, by runs and then within a run, so a source that holds a large part of
+all rows is spread over many tasks, also if its ids are far apart.  More than
+``MAX_SOURCES`` sources raise an error.
 
 Defined results: a null source is a source of its own; null and empty texts
 have no characters and follow their predecessor; documents longer than a block
 take several slots, the first of which is theirs; rows that repeat a doc_id in
-a source count each, in any order; null doc_ids come first; an empty table
+a source count each, in any order; null doc_ids come first, in any order; an empty table
 gives no rows.  Columns named like the two that are added are replaced.
 """
 
@@ -41,8 +42,8 @@ FINE = 10_000_000_000
 WINDOW = 1_000
 #: Without given weights, a source's weight is its number of characters to this power.
 TEMPER = 0.5
-#: Sources whose slots are broadcast at most (about as many numbers as twice the period); more are joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: Sources at most: one task gives the slots, in time with their product, and each source's slots are broadcast.
+MAX_SOURCES = 10_000
 #: Width of a run of doc_ids.
 RUN_IDS = 1_024
 
@@ -51,6 +52,27 @@ def _length() -> Column:
     return F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long")
 
 
+def _run() -> Column:
+    """Runs of doc_ids; texts without an id are dealt to runs before the others."""
+    none = -1 - F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(RUN_IDS))
+    return F.floor(F.coalesce(F.col("doc_id").cast("long") / RUN_IDS, none))
+
+
+def _before(runs: DataFrame) -> DataFrame:
+    """_source, _run and the sum of ``chars`` of the source's runs before it.
+
+    Runs are stored in ranges of bounded size, whose sums are added up first.
+    """
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(runs.repartitionByRange(n, "_source", "_run").withColumn("part", F.spark_partition_id()), "runs")
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_source", "part").agg(F.sum("chars").alias("chars"))
+    parts = parts.select(F.col("_source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("chars").over(earlier("_source", "part")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("chars").over(earlier("_source", "part", "_run")), F.lit(0))
+    rows = ranged.withColumn("inside", inside).join(parts, F.col("_source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    return rows.select("_source", "_run", (F.col("first") + F.col("inside")).alias("_before"))
+
+
 def shares(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """_source, share (0 for sources that ``weights`` leaves out, unless all weigh nothing) and blocks, at least 1."""
     sizes = docs.groupBy(F.col("source").cast("string").alias("_source")).agg(F.sum(_length()).alias("size"))
@@ -119,24 +141,16 @@ def deviation(slots: DataFrame, sources: DataFrame, needed: int) -> float:
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """``docs`` with ``block`` and ``slot``: reading by slot gives the mixture."""
     own = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in ("block", "slot")}
-    rows = docs.select(
-        *(F.col(f"`{c}`").alias(k) for c, k in own.items()),
-        F.col("doc_id").alias("_id"),
-        F.col("source").cast("string").alias("_source"),
-        F.floor(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) / RUN_IDS).alias("_run"),
-        _length().alias("_chars"),
-    )
-    by_run = Window.partitionBy("_source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = (
-        docs.groupBy(F.col("source").cast("string").alias("s"), F.floor(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) / RUN_IDS).alias("r"))
-        .agg(F.sum(_length()).alias("chars"))
-        .select(F.col("s").alias("_source"), F.col("r").alias("_run"), "chars")
-    )
-    runs = runs.select(F.col("_source").alias("s"), F.col("_run").alias("r"), F.coalesce(F.sum("chars").over(by_run), F.lit(0)).alias("_before"))
+    source = F.col("source").cast("string").alias("_source")
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in own.items()), F.col("doc_id").alias("_id"), source, _run().alias("_run"), _length().alias("_chars"))
+    runs = _before(docs.groupBy(source, _run().alias("_run")).agg(F.sum(_length()).alias("chars")))
+    runs = runs.select(F.col("_source").alias("s"), F.col("_run").alias("r"), "_before")
     rows = rows.join(runs, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_run") == F.col("r")))
     inside = Window.partitionBy("_source", "_run").orderBy("_id", "_chars").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_block", F.floor((F.col("_before") + F.coalesce(F.sum("_chars").over(inside), F.lit(0))) / block_chars))
     sources = materialise(shares(docs, weights, block_chars), "shares")
+    if sources.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; give the small ones one name")
     needed = sources.filter("share > 0").agg(F.max(F.ceil(F.col("blocks") / F.col("share")))).first()[0] or 0
     slots = materialise(period_slots(quanta(sources, period)), "period")
     chosen = [*(F.col(k).alias(c) for c, k in own.items()), F.col("_block").cast("long").alias("block")]
@@ -145,9 +159,8 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
             slots.groupBy(F.col("_source").alias("s2"), "quanta", "period")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "slot"))), lambda x: x["slot"]).alias("slots"))
         )
-        few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
         at = F.floor(F.col("_block") / F.col("quanta")) * F.col("period") + F.get("slots", (F.col("_block") % F.col("quanta")).cast("int"))
-        return rows.join(F.broadcast(table) if few else table, F.col("_source").eqNullSafe(F.col("s2"))).select(*chosen, at.cast("long").alias("slot"))
+        return rows.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("s2"))).select(*chosen, at.cast("long").alias("slot"))
     needed += 1  # quanta are rounded
     weighed = sources.filter("share > 0")
     given = period_slots(quanta(weighed, FINE), needed).select(F.col("_source").alias("s2"), F.col("nth").cast("long").alias("b2"), "slot")
