@@ -29,7 +29,9 @@ steps until nothing changes; a class is named by its smallest doc_id.
 Defined results: words are runs of letters, digits and underscores of the
 lower-cased text; a text of one to four words is one shingle; texts without a
 word, null texts and null doc_ids have no links.  Rows that repeat a doc_id
-count as one document.  Tables may be empty; other columns are ignored.
+count as one document: with other texts, the one with the smallest hash is
+compared, and equal texts link any of them.  Tables may be empty; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 32, 6
 #: Members of a bucket that are compared within one task.
 BLOCK = 1024
-#: Candidates' ids are broadcast up to this number (8 bytes each), else joined by a shuffle.
+#: Candidates' ids are broadcast up to this number (16 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 250_000
 #: Points that are generated in one step.
@@ -194,7 +196,7 @@ def _runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 
 
 def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, digest of the words and buckets of every text with a word."""
+    """doc_id, digest of the words, buckets and a hash (pick) of every text with a word."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -210,16 +212,18 @@ def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(low, high - low),
+                        batch.column(2).slice(low, high - low),
                         pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1))),
                     ],
-                    ["doc_id", "digest", "buckets"],
+                    ["doc_id", "pick", "digest", "buckets"],
                 )
 
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         .filter("doc_id is not null and text is not null")
-        .mapInArrow(sketch, "doc_id long, digest binary, buckets array<long>")
+        .select("doc_id", "text", F.xxhash64("text").alias("pick"))
+        .mapInArrow(sketch, "doc_id long, pick long, digest binary, buckets array<long>")
         .filter("digest is not null")
     )
 
@@ -331,10 +335,11 @@ def links(docs: DataFrame, prints: DataFrame, threshold: float = THRESHOLD, bloc
         members.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int")),
         "members",
     )
-    wanted = members.select("doc_id").distinct()
+    wanted = members.select("doc_id").distinct().join(prints.select("doc_id", "pick"), "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    picked = texts.withColumn("pick", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "pick"], "left_semi")
+    texts = picked.dropDuplicates(["doc_id"]).select("doc_id", "text")  # equal texts by now
     members = members.join(texts, "doc_id")
 
     run, schema = _within_block(threshold)
@@ -408,7 +413,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     prints = materialise(fingerprints(docs), "fingerprints", BATCH_ROWS)
     copies = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("first")), "copies")
     firsts = prints.join(copies.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    found = links(docs, firsts.dropDuplicates(["doc_id"]), threshold)
+    one = firsts.groupBy("doc_id").agg(F.min(F.struct("pick", "digest", "buckets")).alias("p")).select("doc_id", "p.*")
+    found = links(docs, one, threshold)
     same = prints.select("digest", "doc_id").join(copies, "digest").filter("doc_id <> first")
     found = found.unionByName(same.select("doc_id", F.col("first").alias("other")))
     roots = components(found).select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))

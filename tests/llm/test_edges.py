@@ -186,3 +186,13 @@ def test_neighbours_of_odd_vectors(spark):
     found = ann.nearest(df, df.filter("vec_id % 20 = 0"), 3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id, r.score) for r in found] == [(0, 20, 2.0), (0, 1, 1.0), (0, 2, 1.0), (20, 0, 2.0), (20, 1, 2.0), (20, 2, 2.0), (40, 3, 0.0), (40, 0, -1.0), (40, 1, -1.0)]
     assert ann.nearest(df.filter("false"), df, 3).count() == 0
+
+
+def test_repeated_ids_with_other_texts_give_one_result(spark):
+    base = [(k, prose(k)) for k in range(12)]
+    rows = [*base, (3, prose(40) + " tail"), (3, prose(41)), (50, prose(41)), (51, prose(40)), (52, prose(3)), (3, None), (None, prose(3))]
+    run = lambda rs, n: sorted((r.doc_id if r.doc_id is not None else -1, r.class_id) for r in bagminhash.near_duplicate_classes(spark.createDataFrame(rs, "doc_id long, text string").repartition(n)).collect())
+    first = run(rows, 1)
+    assert all(run(r, n) == first for r, n in ((rows[::-1], 3), (rows[5:] + rows[:5], 2)))
+    classes = dict(first)
+    assert classes[52] == 3 and classes[50] == 3 and classes[0] == 0  # equal texts link any of an id's texts
