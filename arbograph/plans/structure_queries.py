@@ -198,9 +198,31 @@ def chunk_words(d):
     return structure.chunk_words(d.pages)
 
 
-@query()
+#: Token limits of the groups: the usual one, and one that small documents reach.
+_LIMITS = (20_000, 400)
+
+
+@query(f"""SELECT max_tokens, doc_id, g AS group_no, first_page, last_page, tokens FROM (
+  WITH RECURSIVE p AS (
+    SELECT l.max_tokens, doc_id, page_no, tokens, row_number() OVER w AS k, sum(tokens) OVER d AS total,
+      ceil((sum(tokens) OVER d / ceil(sum(tokens) OVER d / l.max_tokens) + l.max_tokens) / 2) AS target
+    FROM t_pages CROSS JOIN (VALUES {", ".join(f"({n})" for n in _LIMITS)}) l(max_tokens)
+    WINDOW w AS (PARTITION BY l.max_tokens, doc_id ORDER BY page_no), d AS (PARTITION BY l.max_tokens, doc_id)
+  ), walk AS (
+    SELECT max_tokens, doc_id, k, k AS first, CAST(tokens AS BIGINT) AS held, tokens AS last, 0 AS g FROM p WHERE k = 1
+    UNION ALL
+    SELECT max_tokens, doc_id, k, CASE WHEN cut THEN k - 1 ELSE first END, CASE WHEN cut THEN last ELSE held END + n, n, g + CAST(cut AS INT)
+    FROM (SELECT w.max_tokens, w.doc_id, p.k, w.first, w.held, w.last, w.g, p.tokens AS n, p.total > w.max_tokens AND w.held + p.tokens > p.target AS cut
+      FROM walk w JOIN p ON p.max_tokens = w.max_tokens AND p.doc_id = w.doc_id AND p.k = w.k + 1) x
+  ), ends AS (SELECT max_tokens, doc_id, g, max(k) AS last, min(first) AS first FROM walk GROUP BY max_tokens, doc_id, g)
+  SELECT e.max_tokens, e.doc_id, e.g, CAST(min(p.page_no) AS INT) AS first_page, CAST(max(p.page_no) AS INT) AS last_page, CAST(sum(p.tokens) AS BIGINT) AS tokens
+  FROM ends e JOIN p ON p.max_tokens = e.max_tokens AND p.doc_id = e.doc_id AND p.k BETWEEN e.first AND e.last GROUP BY e.max_tokens, e.doc_id, e.g) t""")
 def page_groups(d):
-    return structure.page_groups(d.pages)
+    out = None
+    for limit in _LIMITS:
+        found = structure.page_groups(d.pages, limit).select(F.lit(limit).alias("max_tokens"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("""SELECT doc_id, depth, title, node_id, ord FROM (SELECT a.doc_id, a.title, lpad(CAST(a.ord - 1 AS VARCHAR), 4, '0') AS node_id, a.ord,
