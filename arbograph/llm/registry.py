@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arbograph.llm import ann, bagminhash, chat, licenses, mixing, packing, quality, token_counts, toxicity, url_filter
+from arbograph.llm import ann, bagminhash, chat, filter_audit, licenses, mixing, packing, quality, ranking, secrets, token_counts, toxicity, url_filter
 from arbograph.session import materialise, read_table
 
 
@@ -65,6 +65,19 @@ def op10_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return bagminhash.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op11_maxscore_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranking.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_ivfpq_nearest": op1_ivfpq_nearest,
     "op2_bloom_cascade_urls": op2_bloom_cascade_urls,
@@ -76,6 +89,9 @@ QUERIES = {
     "op8_trie_token_counts": op8_trie_token_counts,
     "op9_pfair_mixing": op9_pfair_mixing,
     "op10_bagminhash_near_duplicates": op10_bagminhash_near_duplicates,
+    "op11_maxscore_ranking": op11_maxscore_ranking,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_structural_secrets": op13_structural_secrets,
 }
 
 ORACLES: dict[str, str] = {
@@ -84,4 +100,6 @@ ORACLES: dict[str, str] = {
     "op5_license_digests": licenses.oracle_sql(),
     "op7_chat_snapshots": chat.ORACLE_SQL,
     "op9_pfair_mixing": mixing.ORACLE_SQL,
+    "op11_maxscore_ranking": ranking.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }

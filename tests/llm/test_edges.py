@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arbograph.llm import ann, bagminhash, chat, licenses, mixing, packing, quality, token_counts, toxicity, url_filter
+from arbograph.llm import ann, bagminhash, chat, filter_audit, licenses, mixing, packing, quality, ranking, secrets, token_counts, toxicity, url_filter
 from arbograph.llm.registry import URL_RULES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -51,6 +51,7 @@ def operators(docs, labels):
         "token_counts": token_counts.count_tokens(docs, PIECES),
         "mixing": mixing.schedule(docs),
         "near_duplicates": bagminhash.near_duplicate_classes(docs),
+        "secrets": secrets.find(docs),
     }
 
 
