@@ -202,23 +202,56 @@ def test_components_of_chains(spark):
 
 # mixing
 
-def test_every_source_stays_within_a_block_of_its_share(spark):
-    rows = [(s, n) for s, n in (("a", 1), ("b", 7), (None, 3), ("d", 90), ("", 2))]
-    sources = spark.createDataFrame(rows, "_source string, quanta int")
-    slots = mixing.period_slots(sources).collect()
-    period = sum(n for _, n in rows)
-    assert sorted(r.slot for r in slots) == list(range(period))
-    for name, n in rows:
-        own = sorted(r.slot for r in slots if r._source == name)
-        assert len(own) == n
-        for t in range(period + 1):
-            assert abs(sum(s < t for s in own) - n * t / period) < 1
+def given_slots(spark, weights, blocks):
+    parts = mixing.quanta([w / sum(weights) for w in weights])
+    assert sum(parts) == mixing.QUANTA and all(abs(p - mixing.QUANTA * w / sum(weights)) <= 1 for p, w in zip(parts, weights))
+    sources = [mixing.Source(f"s{k}" if k else None, a, n) for k, (a, n) in enumerate(zip(parts, blocks))]
+    return sources, mixing.slots(spark, sources).collect()
+
+
+@pytest.mark.parametrize("weights, window", [([1, 7, 3, 90, 2], 64), ([1 / 3, 1 / 3, 1 / 3], 8), ([0.7, 0.29, 0.01], 256), ([1], 2), ([0.61, 0.17, 0.13, 0.05, 0.04], 64), ([5, 5, 5, 5, 1, 1, 1, 1, 1], 8)])
+def test_every_source_stays_within_a_block_of_its_share(spark, weights, window, monkeypatch):
+    """At every slot of many windows, with no slot empty and every block at its turn."""
+    monkeypatch.setattr(mixing, "WINDOW", window)
+    monkeypatch.setattr(mixing, "STEP", min(window, 16))
+    total = sum(weights)
+    blocks = [max(1, round(2_000 * w / total)) for w in weights]
+    sources, rows = given_slots(spark, weights, blocks)
+    slot = {(r._source, r.block): r.slot for r in rows}
+    assert len(slot) == len(rows) == sum(blocks) and len(set(slot.values())) == len(rows)
+    for source, n in zip(sources, blocks):
+        own = [slot[source.name, k] for k in range(n)]
+        assert own == sorted(own)
+        for k, t in enumerate(own):
+            # block k may not run before its time and must have run by its deadline
+            assert k * mixing.QUANTA // source.quanta <= t < -(-(k + 1) * mixing.QUANTA // source.quanta), (source, k, t)
+    first = min(n * total / w for n, w in zip(blocks, weights))
+    assert set(range(int(first) - 2)) <= set(slot.values())
+
+
+def edf_in_one_run(parts, slots):
+    """Earliest deadline first over all slots, one by one."""
+    done, out = [0] * len(parts), []
+    for t in range(slots):
+        ready = [(-(-(n + 1) * mixing.QUANTA // a), i) for i, (n, a) in enumerate(zip(done, parts)) if n * mixing.QUANTA // a <= t]
+        deadline, i = min(ready)
+        assert deadline > t
+        out.append(i)
+        done[i] += 1
+    return out
+
+
+def test_the_first_window_is_that_of_one_run_but_for_its_end(spark):
+    weights = [0.41, 0.3, 0.17, 0.1, 0.02]
+    sources, rows = given_slots(spark, weights, [420, 310, 180, 110, 25])
+    got = [r._source for r in sorted(rows, key=lambda r: r.slot)][:900]
+    assert got == [sources[i].name for i in edf_in_one_run([x.quanta for x in sources], 900)]
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.70049, "b": 0.29851, "c": 0.001}, {"a": 0.5004, "b": 0.4996, "d": 0.0}])
 def test_sources_stay_within_a_block_of_given_weights_over_many_periods(spark, weights):
     docs = spark.range(12_000).selectExpr("id as doc_id", "repeat('x', 10) as text", "case when id % 1200 = 0 then 'c' when id % 1200 = 1 then 'd' when id % 10 < 7 then 'a' else 'b' end as source")
-    rows = mixing.schedule(docs, weights=weights, block_chars=10, period=100).collect()
+    rows = mixing.schedule(docs, weights=weights, block_chars=10).collect()
     assert len(rows) == 12_000
     total, last = sum(weights.values()), max(r.slot for r in rows if weights.get(r.source))
     own = defaultdict(list)
@@ -234,12 +267,28 @@ def test_sources_stay_within_a_block_of_given_weights_over_many_periods(spark, w
                 assert slot > last
 
 
-def test_thousands_of_small_sources_leave_a_hot_one_its_weight(spark):
-    weights = {"hot": 0.75} | {f"s{k}": 0.00025 for k in range(3_000, 4_000)}
-    shares = spark.createDataFrame([(s, w, 3001 if s == "hot" else 2) for s, w in weights.items()], "_source string, share double, blocks long")
-    first = mixing.period_slots(mixing.quanta(shares, mixing.FINE), 40).collect()
-    assert sum(r._source == "hot" for r in first) == 30
-    assert mixing.deviation(mixing.period_slots(mixing.quanta(shares, 100)), shares, 4_000) > 1
+def test_hundreds_of_small_sources_leave_a_hot_one_its_weight(spark):
+    weights = [0.75, *[0.001] * 250]
+    _, rows = given_slots(spark, weights, [1_500, *[2] * 250])
+    assert len(rows) == 2_000 and {r.slot for r in rows} == set(range(2_000))
+    assert sum(r._source is None for r in rows if r.slot < 40) == 30
+
+
+def test_weights_too_small_and_sources_too_many_are_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * 9, "ab"[k % 2]) for k in range(10)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        mixing.schedule(docs, weights={"a": 1.0, "b": 1e-9})
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError):
+        mixing.schedule(docs)
+
+
+def test_sources_without_any_text_and_without_weight(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, None, None)], "doc_id long, text string, source string")
+    assert sorted(r.slot for r in mixing.schedule(docs).collect()) == [0, 1, 2]
+    assert sorted(r.slot for r in mixing.schedule(docs, weights={"c": 1.0}).collect()) == [0, 1, 2]
+    found = {r.source: r.slot for r in mixing.schedule(docs, weights={"a": 1.0}).collect()}
+    assert found["a"] == 0 and found["b"] == found[None] == mixing.WINDOW
 
 
 def test_order_of_the_mixture_keeps_all_rows(spark):
@@ -253,7 +302,7 @@ def test_order_of_the_mixture_keeps_all_rows(spark):
 
 def test_given_weights_rule(spark):
     docs = spark.createDataFrame([(k, "x" * 100, "ab"[k % 2]) for k in range(400)], "doc_id long, text string, source string")
-    rows = mixing.schedule(docs, weights={"a": 3.0, "b": 1.0}, block_chars=100, period=4).collect()
+    rows = mixing.schedule(docs, weights={"a": 3.0, "b": 1.0}, block_chars=100).collect()
     first = sorted(rows, key=lambda r: r.slot)[:100]
     assert sum(r.source == "a" for r in first) == 75
 

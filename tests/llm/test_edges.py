@@ -51,7 +51,27 @@ def operators(docs, labels):
         "token_counts": token_counts.count_tokens(docs, PIECES),
         "mixing": mixing.schedule(docs),
         "near_duplicates": bagminhash.near_duplicate_classes(docs),
-        "secrets": secrets.find(docs),
+        "secrets": secrets.report(secrets.find(docs)),
+        "ranking": ranking.rank(docs, docs.select(F.col("doc_id").alias("item_id"), "text", *docs.columns[5:])),
+        "filter_audit": filter_audit.audit(docs, labels),
+    }
+
+
+#: Operators with other rows than one a document.
+OTHER_ROWS = ("packing", "ranking", "filter_audit")
+
+
+def of_other_tables(spark, more=()):
+    """Urls, chats and vectors, whose tables have further columns."""
+    extra = lambda df: df.withColumns({c: F.lit("x") for c in more if c not in df.columns})
+    pages = spark.createDataFrame([(1, "http://A.example.com/en/71"), (2, "x://b.net/de/8"), (2, "x://b.net/de/8"), (3, None), (None, "http://a.org/es/"), (4, ""), (5, "x://h/" + "p/" * 20_000)], "page_id long, url string")
+    chats = spark.createDataFrame([(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, None, None), (None, 0, "user", "x " * 50_000), (2, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (20, [2.0, 1.0]), (3, [0.0, 1.0]), (4, None), (None, [1.0, 1.0]), (5, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    tables = {k: extra(v) for k, v in {"urls": pages, "chats": chats, "vectors": vectors}.items()}
+    return tables, {
+        "urls": lambda t: url_filter.judge(t, URL_RULES),
+        "chats": chat.format_conversations,
+        "vectors": lambda t: ann.nearest(t, t.filter("vec_id % 20 = 0"), 3),
     }
 
 
@@ -64,14 +84,20 @@ def test_all_rows_are_judged(docs, labels):
     for name, df in operators(docs, labels).items():
         rows = df.collect()
         assert len({tuple(r) for r in rows}) > 1, name
-        if name != "packing":
+        if name not in OTHER_ROWS:
             assert len(rows) == len(ROWS), name
 
 
-def test_clashing_columns_change_nothing(docs, labels):
-    plain = {k: sorted(map(repr, v.select("doc_id").collect())) for k, v in operators(docs, labels).items()}
+def test_clashing_columns_change_nothing(spark, docs, labels):
+    rows = lambda df, columns: sorted(map(repr, df.select(*columns).collect()))
     more = docs.withColumns({c: F.lit("x") for c in CLASHING})
-    assert plain == {k: sorted(map(repr, v.select("doc_id").collect())) for k, v in operators(more, labels).items()}
+    clashing = operators(more, labels.withColumns({c: F.lit("x") for c in CLASHING}))
+    for name, df in operators(docs, labels).items():
+        assert rows(df, df.columns) == rows(clashing[name], df.columns), name
+    plain, calls = of_other_tables(spark)
+    for name, table in of_other_tables(spark, (*CLASHING, "host", "path", "rule", "verdict", "rank", "id", "vector", "role_", "n_turns"))[0].items():
+        df = calls[name](plain[name])
+        assert rows(df, df.columns) == rows(calls[name](table), df.columns) != [], name
 
 
 def test_stages_keep_the_columns(docs, labels, monkeypatch):
@@ -88,6 +114,9 @@ def test_empty_tables(docs, labels, monkeypatch):
         assert df.count() == 0, name
     for name, df in stages(none, labels.filter("false"), monkeypatch).items():
         assert df.count() == 0, name
+    tables, calls = of_other_tables(docs.sparkSession)
+    for name, table in tables.items():
+        assert calls[name](table.filter("false")).count() == 0, name
 
 
 def test_quality_counts(spark):
