@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from arbograph.functions import models
 from arbograph.functions.text import empty_as_null, page_tag, physical_index, repaired_json
 from arbograph.graph import DocumentGraph
-from arbograph.operators import enrichment, reads, retrieval
+from arbograph.operators import enrichment, prompts, reads, retrieval
+from arbograph.operators.prompts import prompt as _prompt
 from arbograph.operators.structure import page_groups
 from arbograph.schema import ENTITY_TYPES, INTENTS, RELEVANCES
 
 MAX_QUESTION, MAX_TEXT, MAX_SHARED, MAX_NAMES = 5000, 4000, 2000, 50
 
 
-def _prompt(task: str, *parts: Column) -> Column:
-    return F.concat_ws("\n\n", F.lit(task), *parts)
-
-
 def classify_intents(questions: DataFrame, client: models.Client) -> DataFrame:
     """(question_id, question) with intent and entities; unknown intents and failures explore without entities."""
     task = f"Name the intent of the question, one of {', '.join(INTENTS)}, and the entities in it, as JSON with the keys intent and entities."
@@ -28,13 +25,28 @@ def classify_intents(questions: DataFrame, client: models.Client) -> DataFrame:
     return rows.select(*questions.columns, F.when(intent.isin(*INTENTS), intent).otherwise("EXPLORATION").alias("intent"), F.coalesce(read["entities"], F.array().cast("array<string>")).alias("entities"))
 
 
-def extract_entities(sections: DataFrame, client: models.Client, max_chars: int = MAX_TEXT) -> DataFrame:
-    """(section_id, name, type, relevance) that a model finds in each section's summary or text."""
-    task = f"List the entities in the text as a JSON array of objects with name, type (one of {', '.join(ENTITY_TYPES)}) and relevance (one of {', '.join(RELEVANCES)})."
+ENTITIES = "array<struct<name:string,type:string,relevance:string>>"
+_KINDS = f"type (one of {', '.join(ENTITY_TYPES)}) and relevance (one of {', '.join(RELEVANCES)})"
+
+
+def extract_entities(sections: DataFrame, client: models.Client, max_chars: int = MAX_TEXT, size: int = 1, whole: bool = False) -> DataFrame:
+    """(section_id, name, type, relevance) that a model finds in each section's summary or text.
+
+    With ``size`` > 1 so many sections of a document are sent in one prompt, and
+    those that its answer leaves out, or with ``whole`` all of these, are asked for
+    one by one.
+    """
+    task = f"List the entities in the text as a JSON array of objects with name, {_KINDS}."
     text = F.substring(F.coalesce(empty_as_null(F.col("summary")), F.col("text_content"), F.lit("")), 1, max_chars)
-    rows = models.answers(sections.select("section_id", text.alias("text")).filter("text <> ''"), _prompt(task, F.col("text")), client)
-    found = F.from_json(repaired_json(F.col("answer")), "array<struct<name:string,type:string,relevance:string>>")
-    return retrieval.validate_entities(rows.select("section_id", F.coalesce(found, F.array().cast("array<struct<name:string,type:string,relevance:string>>")).alias("entities")))
+    if size == 1:
+        rows = models.answers(sections.select("section_id", text.alias("text")).filter("text <> ''"), _prompt(task, F.col("text")), client)
+        found = rows.select("section_id", repaired_json(F.col("answer")).alias("value"))
+    else:
+        many = f"List the entities in each of these sections as a JSON array of objects with section_index and entities, an array of objects with name, {_KINDS}."
+        rows = sections.select("section_id", "doc_id", F.coalesce("title", F.lit("")).alias("title"), text.alias("text"))
+        found = prompts.batched(rows, client, many, _prompt(task, F.col("text")), ["title", "text"], "section_index", "entities", size, whole=whole)
+    entities = F.coalesce(F.from_json("value", ENTITIES), F.array().cast(ENTITIES))
+    return retrieval.validate_entities(found.select("section_id", entities.alias("entities")))
 
 
 def extract_relationships(entities: DataFrame, client: models.Client) -> DataFrame:

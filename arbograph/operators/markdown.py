@@ -108,8 +108,3 @@ def md_thinning(sections: DataFrame, least: int = 100) -> DataFrame:
         return out
 
     return counted.select("doc_id", "ord", "level", "title", "text", "tokens").groupBy("doc_id").applyInPandas(run, "doc_id long, ord int, level int, title string, text string, tokens long")
-
-
-def md_summary_source(sections: DataFrame, limit: int = 200) -> DataFrame:
-    """Texts below ``limit`` tokens are their own summaries; others are left for a model."""
-    return sections.withColumn("summary", F.when(estimated_tokens(F.col("text")) < limit, F.col("text")))

@@ -6,10 +6,12 @@ appear_start]); pages are (doc_id, page_no, text).
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbograph.session import materialise
@@ -116,17 +118,16 @@ def toc_accuracy(checked: DataFrame) -> DataFrame:
     return checked.groupBy("doc_id").agg(F.coalesce(F.avg(F.when(F.col("correct").isNotNull(), F.col("correct").cast("double"))), F.lit(0.0)).alias("accuracy"))
 
 
-def toc_decision(accuracy: float, with_numbers: bool, has_toc: bool) -> str:
-    """What follows a check: accept, fix, or degrade to the next way of finding contents."""
-    if accuracy == 1.0:
-        return "accept"
-    if accuracy > 0.6:
-        return "fix"
-    if with_numbers:
-        return "toc_without_page_numbers"
-    if has_toc:
-        return "no_toc"
-    raise ValueError("no way of finding contents is left")
+#: Ways of finding a document's contents, each of which follows the one before where that fails.
+WAYS = ("toc_with_page_numbers", "toc_without_page_numbers", "no_toc")
+#: Above this share of right entries the others are fixed one by one.
+FIXABLE = 0.6
+
+
+def toc_decision(accuracy: Column, way: Column) -> Column:
+    """What follows a check: accept, fix, the next way of finding contents, or failed if none is left."""
+    following = F.when(way == WAYS[0], WAYS[1]).when(way == WAYS[1], WAYS[2]).otherwise("failed")
+    return F.when(accuracy == 1.0, "accept").when(accuracy > FIXABLE, "fix").otherwise(following)
 
 
 def clamped(spans: DataFrame, totals: DataFrame) -> DataFrame:
@@ -216,20 +217,25 @@ def chunk_words(pages: DataFrame, size: int = 500, overlap: int = 50) -> DataFra
 
 
 def group_pages(tokens: list[int], max_tokens: int, overlap: int = 1) -> list[tuple[int, int]]:
-    """(first, last) page positions of groups that hold about equally many tokens."""
-    total = sum(tokens)
-    if total <= max_tokens:
-        return [(0, len(tokens) - 1)] if tokens else []
-    target = math.ceil((total / math.ceil(total / max_tokens) + max_tokens) / 2)
-    groups, start, held = [], 0, 0
-    for k, n in enumerate(tokens):
-        if held + n > target and k > start:
-            groups.append((start, k - 1))
-            start = max(k - overlap, 0)
-            held = sum(tokens[start:k])
-        held += n
-    groups.append((start, len(tokens) - 1))
-    return groups
+    """(first, last) page positions of groups that hold about equally many tokens.
+
+    A group ends before the first page, its own first ``overlap`` and one aside,
+    with which the running total passes the aim; that page is found by bisection.
+    """
+    ends = [0, *itertools.accumulate(tokens)]
+    if not tokens:
+        return []
+    parts = -(-ends[-1] // max_tokens) if ends[-1] > max_tokens else 1
+    if parts == 1:
+        return [(0, len(tokens) - 1)]
+    aim = math.ceil((ends[-1] / parts + max_tokens) / 2)
+    starts, cuts = [0], []
+    while True:
+        cut = max(bisect.bisect_right(ends, ends[starts[-1]] + aim) - 1, cuts[-1] + 1 if cuts else 1)
+        if cut >= len(tokens):
+            return list(zip(starts, [c - 1 for c in [*cuts, len(tokens)]]))
+        cuts.append(cut)
+        starts.append(max(cut - overlap, 0))
 
 
 def page_groups(pages: DataFrame, max_tokens: int = 20_000, overlap: int = 1) -> DataFrame:
@@ -277,11 +283,3 @@ def nested_json(tree: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "json": [json.dumps({"structure": roots})]})
 
     return tree.groupBy("doc_id").applyInPandas(run, "doc_id long, json string")
-
-
-def summaries(nodes: DataFrame, client, limit: int = 2000) -> DataFrame:
-    """Summaries of the nodes with text; inner nodes' are prefixes of their children's."""
-    from arbograph.functions.models import answers
-
-    asked = nodes.filter("text <> ''")
-    return answers(asked, F.concat(F.lit("Summarise this section.\n\n"), F.substring("text", 1, limit)), client, "summary")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbograph.functions import models
 from arbograph.graph import DocumentGraph
-from arbograph.operators import extraction, retrieval, structure, temporal, vectors, writes
+from arbograph.operators import contents, extraction, retrieval, structure, summaries, temporal, vectors, writes
 from arbograph.operators import markdown as md
 from arbograph.session import materialise
 
@@ -29,10 +29,14 @@ def _add_documents(g: DocumentGraph, documents: DataFrame) -> tuple[DocumentGrap
     return g, g["documents"].filter(F.col("doc_id") > before).select("doc_id", "doc_name", "doc_version")
 
 
-def _add_sections(g: DocumentGraph, nodes: DataFrame) -> tuple[DocumentGraph, DataFrame]:
-    """Nodes (doc_id, ord, parent_ord, depth, title, text, start_index, end_index) as sections with their tree."""
+def _add_sections(g: DocumentGraph, nodes: DataFrame, summarise: models.Client | None = None, size: int = 1) -> tuple[DocumentGraph, DataFrame]:
+    """Nodes (doc_id, ord, parent_ord, depth, title, text, start_index, end_index) as sections with their tree, and with summaries if there is a model for them."""
+    if summarise is None:
+        nodes = nodes.withColumn("summary", F.lit(None).cast("string"))
+    else:
+        nodes = nodes.join(summaries.summarised(nodes, summarise, size=size).select("doc_id", "ord", "summary"), ["doc_id", "ord"])
     rows = structure.node_ids(nodes)
-    columns = rows.select("doc_id", "node_id", "title", F.col("text").alias("text_content"), "start_index", "end_index", F.col("depth").alias("depth_level"))
+    columns = rows.select("doc_id", "node_id", "title", F.col("text").alias("text_content"), "summary", "start_index", "end_index", F.col("depth").alias("depth_level"))
     g = _stored(writes.insert_sections(g, columns), "sections")
     new = g["sections"].select("section_id", "doc_id", "node_id").join(rows.select("doc_id", "node_id", "ord", "parent_ord"), ["doc_id", "node_id"])
     parents = new.select("doc_id", F.col("ord").alias("parent_ord"), F.col("section_id").alias("parent_id"))
@@ -60,12 +64,12 @@ def _add_changes(g: DocumentGraph, documents: DataFrame) -> DocumentGraph:
     return _stored(writes.insert_temporal_edges(g, found.drop("name", "entity_type")), "temporal_edges")
 
 
-def index_markdown(g: DocumentGraph, documents: DataFrame, extract: Extractor, client: models.Client | None = None, least_tokens: int | None = None) -> DocumentGraph:
+def index_markdown(g: DocumentGraph, documents: DataFrame, extract: Extractor, client: models.Client | None = None, least_tokens: int | None = None, summarise: models.Client | None = None, size: int = 1) -> DocumentGraph:
     """Markdown documents (doc_name, doc_group, doc_version, text) added to a graph.
 
     ``extract`` gives (section_id, name, type, relevance) for sections; with a
-    client relationships are asked for too.  Small sections are merged if
-    ``least_tokens`` is given.
+    client relationships are asked for too, with ``summarise`` summaries, ``size`` to
+    a prompt.  Small sections are merged if ``least_tokens`` is given.
     """
     g, ids = _add_documents(g, documents)
     texts = documents.join(ids, ["doc_name", "doc_version"]).select("doc_id", "text")
@@ -75,21 +79,29 @@ def index_markdown(g: DocumentGraph, documents: DataFrame, extract: Extractor, c
         sections = md.md_thinning(sections, least_tokens).join(lines, ["doc_id", "ord"])
     tree = structure.section_depth(md.md_tree(sections))
     nodes = tree.select("doc_id", "ord", "parent_ord", "depth", "title", "text", F.col("line_num").alias("start_index"), F.lit(None).cast("int").alias("end_index"))
-    g, new = _add_sections(g, materialise(nodes, "nodes"))
+    g, new = _add_sections(g, materialise(nodes, "nodes"), summarise, size)
     return _add_changes(_add_entities(g, new, extract, client), ids)
 
 
-def index_pages(g: DocumentGraph, documents: DataFrame, pages: DataFrame, extract: Extractor, client: models.Client) -> DocumentGraph:
-    """Paged documents: (doc_name, doc_group, doc_version) and (doc_name, page_no, text, tokens), their contents asked for."""
+def index_pages(g: DocumentGraph, documents: DataFrame, pages: DataFrame, extract: Extractor, client: models.Client, verify: bool = False, summarise: models.Client | None = None, size: int = 1) -> DocumentGraph:
+    """Paged documents: (doc_name, doc_group, doc_version) and (doc_name, page_no, text, tokens), their contents asked for.
+
+    With ``verify`` contents are found by the first of three ways whose entries
+    stand a check, and sections that begin their page end the one before.
+    """
     g, ids = _add_documents(g, documents)
     own = materialise(pages.join(ids.select("doc_id", "doc_name"), "doc_name").select("doc_id", "page_no", "text", "tokens"), "pages")
     totals = structure.document_totals(own)
-    toc = structure.toc_preface(structure.toc_validate(extraction.extract_contents(own, client), totals).filter("physical_index is not null"))
+    if verify:
+        found = structure.toc_preface(contents.verified_contents(own, client).entries)
+        toc = materialise(contents.starting_pages(found, own, client), "contents")
+    else:
+        toc = structure.toc_preface(structure.toc_validate(extraction.extract_contents(own, client), totals).filter("physical_index is not null"))
     spans = materialise(structure.section_spans(toc, totals), "spans")
     tree = structure.section_depth(structure.toc_parents(spans).select("doc_id", "ord", "parent_ord", "title"))
     texts = structure.section_text(spans, own)
     nodes = tree.join(spans.select("doc_id", "ord", "start_index", "end_index"), ["doc_id", "ord"]).join(texts, ["doc_id", "ord"], "left")
-    g, new = _add_sections(g, materialise(nodes, "nodes"))
+    g, new = _add_sections(g, materialise(nodes, "nodes"), summarise, size)
     return _add_changes(_add_entities(g, new, extract, client), ids)
 
 

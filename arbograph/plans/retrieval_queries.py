@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from arbograph.functions import models
 from arbograph.functions.text import repaired_json
-from arbograph.operators import answers, enrichment, patterns, retrieval
+from arbograph.operators import answers, enrichment, extraction, patterns, prompts, retrieval
 from arbograph.plans.graph_queries import PATHS
+from arbograph.plans.stand_ins import ForgetfulTitles
 from arbograph.sources.tables import load_graph, with_views
 
 QUERIES: dict = {}
@@ -263,6 +264,14 @@ def extract_entities(q):
     return retrieval.extract_entities(q.g["sections"], terms)
 
 
+@query(f"""SELECT section_id, CASE WHEN k % 5 = 3 THEN summary ELSE title END AS name, CASE WHEN k % 5 = 3 THEN 'METRIC' ELSE 'CONCEPT' END AS type,
+  CASE WHEN k % 5 = 3 THEN 'MENTIONS' ELSE 'DISCUSSES' END AS relevance
+FROM (SELECT section_id, title, summary, row_number() OVER (PARTITION BY doc_id, section_id // {prompts.RUN} ORDER BY section_id) - 1 AS k FROM g_sections) s""")
+def batched_entities(q):
+    """Five sections to a prompt, by a model that loses, repeats and invents some: none is lost."""
+    return extraction.extract_entities(q.g["sections"], ForgetfulTitles(), size=5)
+
+
 @query("""SELECT source_entity, target_entity, CASE WHEN relationship = 'SUPPLIES' THEN NULL WHEN relationship = 'RELATED_TO' THEN 'RELATED_TO' ELSE 'PART_OF' END AS parsed FROM g_relationships""")
 def parse_relationship(q):
     """Answers that wrap a type in words, or say none of the known ones."""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbograph.operators import markdown as md
-from arbograph.operators import structure, vectors
+from arbograph.operators import contents, structure, vectors
+from arbograph.plans.stand_ins import PageReader
 from arbograph.session import materialise, read_table
 from arbograph.sources import documents as source
 
@@ -202,11 +203,12 @@ def chunk_words(d):
 _LIMITS = (20_000, 400)
 
 
-@query(f"""SELECT max_tokens, doc_id, g AS group_no, first_page, last_page, tokens FROM (
+def _groups(*limits: int) -> str:
+    return f"""SELECT max_tokens, doc_id, g AS group_no, first_page, last_page, tokens FROM (
   WITH RECURSIVE p AS (
     SELECT l.max_tokens, doc_id, page_no, tokens, row_number() OVER w AS k, sum(tokens) OVER d AS total,
       ceil((sum(tokens) OVER d / ceil(sum(tokens) OVER d / l.max_tokens) + l.max_tokens) / 2) AS target
-    FROM t_pages CROSS JOIN (VALUES {", ".join(f"({n})" for n in _LIMITS)}) l(max_tokens)
+    FROM t_pages CROSS JOIN (VALUES {", ".join(f"({n})" for n in limits)}) l(max_tokens)
     WINDOW w AS (PARTITION BY l.max_tokens, doc_id ORDER BY page_no), d AS (PARTITION BY l.max_tokens, doc_id)
   ), walk AS (
     SELECT max_tokens, doc_id, k, k AS first, CAST(tokens AS BIGINT) AS held, tokens AS last, 0 AS g FROM p WHERE k = 1
@@ -216,7 +218,10 @@ _LIMITS = (20_000, 400)
       FROM walk w JOIN p ON p.max_tokens = w.max_tokens AND p.doc_id = w.doc_id AND p.k = w.k + 1) x
   ), ends AS (SELECT max_tokens, doc_id, g, max(k) AS last, min(first) AS first FROM walk GROUP BY max_tokens, doc_id, g)
   SELECT e.max_tokens, e.doc_id, e.g, CAST(min(p.page_no) AS INT) AS first_page, CAST(max(p.page_no) AS INT) AS last_page, CAST(sum(p.tokens) AS BIGINT) AS tokens
-  FROM ends e JOIN p ON p.max_tokens = e.max_tokens AND p.doc_id = e.doc_id AND p.k BETWEEN e.first AND e.last GROUP BY e.max_tokens, e.doc_id, e.g) t""")
+  FROM ends e JOIN p ON p.max_tokens = e.max_tokens AND p.doc_id = e.doc_id AND p.k BETWEEN e.first AND e.last GROUP BY e.max_tokens, e.doc_id, e.g) t"""
+
+
+@query(_groups(*_LIMITS))
 def page_groups(d):
     out = None
     for limit in _LIMITS:
@@ -225,6 +230,65 @@ def page_groups(d):
     return out
 
 
+@query(f"""WITH said AS (SELECT doc_id, page_no, length(text) % 3 AS said FROM t_pages),
+begun AS (SELECT doc_id, min(page_no) AS first FROM said WHERE said = 0 AND page_no <= {contents.CHECK_PAGES} GROUP BY doc_id),
+ended AS (SELECT b.doc_id, b.first, min(s.page_no) AS stop FROM begun b LEFT JOIN said s ON s.doc_id = b.doc_id AND s.said = 1 AND s.page_no > b.first GROUP BY b.doc_id, b.first)
+SELECT s.doc_id, s.page_no FROM said s JOIN ended e ON e.doc_id = s.doc_id WHERE s.said = 0 AND s.page_no >= e.first AND (e.stop IS NULL OR s.page_no < e.stop)""")
+def contents_pages(d):
+    """The run of pages that a model takes for contents, asked for in waves."""
+    pages = materialise(d.pages, "pages")
+    return contents.contents_pages(pages, pages.select("doc_id").distinct().withColumn("start", F.lit(1)), PageReader())
+
+
+_SHIFTED = """shifted AS (SELECT c.doc_id, c.ord, c.title, CAST(c.page + 2 + CASE WHEN (c.ord + c.doc_id) % 4 = 0 THEN 1 ELSE 0 END AS INT) AS physical_index, t.total_pages
+  FROM t_toc c JOIN t_totals t USING (doc_id) WHERE c.page + 2 + CASE WHEN (c.ord + c.doc_id) % 4 = 0 THEN 1 ELSE 0 END <= t.total_pages),
+far AS (SELECT doc_id, arg_max(physical_index, ord) >= any_value(total_pages) / 2 AS is_far FROM shifted GROUP BY doc_id),
+checks AS (SELECT s.*, contains(p.text, substring(s.title, 6)) AS correct FROM shifted s JOIN far USING (doc_id) JOIN t_pages p ON p.doc_id = s.doc_id AND p.page_no = s.physical_index WHERE is_far),
+accuracies AS (SELECT f.doc_id, coalesce(avg(CAST(c.correct AS DOUBLE)), 0) AS accuracy FROM far f LEFT JOIN checks c USING (doc_id) GROUP BY f.doc_id)"""
+
+
+def _shifted(d, pages: DataFrame) -> DataFrame:
+    """Contents of which every fourth entry is a page late."""
+    late = F.when((F.col("ord") + F.col("doc_id")) % 4 == 0, 1).otherwise(0)
+    rows = d.toc.withColumn("physical_index", (F.col("page") + 2 + late).cast("int"))
+    valid = structure.toc_validate(rows, structure.document_totals(pages)).filter("physical_index is not null")
+    return materialise(valid.select("doc_id", "ord", "structure", "title", "physical_index"), "entries")
+
+
+@query(f"""WITH {_SHIFTED}
+SELECT doc_id, accuracy, CASE WHEN accuracy = 1 THEN 'accept' WHEN accuracy > 0.6 THEN 'fix' ELSE 'toc_without_page_numbers' END AS decision FROM accuracies""")
+def contents_decisions(d):
+    """What follows the check of every document's contents."""
+    pages = materialise(d.pages, "pages")
+    accuracy = contents.verified(_shifted(d, pages), pages, PageReader())[1]
+    return accuracy.withColumn("decision", structure.toc_decision(F.col("accuracy"), F.lit(structure.WAYS[0])))
+
+
+@query(f"""WITH {_SHIFTED}, bounds AS (SELECT c.*, coalesce(last_value(CASE WHEN correct THEN physical_index END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  coalesce(first_value(CASE WHEN correct THEN physical_index END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), total_pages) AS after
+  FROM checks c JOIN accuracies a USING (doc_id) WHERE a.accuracy > 0.6),
+found AS (SELECT b.doc_id, b.ord, min(p.page_no) AS page_no FROM bounds b JOIN t_pages p ON p.doc_id = b.doc_id AND p.page_no BETWEEN b.before AND b.after AND contains(p.text, substring(b.title, 6)) WHERE NOT b.correct GROUP BY 1, 2)
+SELECT b.doc_id, b.ord, b.title, CAST(coalesce(f.page_no, b.physical_index) AS INT) AS physical_index, b.correct OR f.page_no IS NOT NULL AS correct FROM bounds b LEFT JOIN found f ON f.doc_id = b.doc_id AND f.ord = b.ord""")
+def contents_fixed(d):
+    """Entries of contents that are right or can be fixed, after the rounds of fixing."""
+    pages = materialise(d.pages, "pages")
+    looked, accuracy = contents.verified(_shifted(d, pages), pages, PageReader())
+    rows = looked.join(accuracy.filter(F.col("accuracy") > structure.FIXABLE).select("doc_id"), "doc_id", "left_semi")
+    return contents.fixed(rows, pages, PageReader()).select("doc_id", "ord", "title", "physical_index", "correct")
+
+
+#: Tokens of a group whose entries are carried on.
+_CARRIED = 2_000
+
+
+@query(f"""SELECT doc_id, CAST(k - 1 AS INT) AS ord, CAST(k AS VARCHAR) AS structure, substring(text, 1, 12) AS title, page_no AS physical_index FROM (
+  SELECT g.doc_id, p.page_no, p.text, row_number() OVER (PARTITION BY g.doc_id ORDER BY g.group_no, p.page_no) AS k
+  FROM ({_groups(_CARRIED)}) g JOIN t_pages p ON p.doc_id = g.doc_id AND p.page_no BETWEEN g.first_page AND g.last_page) x""")
+def carried_contents(d):
+    """Sections listed group by group, each numbered on from the last that its prompt shows."""
+    return contents.carried_contents(materialise(d.pages, "pages"), PageReader(), _CARRIED)
+
+
 @query("""SELECT doc_id, depth, title, node_id, ord FROM (SELECT a.doc_id, a.title, lpad(CAST(a.ord - 1 AS VARCHAR), 4, '0') AS node_id, a.ord,
   CASE WHEN a.parent_ord IS NULL THEN 0 WHEN b.parent_ord IS NULL THEN 1 ELSE 2 END AS depth
   FROM t_tree a LEFT JOIN t_tree b ON b.doc_id = a.doc_id AND b.ord = a.parent_ord) x""")

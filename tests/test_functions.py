@@ -107,13 +107,11 @@ def test_markdown_headings_and_fences(spark):
     assert sections[0].text == "# A\nx\n```\n# no\n```\n  ## B"
 
 
-def test_toc_decisions():
-    assert structure.toc_decision(1.0, True, True) == "accept"
-    assert structure.toc_decision(0.7, True, True) == "fix"
-    assert structure.toc_decision(0.6, True, True) == "toc_without_page_numbers"
-    assert structure.toc_decision(0.1, False, True) == "no_toc"
-    with pytest.raises(ValueError):
-        structure.toc_decision(0.1, False, False)
+def test_toc_decisions(spark):
+    first, second, third = structure.WAYS
+    rows = [(1.0, first, "accept"), (0.7, first, "fix"), (0.6, first, second), (0.0, second, third), (0.99, third, "fix"), (0.6, third, "failed"), (1.0, third, "accept")]
+    found = spark.createDataFrame(rows, "a double, w string, d string").withColumn("is", structure.toc_decision(F.col("a"), F.col("w"))).collect()
+    assert all(r["is"] == r.d for r in found)
 
 
 def test_context_cuts_the_first_section_that_does_not_fit(spark):
