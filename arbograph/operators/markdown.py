@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,33 +77,23 @@ def md_subtree_tokens(sections: DataFrame) -> DataFrame:
     return out.select("doc_id", "ord", "level", "title", F.ceil(F.col("chars") / 4).cast("long").alias("tokens"))
 
 
-def thin(levels: list[int], texts: list[str], tokens: list[int], least: int, count) -> list[tuple[int, str, int]]:
-    """Positions that stay with their texts and tokens: from the last section to the first, one with too few
-    tokens takes over the texts of all below it."""
-    texts, tokens, gone = list(texts), list(tokens), set()
-    for k in range(len(levels) - 1, -1, -1):
-        if tokens[k] >= least:
-            continue
-        end = next((j for j in range(k + 1, len(levels)) if levels[j] <= levels[k]), len(levels))
-        below = [j for j in range(k + 1, end) if j not in gone]
-        gone.update(below)
-        parts = [texts[j] for j in below if texts[j].strip()]
-        for part in parts:
-            texts[k] += ("\n\n" if texts[k] and not texts[k].endswith("\n") else "") + part
-        if parts:
-            tokens[k] = count(texts[k])
-    return [(k, texts[k], tokens[k]) for k in range(len(levels)) if k not in gone]
-
-
 def md_thinning(sections: DataFrame, least: int = 100) -> DataFrame:
-    """Sections that stay, with merged texts; sequential within a document, so one document is one call."""
-    counted = sections.join(md_subtree_tokens(sections).select("doc_id", "ord", "tokens"), ["doc_id", "ord"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord").reset_index(drop=True)
-        kept = thin(pdf["level"].tolist(), pdf["text"].tolist(), pdf["tokens"].tolist(), least, lambda t: -(-len(t) // 4))
-        out = pdf.loc[[k for k, _, _ in kept], ["doc_id", "ord", "level", "title"]].copy()
-        out["text"], out["tokens"] = [t for _, t, _ in kept], [n for _, _, n in kept]
-        return out
+    """Sections that stay, with their texts, once those with fewer than ``least`` tokens have taken over all below them.
 
-    return counted.select("doc_id", "ord", "level", "title", "text", "tokens").groupBy("doc_id").applyInPandas(run, "doc_id long, ord int, level int, title string, text string, tokens long")
+    What is below a section has no more tokens than it, so a section stays if it
+    has no parent or one that isn't small, and what goes belongs to the last
+    section before it that stays; a section that takes over has few tokens, so no
+    group is large.  Texts of nothing but blanks are left out of merged ones.
+    """
+    counted = md_tree(sections).join(md_subtree_tokens(sections).select("doc_id", "ord", "tokens"), ["doc_id", "ord"])
+    parents = counted.select("doc_id", F.col("ord").alias("parent_ord"), F.col("tokens").alias("_above"))
+    marked = counted.join(parents, ["doc_id", "parent_ord"], "left").withColumn("_stays", F.col("_above").isNull() | (F.col("_above") >= least))
+    upto = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("_into", F.last(F.when(F.col("_stays"), F.col("ord")), True).over(upto))
+    held = F.col("_stays") | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    texts = F.transform(F.array_sort(F.collect_list(F.when(held, F.struct("ord", "text")))), lambda x: x["text"])
+    joined = F.aggregate(F.slice(texts, 2, F.size(texts)), F.get(texts, F.lit(0)), lambda a, t: F.concat(a, F.when((a == "") | a.endswith("\n"), "").otherwise("\n\n"), t))
+    first = lambda c: F.max(F.when(F.col("_stays"), F.col(c))).alias(c)
+    out = marked.groupBy("doc_id", F.col("_into").alias("ord")).agg(first("level"), first("title"), joined.alias("text"), first("tokens"), F.size(texts).alias("_n"))
+    tokens = F.when(F.col("_n") > 1, estimated_tokens(F.col("text"))).otherwise(F.col("tokens"))
+    return out.select("doc_id", "ord", "level", "title", "text", tokens.alias("tokens"))

@@ -329,15 +329,26 @@ def md_tree(d):
     return md.md_tree(d.sections).select("doc_id", "ord", "level", "title", "parent_ord")
 
 
-@query(f"""WITH {_SECTIONS}, ends AS (
-  SELECT a.doc_id, a.ord, a.level, a.title, coalesce((SELECT min(b.ord) FROM secs b WHERE b.doc_id = a.doc_id AND b.ord > a.ord AND b.level <= a.level), 1000000000) AS e FROM secs a)
-SELECT x.doc_id, x.ord, x.level, x.title, CAST(ceil(length(string_agg(s.text, chr(10) ORDER BY s.ord)) / 4.0) AS BIGINT) AS tokens
-FROM ends x JOIN secs s ON s.doc_id = x.doc_id AND s.ord >= x.ord AND s.ord < x.e AND s.text <> '' GROUP BY x.doc_id, x.ord, x.level, x.title""")
+_TOKENS = """ends AS (
+  SELECT a.doc_id, a.ord, a.level, a.title, coalesce((SELECT min(b.ord) FROM secs b WHERE b.doc_id = a.doc_id AND b.ord > a.ord AND b.level <= a.level), 1000000000) AS e FROM secs a
+), sized AS (
+  SELECT x.doc_id, x.ord, x.level, x.title, CAST(ceil(length(string_agg(s.text, chr(10) ORDER BY s.ord)) / 4.0) AS BIGINT) AS tokens
+  FROM ends x JOIN secs s ON s.doc_id = x.doc_id AND s.ord >= x.ord AND s.ord < x.e AND s.text <> '' GROUP BY x.doc_id, x.ord, x.level, x.title)"""
+
+
+@query(f"WITH {_SECTIONS}, {_TOKENS} SELECT * FROM sized")
 def md_subtree_tokens(d):
     return md.md_subtree_tokens(d.sections)
 
 
-@query()
+@query(f"""WITH {_SECTIONS}, {_TOKENS}, small AS (SELECT z.doc_id, z.ord, e.e FROM sized z JOIN ends e USING (doc_id, ord) WHERE z.tokens < 100
+), tops AS (SELECT * FROM small s WHERE NOT EXISTS (SELECT 1 FROM small o WHERE o.doc_id = s.doc_id AND o.ord < s.ord AND o.e > s.ord)
+), merged AS (
+  SELECT t.doc_id, t.ord, count(*) AS n, string_agg(CASE WHEN s.ord = t.ord THEN '' WHEN ends_with(before, chr(10)) THEN '' ELSE chr(10) || chr(10) END || s.text, '' ORDER BY s.ord) AS text
+  FROM tops t JOIN (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM secs) s ON s.doc_id = t.doc_id AND s.ord >= t.ord AND s.ord < t.e GROUP BY t.doc_id, t.ord)
+SELECT z.doc_id, z.ord, z.level, z.title, coalesce(m.text, s.text) AS text, CASE WHEN m.n > 1 THEN CAST(ceil(length(m.text) / 4.0) AS BIGINT) ELSE z.tokens END AS tokens
+FROM sized z JOIN secs s USING (doc_id, ord) LEFT JOIN merged m USING (doc_id, ord)
+WHERE NOT EXISTS (SELECT 1 FROM tops t JOIN ends e ON e.doc_id = t.doc_id AND e.ord = t.ord WHERE t.doc_id = z.doc_id AND t.ord < z.ord AND e.e > z.ord)""")
 def md_thinning(d):
     return md.md_thinning(d.sections)
 

@@ -92,11 +92,43 @@ def test_group_pages_covers_all_pages_within_bounds():
     assert structure.group_pages([], 100) == []
 
 
-def test_thinning_merges_what_is_below():
-    count = lambda t: -(-len(t) // 4)
-    levels, texts = [1, 2, 2, 1], ["# a", "## b", "## c", "# d" + "x" * 50]
-    totals = [count("\n".join(texts[:3])), 1, 1, count(texts[3])]
-    assert markdown.thin(levels, texts, totals, 5, count) == [(0, "# a\n\n## b\n\n## c", 4), (3, texts[3], totals[3])]
+def test_thinning_merges_what_is_below(spark):
+    rng = random.Random(4)
+    rows = []
+    for doc in range(60):
+        level = 1
+        for k in range(1, rng.randint(2, 14)):
+            rows.append((doc, k, level, f"t{k}", f"{'#' * level} t{k}" + " word" * rng.choice((0, 1, 5, 40)) + rng.choice(("", "\n", " \n\n"))))
+            level = rng.randint(1, min(level + 1, 6))
+    sections = spark.createDataFrame(rows, "doc_id long, ord int, level int, title string, text string")
+    total = {(r.doc_id, r.ord): r.tokens for r in markdown.md_subtree_tokens(sections).collect()}
+
+    def merged(doc, own):
+        """By recursion: what a node and the nodes below it become."""
+        node, inside = own[0], []
+        for row in own[1:]:
+            if row[2] <= inside[-1][0][2] if inside else True:
+                inside.append([row])
+            else:
+                inside[-1].append(row)
+        kept = [x for part in inside for x in merged(doc, part)]
+        if total[doc, node[1]] >= 20:
+            return [(node[1], node[4], total[doc, node[1]]), *kept]
+        text = node[4]
+        for _, part, _ in kept:
+            text += ("" if text.endswith("\n") else "\n\n") + part
+        return [(node[1], text, -(-len(text) // 4) if kept else total[doc, node[1]])]
+
+    expected = set()
+    for doc in range(60):
+        own, roots = [r for r in rows if r[0] == doc], []
+        for row in own:
+            if roots and row[2] > roots[-1][0][2]:
+                roots[-1].append(row)
+            else:
+                roots.append([row])
+        expected |= {(doc, *x) for part in roots for x in merged(doc, part)}
+    assert {(r.doc_id, r.ord, r.text, r.tokens) for r in markdown.md_thinning(sections, 20).collect()} == expected
 
 
 def test_markdown_headings_and_fences(spark):
