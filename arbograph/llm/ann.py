@@ -3,9 +3,11 @@
 A bounded sample trains coarse centroids and, for the residuals, one small
 codebook for each group of components.  Every row is then indexed: its nearest
 centroid's list, its residual's codes, its vector.  A query visits the lists
-whose centroids promise most, ranks their rows by sums from a table of its own
-products with the codebooks (asymmetric distances), and reranks the best by the
-exact product of the original vectors in double precision.
+whose centroids promise most and ranks their rows by sums from a table of its own
+products with the codebooks (asymmetric distances).  Lists send codes only and
+get back each query's best rows by these sums; the best of a query over all its
+lists, four for each that is wanted, meet their vectors and are ranked by the exact product of the original
+vectors in double precision.
 
 How many lists a query visits is fitted: the fewest that hold the wanted share
 of the rows nearest to some probes among all rows, which are found by brute
@@ -17,8 +19,9 @@ are copied only as often as its own queries need.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those whose length is not the commonest one, or
-rows without an id; a row is never its own neighbour, nor are rows with the
-same id; equal scores go by the smaller id; empty tables give no rows; columns
+rows without an id; of rows that repeat an id the one with the smallest vector, by
+its first components, counts, as a query and as a row; a row is never its own
+neighbour; equal scores go by the smaller id; empty tables give no rows; columns
 other than the id and the vector are ignored.
 """
 
@@ -42,8 +45,10 @@ GROUP, CODES = 2, 256
 LISTS, MAX_LISTS, ROWS_A_LIST = 1 / 3, 4_096, 4
 #: The share of the nearest rows that the visited lists are to hold, and the sampled queries that show it.
 COVERAGE, PROBES = 0.97, 256
-#: Rows of a list's block, queries of a group, and rows that a query reranks in each block.
-BLOCK, QUERIES, RERANK = 8_192, 4_096, 256
+#: Rows of a list's block, and queries of a group.
+BLOCK, QUERIES = 8_192, 4_096
+#: Rows that a query reranks, of all its lists together: so many for each that it wants, and at least.
+RERANK, LEAST_RERANK = 4, 64
 #: Queries whose tables a task holds at once.
 TABLES = 128
 
@@ -117,7 +122,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def usable_vectors(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """id and vector of the rows that take part."""
     found = rows.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("vector"))
-    found = found.filter(F.col("id").isNotNull() & _usable(F.col("vector")))
+    found = found.filter(F.col("id").isNotNull() & _usable(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector"))
     common = found.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return found.filter(F.size("vector") == (common["n"] if common else 0))
 
@@ -189,11 +194,29 @@ def _best(scores: np.ndarray, n: int) -> np.ndarray:
     return np.sort(np.concatenate([above, equal[: n - len(above)]]))
 
 
-def search(queries: DataFrame, index: Index | None, rows: DataFrame, k: int) -> DataFrame:
-    """query_id, rank from 1, id and score of the k nearest rows found for each query (id, vector)."""
-    found = "query_id long, id long, score double"
+def search(queries: DataFrame, index: Index | None, rows: DataFrame, k: int, rerank: int | None = None) -> DataFrame:
+    """query_id, rank from 1, id and score of the k nearest rows found for each query (id, vector), of which ``rerank`` are ranked exactly."""
     if index is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    routed = materialise(_routed(queries, index), "routed")
+    order = Window.partitionBy("query_id").orderBy(F.desc("rough"), "id")
+    wanted = max(RERANK * k, LEAST_RERANK) if rerank is None else max(rerank, k)
+    near = _rough(routed, index, rows, wanted).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= wanted).select("query_id", "id")
+    pairs = near.join(rows.select("id", "vector"), "id").join(routed.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), "query_id")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                products = (_matrix(batch.column(2)) * _matrix(batch.column(3))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(products)], ["query_id", "id", "score"])
+
+    exact = pairs.select("query_id", "id", "vector", "query").mapInArrow(score, "query_id long, id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _routed(queries: DataFrame, index: Index) -> DataFrame:
+    """Queries with the lists that they visit."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,47 +226,45 @@ def search(queries: DataFrame, index: Index | None, rows: DataFrame, k: int) ->
                 lists = pa.ListArray.from_arrays(at, pa.array(near.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "vector", "lists"])
 
-    routed = materialise(queries.mapInArrow(route, "id long, vector array<double>, lists array<int>"), "routed")
+    return queries.mapInArrow(route, "id long, vector array<double>, lists array<int>")
+
+
+def _rough(routed: DataFrame, index: Index, rows: DataFrame, wanted: int) -> DataFrame:
+    """query_id, id and rough product of the best ``wanted`` rows of each block of the lists that a query visits."""
     asked = routed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     held = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cut = F.broadcast(materialise(held.join(asked, "list"), "lists"))  # a row a list, whose number is bounded
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sent = (
-        routed.select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.explode("lists").alias("list"))
+        routed.select(F.col("id").alias("query_id"), F.col("vector").cast("array<float>").alias("query"), F.explode("lists").alias("list"))
         .join(cut, "list")
         .select("list", upto("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), "query_id", "query")
     )
-    held = rows.join(cut, "list").select(
-        "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), upto("parts").alias("part"), "id", "codes", "vector"
-    )
+    held = rows.join(cut, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), upto("parts").alias("part"), "id", "codes")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             right = right.sort_by("id")
-            ids, vectors = right.column("id").to_numpy(), _matrix(right.column("vector"))
+            ids = right.column("id").to_numpy()
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            number = int(right.column("list")[0].as_py())
-            names, exact = left.column("query_id").to_numpy(), _matrix(left.column("query"))
+            centroid = index.centroids[int(right.column("list")[0].as_py())]
+            names, queries = left.column("query_id").to_numpy(), _matrix(left.column("query"))
             for low in range(0, len(names), TABLES):
-                part = exact[low : low + TABLES].astype(np.float32)
+                part = queries[low : low + TABLES]
                 tables = index.tables(part)
-                rough = np.repeat((part @ index.centroids[number])[:, None], len(ids), axis=1)
+                rough = np.repeat((part * centroid).sum(axis=1)[:, None], len(ids), axis=1)
                 for j in range(codes.shape[1]):
                     rough += tables[:, j][:, codes[:, j]]
-                for name, query, scores in zip(names[low : low + TABLES], exact[low : low + TABLES], rough, strict=True):
-                    at = _best(np.where(ids == name, -np.inf, scores), max(RERANK, k))
+                for name, scores in zip(names[low : low + TABLES], rough, strict=True):
+                    at = _best(np.where(ids == name, -np.inf, scores), wanted)
                     at = at[ids[at] != name]
-                    score = (vectors[at] * query).sum(axis=1)
-                    first = np.lexsort((ids[at], -score))[:k]
-                    out.append((np.full(len(first), name), ids[at][first], score[first]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table({"query_id": columns[0], "id": columns[1], "score": columns[2]})
+                    out.append((np.full(len(at), name), ids[at], scores[at]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
+        return pa.table({"query_id": columns[0], "id": columns[1], "rough": columns[2].astype(np.float32)})
 
     keys = ("list", "block", "part")
-    pairs = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, rough float")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -251,5 +272,5 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_i
     index, indexed = build(usable_vectors(rows, id_column, vector_column), k)
     size = len(index.centroids[0]) if index else 0
     asked = queries.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("vector"))
-    asked = asked.filter(F.col("id").isNotNull() & _usable(F.col("vector")) & (F.size("vector") == size)).dropDuplicates(["id"])
+    asked = asked.filter(F.col("id").isNotNull() & _usable(F.col("vector")) & (F.size("vector") == size)).groupBy("id").agg(F.min("vector").alias("vector"))
     return search(asked, index, indexed, k).withColumnRenamed("id", id_column)
