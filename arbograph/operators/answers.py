@@ -84,6 +84,7 @@ def section_hits(g: DocumentGraph, questions: DataFrame, names: DataFrame, resol
     names, for questions that have none yet, 3 titles, for those that still
     have none.  ``resolved`` are names with their entities and the intent.
     """
+    resolved = materialise(resolved, "resolved")  # every step reads it
     hits = materialise(intent_sections(g, resolved).select(*HIT), "hits")
     more = materialise(named_sections(g, _without(resolved, hits)).select(*HIT), "hits")
     hits = hits.unionByName(more)

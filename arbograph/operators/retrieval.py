@@ -9,6 +9,7 @@ from arbograph.functions.text import empty_as_null, estimated_tokens, without_ty
 from arbograph.graph import DocumentGraph
 from arbograph.operators import hierarchy, patterns
 from arbograph.operators.reads import sections_by_ids
+from arbograph.session import materialise
 
 # Lines of a context, and reasons of traversal steps; {} is a name's place.
 HEADING, UNTITLED, UNKNOWN = "## Relevant Document Sections\n\n", "Untitled", "Unknown"
@@ -19,6 +20,10 @@ BETWEEN, BELOW = "Path from '{}' to '{}'", "Descendant of section '{}'"
 STEP = ("question_id", "entity_ord", "row_ord", "node_type", "node_id", "node_label", "edge_label", "edge_direction", "reason")
 
 
+#: Runs of characters of keys that are sent to the tasks at most.
+SENT_RUNS = 100_000
+
+
 def _gram(text: Column, n: int):
     return lambda i: F.substring(text, i, F.lit(n))
 
@@ -32,12 +37,22 @@ def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
 def containing(names: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, entity_id, entity_name) for all names that contain a key; both in lower case.
 
-    A key is met through its rarest run of three characters, by equality, so
-    only names that share it are compared.
+    A key is met through its rarest run of three characters, or as a whole if it is
+    shorter, by equality, so only names that share it are compared.  Of the names
+    only runs that some key has leave the scan, where so many keys' runs can be
+    sent to the tasks.
     """
-    runs = names.select("entity_id", "low", F.explode(_grams(F.col("low"), (1, 2, 3))).alias("gram"))
-    counted = runs.groupBy("gram").agg(F.count("*").alias("n"))
     own = keys.filter("key <> ''").select("key", F.explode(F.when(F.length("key") >= 3, _grams(F.col("key"), (3,))).otherwise(F.array("key"))).alias("gram"))
+    own = materialise(own, "grams")
+    asked = own.select("gram").distinct()
+    sizes = sorted(r[0] for r in own.select(F.length("gram")).distinct().collect())  # of 1, 2 and 3
+    if not sizes:
+        return names.select(F.col("low").alias("key"), "entity_id").filter("false")
+    runs = names.select("entity_id", "low", F.explode(_grams(F.col("low"), tuple(sizes))).alias("gram"))
+    if asked.limit(SENT_RUNS + 1).count() <= SENT_RUNS:
+        asked = F.broadcast(asked)
+    runs = runs.join(asked, "gram", "left_semi")
+    counted = runs.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = own.join(counted, "gram").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     return rarest.join(runs, "gram").filter(F.contains("low", "key")).select("key", "entity_id").distinct()
 

@@ -269,17 +269,38 @@ def flatten_tree(trees: DataFrame) -> DataFrame:
             return out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
 
 
-def nested_json(tree: DataFrame) -> DataFrame:
-    """One JSON structure a document from (doc_id, ord, parent_ord, title, node_id, start_index, end_index): a sink's last step."""
-    import json
+#: Keys of a node in a nested structure, in their order.
+KEYS = ("title", "node_id", "start_index", "end_index", "summary", "prefix_summary", "text")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, roots = {}, []
-        for r in pdf.sort_values("ord").itertuples():
-            node = {"title": r.title, "node_id": r.node_id, "start_index": int(r.start_index), "end_index": int(r.end_index)}
-            nodes[r.ord] = node
-            parent = nodes.get(r.parent_ord) if not pd.isna(r.parent_ord) else None
-            (roots if parent is None else parent.setdefault("nodes", [])).append(node)
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "json": [json.dumps({"structure": roots})]})
-
-    return tree.groupBy("doc_id").applyInPandas(run, "doc_id long, json string")
+
+def nested_json(tree: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """One JSON structure a document from (doc_id, ord, parent_ord and some of ``keys``): a sink's last step.
+
+    Put together from the leaves up, a level of all documents at a time: a node's
+    object has its own keys in the given order, those that are null left out, and
+    then, unless it has no children, ``nodes`` with theirs, which the level below has
+    stored.  A node whose parent is missing is a root; trees may have any depth.
+    """
+    if not set(keys) <= set(KEYS):
+        raise ValueError(f"keys are some of {', '.join(KEYS)}")
+    own = F.to_json(F.struct(*(c for c in keys if c in tree.columns)))
+    known = tree.select("doc_id", F.col("ord").alias("parent_ord"), F.lit(True).alias("_known"))
+    rooted = tree.join(known, ["doc_id", "parent_ord"], "left").withColumn("parent_ord", F.when(F.col("_known"), F.col("parent_ord")))
+    nodes = materialise(section_depth(rooted.select("doc_id", "ord", "parent_ord", own.alias("own"))), "nodes")
+    level = None
+    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        mine = nodes.filter(F.col("depth") == depth)
+        inside = F.lit(None).cast("string")
+        if level is not None:
+            mine = mine.join(_arrays(level, "parent_ord").withColumnRenamed("parent_ord", "ord"), ["doc_id", "ord"], "left")
+            inside = F.col("array")
+        bare = F.substring("own", F.lit(1), F.length("own") - 1)
+        with_nodes = F.concat(bare, F.when(F.col("own") == "{}", "").otherwise(","), F.lit('"nodes":'), inside, F.lit("}"))
+        level = materialise(mine.select("doc_id", "ord", "parent_ord", F.coalesce(with_nodes, "own").alias("json")), "level")
+    return _arrays(level).select("doc_id", F.concat(F.lit('{"structure":'), "array", F.lit("}")).alias("json"))
+
+
+def _arrays(nodes: DataFrame, *keys: str) -> DataFrame:
+    """The JSON objects of each document, or of each of its parents, as one array in order."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda x: x["json"]), ",")
+    return nodes.groupBy("doc_id", *keys).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("array"))

@@ -199,6 +199,35 @@ def test_structures_survive_a_round_trip(spark, tmp_path):
     assert [(r.depth, r.title, r.node_id, r.end_index) for r in back] == [(0, "A", "0000", 5), (1, "B", "0001", 3), (2, "C", "0002", 3), (0, "D", "0003", 9)]
 
 
+def test_structures_are_built_from_the_leaves_up(spark):
+    rng = random.Random(8)
+    rows, expected = [], {}
+    for doc in range(30):
+        nodes, roots = {}, []
+        for k in range(rng.randint(1, 25)):
+            parent = rng.choice([None, *nodes, k - 1 if k else None, 999]) if nodes else None
+            own = {"title": rng.choice(('a "quoted" \\ title', "é漢\n", "")), "node_id": f"{k:04}", "start_index": k, "summary": rng.choice((None, "s,}", ""))}
+            rows.append((doc, k, parent, own["title"], own["node_id"], k, own["summary"]))
+            nodes[k] = {c: v for c, v in own.items() if v is not None}
+            (nodes[parent].setdefault("nodes", []) if parent in nodes else roots).append(nodes[k])
+        expected[doc] = {"structure": roots}
+    tree = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, ord int, parent_ord int, title string, node_id string, start_index int, summary string")
+    found = {r.doc_id: json.loads(r.json) for r in structure.nested_json(tree).collect()}
+    assert found == expected
+    assert list(found[0]["structure"][0])[:3] == ["title", "node_id", "start_index"]
+    few = {r.doc_id: r.json for r in structure.nested_json(tree, ("node_id", "title")).collect()}
+    assert few[0].startswith('{"structure":[{"node_id":"0000","title":') and "summary" not in few[0]
+    assert structure.nested_json(tree.filter("false")).count() == 0
+    chain = spark.range(40).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("ord"), (F.nullif("id", F.lit(0)) - 1).cast("int").alias("parent_ord"), F.concat(F.lit("n"), "id").alias("title"))
+    deep = json.loads(structure.nested_json(chain).first().json)["structure"]
+    for k in range(40):
+        assert deep[0]["title"] == f"n{k}"
+        deep = deep[0].get("nodes")
+    assert deep is None
+    with pytest.raises(ValueError):
+        structure.nested_json(tree, ("title", "other"))
+
+
 def test_deep_structures_are_flattened_to_their_leaves(spark):
     nested = {"title": "n30"}
     for k in range(29, -1, -1):
