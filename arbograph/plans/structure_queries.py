@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbograph.operators import markdown as md
-from arbograph.operators import contents, structure, vectors
+from arbograph.operators import contents, search, structure, vectors
 from arbograph.plans.stand_ins import PageReader
 from arbograph.session import materialise, read_table
 from arbograph.sources import documents as source
@@ -298,6 +298,36 @@ def flatten_tree(d):
     return structure.flatten_tree(materialise(structure.nested_json(nodes), "trees")).select("doc_id", "depth", "title", "node_id", "ord")
 
 
+#: Columns that documents are searched by, and what a model answers to some questions.
+_SEARCHED = {"lang": "string", "source": "string", "n_chars": "long"}
+_CONDITIONS = {
+    1: '[{"column": "lang", "comparison": "=", "value": "en"}, {"column": "n_chars", "comparison": ">", "value": 5000}]',
+    2: '```json\n[{"column": "source", "comparison": "in", "value": ["src1", "src2"]}, {"column": "lang", "comparison": "!=", "value": "en"}]\n```',
+    3: '[{"column": "source", "comparison": "contains", "value": "7"}, {"column": "n_chars", "comparison": "<=", "value": 900}]',
+}
+
+
+@query("""SELECT CAST(1 AS BIGINT) AS question_id, doc_id FROM documents WHERE lang = 'en' AND n_chars > 5000
+UNION ALL SELECT 2, doc_id FROM documents WHERE source IN ('src1', 'src2') AND lang <> 'en' UNION ALL SELECT 3, doc_id FROM documents WHERE contains(source, '7') AND n_chars <= 900""")
+def metadata_search(d):
+    """Documents by conditions that a model gave as JSON."""
+    return search.by_metadata(d.docs, {k: search.predicate(a, _SEARCHED) for k, a in _CONDITIONS.items()})
+
+
+@query("""WITH scored AS (SELECT doc_id, ord, parent_ord, CAST((ord * 37 + doc_id * 11) % 101 AS DOUBLE) AS score FROM t_tree),
+first AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS k FROM scored WHERE parent_ord IS NULL),
+second AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.score DESC, s.ord) AS k FROM scored s JOIN first f ON f.doc_id = s.doc_id AND f.ord = s.parent_ord AND f.k <= 2),
+third AS (SELECT s.*, 0 AS k FROM scored s JOIN second f ON f.doc_id = s.doc_id AND f.ord = s.parent_ord AND f.k <= 2)
+SELECT doc_id AS question_id, doc_id, CAST(rank AS INT) AS rank, ord, depth, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS rank FROM (
+  SELECT doc_id, ord, score, 0 AS depth FROM first UNION ALL SELECT doc_id, ord, score, 1 FROM second UNION ALL SELECT doc_id, ord, score, 2 FROM third) u) r WHERE rank <= 3""")
+def tree_search(d):
+    """A walk down every document's tree below the best two nodes of each level."""
+    tree = materialise(d.tree.withColumn("summary", F.lit(None).cast("string")), "tree")
+    asked = tree.select(F.col("doc_id").alias("question_id"), "doc_id").distinct().withColumn("question", F.lit("which?"))
+    score = lambda rows: rows.withColumn("score", ((F.col("ord") * 37 + F.col("doc_id") * 11) % 101).cast("double"))
+    return search.tree_search(tree, asked, score, 2, 3)[0]
+
+
 _LINES = """lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_num FROM t_markdown
 ), bared AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare FROM lines
