@@ -2,7 +2,10 @@
 
 Reads return DataFrames in the order that their names promise; writes replace
 the store's graph.  Filters on keys reach the scans, so a look-up reads only
-what its key selects.
+what its key selects.  A row that is added or changed is a small file beside its
+table, whatever the table's size; reads put the last versions in the place of rows,
+and after some hundred such files the table is written anew to another folder.
+Frames that were read before go on showing the table as it was.
 """
 
 from __future__ import annotations
@@ -12,12 +15,13 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from arbograph.graph import DocumentGraph
 from arbograph.operators import enrichment, hierarchy, patterns, reads, sessions, temporal, vectors, views, writes
-from arbograph.session import materialise, shared_dir
+from arbograph.session import shared_dir
 
-#: Rows that are added to a table as files of their own before it is written again.
+#: Rows that are added to or changed in a table as files of their own before it is written again.
 FILES = 256
 
 
@@ -27,6 +31,7 @@ class DocumentStore:
         self.graph, self.small = graph, small
         self.paths: dict[str, str] = {}
         self.files: dict[str, int] = {}
+        self.changed: dict[str, int] = {}
 
     @property
     def spark(self) -> SparkSession:
@@ -150,30 +155,51 @@ class DocumentStore:
 
     # writes
 
-    def _insert(self, table: str, key: str, write, row: tuple, schema: str) -> int:
-        """One row as a further file of the table, and its id.
+    def _stored(self, table: str) -> None:
+        """Keeps a table in a folder of its own, and writes it anew once ``FILES`` rows were added or changed.
 
-        The table is stored once, when the store first writes to it; after
-        ``FILES`` rows its files are made few again.
+        A new folder gets all that is in force; readers of the old one go on with what they have.
         """
+        if table not in self.paths or self.files[table] >= FILES:
+            held = self.graph[table]
+            folder = f"{shared_dir(self.spark)}/{table}-{uuid.uuid4().hex}"
+            (held.coalesce(1) if self.small else held).write.parquet(f"{folder}/rows")
+            self.paths[table], self.files[table], self.changed[table] = folder, 0, 0
+            self._show(table, held.schema)
+
+    def _show(self, table: str, schema: StructType) -> None:
+        """The table as it is: its rows, of which changed ones give way to their last version."""
+        rows = self.spark.read.schema(schema).parquet(f"{self.paths[table]}/rows")
+        if self.changed[table]:
+            key = schema[0].name
+            changes = self.spark.read.schema(StructType(schema.fields[:]).add("_version", IntegerType())).parquet(f"{self.paths[table]}/changes")
+            last = changes.groupBy(key).agg(F.max_by(F.struct(*schema.names), "_version").alias("_row")).select("_row.*")
+            # one row an update since the table was written, FILES at most
+            rows = rows.join(F.broadcast(last.select(key)), key, "left_anti").select(*schema.names).unionByName(last)
+        self.graph = self.graph.with_table(table, rows)
+
+    def _insert(self, table: str, key: str, write, row: tuple, schema: str) -> int:
+        """One row as a further file of the table, and its id."""
+        self._stored(table)
         held = self.graph[table]
         last = held.orderBy(F.desc_nulls_last(key)).limit(1)  # all that a new id depends on
         before = held.agg(F.max(key)).first()[0] or 0
         new = write(self.graph.with_table(table, last), self._frame([row], schema))[table].filter(F.col(key) > before).coalesce(1)
-        if table not in self.paths or self.files.get(table, 0) >= FILES:
-            folder = f"{shared_dir(self.spark)}/{table}-{uuid.uuid4().hex}"
-            (held.coalesce(1) if self.small else held).write.parquet(folder)
-            self.paths[table], self.files[table] = folder, 0
-        new.write.mode("append").parquet(self.paths[table])
+        new.write.mode("append").parquet(f"{self.paths[table]}/rows")
         self.files[table] += 1
-        self.graph = self.graph.with_table(table, self.spark.read.schema(held.schema).parquet(self.paths[table]))
+        self._show(table, held.schema)
         return before + 1
 
     def _update(self, table: str, write, row: tuple, schema: str) -> None:
-        """One row changed: the table is written again."""
-        held = write(self.graph, self._frame([row], schema))[table]
-        self.paths.pop(table, None)
-        self.graph = self.graph.with_table(table, materialise(held.coalesce(1) if self.small else held, table))
+        """One row changed: its new version is a further file of the table's changes."""
+        self._stored(table)
+        held = self.graph[table]
+        one = held.filter(F.col(held.columns[0]) == row[0])
+        new = write(self.graph.with_table(table, one), self._frame([row], schema))[table]
+        new.withColumn("_version", F.lit(self.changed[table])).coalesce(1).write.mode("append").parquet(f"{self.paths[table]}/changes")
+        self.files[table] += 1
+        self.changed[table] += 1
+        self._show(table, held.schema)
 
     def _new(self, table: str, key: str, write, row: dict, schema: str) -> int:
         return self._insert(table, key, write, tuple(row.values()), schema)

@@ -154,3 +154,34 @@ def test_empty_graph(spark):
     assert s.get_cooccurring_pairs().count() == 0
     assert s.traverse_section_descendants(1).count() == 0
     assert s.get_full_graph_data()[1].count() == 0
+
+
+def test_updates_write_their_row_only(spark, monkeypatch):
+    from pathlib import Path
+
+    from arbograph import store as module
+    from arbograph.graph import DocumentGraph
+
+    monkeypatch.setattr(module, "FILES", 5)
+    size = {}
+    for n in (50, 20_000):
+        entities = spark.range(1, n + 1).selectExpr("id as entity_id", "concat('name ', id) as name", "'T' as entity_type")
+        s = DocumentStore(DocumentGraph.from_tables(spark, {"entities": entities}), small=True)
+        s.update_entity_canonical(7, 3)
+        folder = Path(s.paths["entities"])
+        size[n] = sum(f.stat().st_size for f in folder.glob("changes/*.parquet"))
+        before, rows = s.graph["entities"], sorted(f.name for f in folder.glob("rows/*.parquet"))
+        s.update_entity_canonical(7, 4)
+        s.update_entity_embedding(8, [1.0, 2.0])
+        s.update_entity_canonical(99_999, 1)  # nobody
+        assert rows == sorted(f.name for f in folder.glob("rows/*.parquet"))
+        named = lambda df, k: df.filter(f"entity_id = {k}").first()
+        assert named(s.graph["entities"], 7).canonical_id == 4 and named(before, 7).canonical_id == 3
+        assert named(s.graph["entities"], 8).name_embedding == [1.0, 2.0] and s.graph["entities"].count() == n
+        assert s.upsert_entity("new one", "T") == n + 1
+        held = s.graph["entities"]
+        s.update_entity_canonical(n + 1, 7)  # the sixth: the table is written anew
+        assert s.paths["entities"] != str(folder) and s.changed["entities"] == 1
+        assert named(held, n + 1).canonical_id is None and held.count() == n + 1 and named(held, 7).canonical_id == 4
+        assert named(s.graph["entities"], n + 1).canonical_id == 7 and named(s.graph["entities"], 7).canonical_id == 4 and s.graph["entities"].count() == n + 1
+    assert size[20_000] < 1.2 * size[50]
