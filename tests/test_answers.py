@@ -17,7 +17,8 @@ def client(chat):
     return Client()
 
 
-ECHO, BROKEN = client(lambda prompt: prompt), client(lambda prompt: 1 / 0)
+#: A service that can't be reached, and a client that is wrong itself.
+ECHO, BROKEN, WRONG = client(lambda prompt: prompt), client(lambda prompt: open("/no/such/service")), client(lambda prompt: 1 / 0)
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +95,8 @@ def test_a_budget_cuts_sections_and_concepts(spark, graph):
 
 def test_a_client_that_fails(spark, graph):
     assert answers.answer(graph, *asked(spark, ("LOOKUP", ["acme"])), BROKEN).answers.first()["answer"] == answers.FAILED
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        answers.answer(graph, *asked(spark, ("LOOKUP", ["acme"])), WRONG).answers.collect()
 
 
 def test_no_questions(spark, graph):
