@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,7 +183,7 @@ def dedupe_related(related: DataFrame) -> DataFrame:
     return related.withColumn("_key", key).withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_key", "_k")
 
 
-def context_budget(sections: DataFrame, budget: int = 12_000) -> DataFrame:
+def context_budget(sections: DataFrame, budget: int = 12_000, count: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
     """The sections that fit a question's budget in their order, as texts, and the first that doesn't, cut.
 
     A section is cut to three characters for each remaining token if more than
@@ -200,7 +202,7 @@ def context_budget(sections: DataFrame, budget: int = 12_000) -> DataFrame:
     )
     order = Window.partitionBy("question_id").orderBy("ord")
     s = sections.withColumn("text", F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")).withColumn("body", body)
-    s = s.withColumn("tokens", estimated_tokens(F.col("text")))
+    s = s.withColumn("tokens", count(F.col("text")))
     s = s.withColumn("used", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) + header)
     s = s.withColumn("remaining", budget - (F.col("used") - F.col("tokens")))
     s = s.withColumn("fits", F.col("used") <= budget)

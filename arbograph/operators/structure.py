@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +25,10 @@ def _in_order():
     return Window.partitionBy("doc_id").orderBy("ord")
 
 
-def page_list(docs: DataFrame) -> DataFrame:
-    """Pages of documents (doc_id, text): their lines, with estimated tokens."""
+def page_list(docs: DataFrame, count: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
+    """Pages of documents (doc_id, text): their lines, with their tokens."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text"))
-    return lines.select("doc_id", (F.col("k") + 1).alias("page_no"), "text", estimated_tokens(F.col("text")).alias("tokens"))
+    return lines.select("doc_id", (F.col("k") + 1).alias("page_no"), "text", count(F.col("text")).alias("tokens"))
 
 
 def document_totals(pages: DataFrame) -> DataFrame:

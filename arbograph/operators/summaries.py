@@ -14,6 +14,8 @@ have any depth, and documents any mix of depths.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def _below(done: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "parent_ord").agg(text.alias("below"))
 
 
-def summarised(nodes: DataFrame, client: models.Client, short: int = SHORT, size: int = 1) -> DataFrame:
+def summarised(nodes: DataFrame, client: models.Client, short: int = SHORT, size: int = 1, count: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
     """doc_id, ord, summary and how it came about: own, together, alone, failed or empty; nodes are (doc_id, ord, parent_ord, depth, title, text)."""
     columns = ["doc_id", "ord", "parent_ord", "title", "summary", "how"]
     deepest = nodes.agg(F.max("depth")).first()[0]
@@ -51,14 +53,15 @@ def summarised(nodes: DataFrame, client: models.Client, short: int = SHORT, size
             mine = mine.withColumn("below", F.lit(None).cast("string"))
         else:
             mine = mine.join(_below(level).withColumnRenamed("parent_ord", "ord"), ["doc_id", "ord"], "left")
-        level = materialise(_level(mine, client, short, size).select(*columns), "summaries")
+        level = materialise(_level(mine, client, short, size, count).select(*columns), "summaries")
         found = level if found is None else found.unionByName(level)
     return found.select("doc_id", "ord", "summary", "how")
 
 
-def _level(mine: DataFrame, client: models.Client, short: int, size: int) -> DataFrame:
+def _level(mine: DataFrame, client: models.Client, short: int, size: int, count: Callable[[Column], Column]) -> DataFrame:
     own, below = F.col("own"), F.col("below")
-    is_own = below.isNull() & (estimated_tokens(own) < short)
+    mine = mine.withColumn("tokens", count(own))
+    is_own = below.isNull() & (F.col("tokens") < short)
     told = mine.filter(is_own).select("*", own.alias("summary"), F.when(own == "", "empty").otherwise("own").alias("how"))
     shown = F.concat_ws("\n\n", F.nullif(truncated_to_tokens(own, TEXT_TOKENS), F.lit("")), below)
     asked = mine.filter(~is_own).withColumn("text", shown)
