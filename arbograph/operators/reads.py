@@ -88,6 +88,27 @@ def related_entities(g: DocumentGraph, names: DataFrame, limit: int = 20) -> Dat
     return rows.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= limit).select("query", "ord", "entity_id", "name", "entity_type", "description", "relationship")
 
 
+def entity_sections_of(g: DocumentGraph, query: str, limit: int = 10) -> DataFrame:
+    """As ``entity_sections``, in their order, for one query: its pattern filters the scan of entities, and a sort with a limit takes the first."""
+    found = g["entities"].filter(contains("name", query)).select("entity_id")
+    rows = (
+        found.join(g["section_entities"].select("section_id", "entity_id", "relevance"), "entity_id")
+        .join(g["sections"].select("section_id", "doc_id", "title", "depth_level", "start_index"), "section_id")
+        .join(g["documents"].select("doc_id", "doc_name"), "doc_id")
+    )
+    return rows.orderBy(F.col("start_index").asc_nulls_last(), "section_id", "entity_id").limit(limit).select("section_id", "entity_id", "title", "depth_level", "relevance", "start_index", "doc_id", "doc_name")
+
+
+def related_entities_of(g: DocumentGraph, query: str, limit: int = 20) -> DataFrame:
+    """As ``related_entities``, in their order, for one query."""
+    found = g["entities"].filter(contains("name", query)).select(F.col("entity_id").alias("source_entity"))
+    rows = (
+        found.join(g["entity_relationships"].select("source_entity", F.col("target_entity").alias("entity_id"), "relationship"), "source_entity")
+        .join(g["entities"].select("entity_id", "name", "entity_type", "description"), "entity_id")
+    )
+    return rows.orderBy("name", "entity_id", "source_entity", "relationship").limit(limit).select("entity_id", "name", "entity_type", "description", "relationship")
+
+
 def doc_entities(g: DocumentGraph) -> DataFrame:
     pairs = g["section_entities"].select("section_id", "entity_id").join(g["sections"].select("section_id", "doc_id"), "section_id").select("doc_id", "entity_id").distinct()
     return pairs.join(g["entities"].select("entity_id", "name", "entity_type"), "entity_id").select("doc_id", "entity_id", "name", "entity_type")

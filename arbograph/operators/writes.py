@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbograph.graph import DocumentGraph, conform
+from arbograph.runlog import counted
 from arbograph.schema import SCHEMAS
 
 
@@ -38,7 +39,7 @@ def _append(g: DocumentGraph, table: str, rows: DataFrame, key: str, order: list
         else:
             rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     new = allocate_ids(g[table], rows.drop(key) if key in rows.columns else rows, key, order)
-    return g.with_table(table, g[table].unionByName(conform(new, table)))
+    return g.with_table(table, g[table].unionByName(counted(conform(new, table), "rows_out")))
 
 
 def insert_documents(g, rows):

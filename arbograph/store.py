@@ -72,10 +72,10 @@ class DocumentStore:
         return found.join(entities.select("entity_id", "name"), "entity_id").select("entity_id", "name", "entity_type", "distance").orderBy("distance", "entity_id")
 
     def get_entity_sections(self, entity_name: str) -> DataFrame:
-        return reads.entity_sections(self.graph, self._frame([(entity_name,)], "query string")).orderBy("ord")
+        return reads.entity_sections_of(self.graph, entity_name)
 
     def get_related_entities(self, entity_name: str) -> DataFrame:
-        return reads.related_entities(self.graph, self._frame([(entity_name,)], "query string")).orderBy("ord")
+        return reads.related_entities_of(self.graph, entity_name)
 
     def get_full_graph_data(self) -> tuple[DataFrame, DataFrame]:
         return views.graph_nodes(self.graph), views.graph_edges(self.graph)
