@@ -5,7 +5,9 @@ owner of a copyright, every run of other characters than letters and digits made
 one space, equivalent spellings made one, however its lines are wrapped.  Its
 digest is looked up among those of known licences, as a whole; the same is done
 with each of its lines taken as a text, for notices that stand within a
-document.  Lines are brought into their form once for both.
+document.  An owner's line that ends in a comma, "&" or "and" may go on in the next:
+where there is such a line, the text is also looked up without what follows, after
+it was with it, as some licences have the owner's address there.  Lines are brought into their form once for both.
 
 Whole texts of long licences are known by their digests alone.
 
@@ -29,6 +31,9 @@ OWNER_LINE = r"(?i)^[^\p{L}\p{N}]*(copyright\s*(\(c\)|©|[0-9\[<{]|by\s)|\(c\)\s
 NAMED_LINE = r"^[^\p{L}\p{N}]*[Cc]opyright\s+\p{Lu}"
 TERMS_LINE = r"(?i)^[^\p{L}\p{N}]*copyright\s+(and|claim|disclaimer|holder|interest|law|licen[cs]e|license|notice|or|owner|permission|right|statement|status|treaty)"
 
+#: An owner's lines that are wrapped after a comma, "&" or "and", with the last of them, in 100 lines at most.
+WRAPPED = r"(?i)(^|\n)[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9\[<{]|by[ \t])|\(c\)[ \t]*[0-9\[<{]|©)([^\n]*(,|&|\band)[ \t\r]*\n){1,100}[^\n]*"
+
 # Licences and the names by which notices call them.
 NAMES = {
     "MIT": ("MIT", "MIT License", "the MIT License"),
@@ -115,13 +120,21 @@ def _digest(form: Column) -> Column:
     return F.when(form != "", F.md5(_spelled(form).cast("binary")))
 
 
+def _whole(forms: Column) -> Column:
+    return _digest(F.array_join(F.filter(forms, lambda x: x != ""), " "))
+
+
 def digests(text: Column) -> Column:
     """Of the whole text, and then of each line; null for a null text."""
-    whole = lambda forms: _digest(F.array_join(F.filter(forms, lambda x: x != ""), " "))
-    both = F.transform(F.array(line_forms(text)), lambda forms: F.concat(F.array(whole(forms)), F.transform(forms, _digest)))
+    both = F.transform(F.array(line_forms(text)), lambda forms: F.concat(F.array(_whole(forms)), F.transform(forms, _digest)))
     return F.get(both, F.lit(0))
 
 
+def digest_without_wrapped(text: Column) -> Column:
+    """Of the whole text without the lines in which owners' lines go on; null if there are none."""
+    return F.when(text.rlike(WRAPPED), _whole(line_forms(F.regexp_replace(text, WRAPPED, "$1"))))
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest and license of known texts, as a rule those of this module."""
     rows = spark.createDataFrame(known if known is not None else known_texts(), "license string, known string")
@@ -135,11 +148,12 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     """doc_id, license (of the whole text, or null) and notices (licences that lines name) of every row."""
     table = F.broadcast(known_digests(docs.sparkSession, known))  # as many rows as the driver's list of known texts at most
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    parts = own.select("doc_id", "row", F.posexplode_outer(digests(F.col("text"))).alias("k", "digest"))
+    parts = own.select("doc_id", "row", F.posexplode_outer(F.concat(F.array(digest_without_wrapped(F.col("text"))), digests(F.col("text")))).alias("k", "digest"))
     # one row a text, and one for each of the few lines that are found
-    found = parts.join(table, "digest", "left").filter("license is not null or k = 0 or k is null")
-    notices = F.array_sort(F.collect_set(F.when(F.col("k") > 0, F.col("license"))))
-    rows = found.groupBy("row", "doc_id").agg(F.max(F.when(F.col("k") == 0, F.col("license"))).alias("license"), notices.alias("notices"))
+    found = parts.join(table, "digest", "left").filter("license is not null or k = 1 or k is null")
+    notices = F.array_sort(F.collect_set(F.when(F.col("k") > 1, F.col("license"))))
+    whole = F.coalesce(*(F.max(F.when(F.col("k") == k, F.col("license"))) for k in (1, 0)))
+    rows = found.groupBy("row", "doc_id").agg(whole.alias("license"), notices.alias("notices"))
     return rows.select("doc_id", "license", F.array_join("notices", ", ").alias("notices"))
 
 
@@ -156,7 +170,9 @@ def oracle_sql() -> str:
         line = f"case when {owner} then '' else trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) end"
         return f"[{line} for x in string_split({text}, chr(10))]"
 
-    whole = "array_to_string([x for x in forms if x <> ''], ' ')"
+    joined = lambda forms: f"array_to_string([x for x in {forms} if x <> ''], ' ')"
+    whole = joined("forms")
+    wrapped = f"case when regexp_matches(text, {quoted(WRAPPED)}) then regexp_replace(text, {quoted(WRAPPED)}, '\\1', 'g') end"
     values = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in known_texts())
     listed = ", ".join(f"({quoted(k)}, {quoted(d)})" for k, d in DIGESTS)
     return f"""
@@ -168,15 +184,17 @@ with given as (
     union all select * from (values {listed}) v(license, digest)
   ) group by digest
 ), texts as materialized (
-  select row_number() over () as r, doc_id, {forms('text')} as forms from documents
+  select r, doc_id, {forms('text')} as forms, {forms('bare')} as bare
+  from (select row_number() over () as r, doc_id, text, {wrapped} as bare from documents)
 ), lines as (
   select r, unnest(forms) as form from texts
 ), noticed as (
   select r, string_agg(distinct license, ', ' order by license) as notices
   from (select r, md5({spelled('form')}) as digest from lines where form <> '') l join known using (digest) group by r
 ), whole as (
-  select r, doc_id, case when {whole} <> '' then md5({spelled(whole)}) end as digest from texts
+  select r, doc_id, case when {whole} <> '' then md5({spelled(whole)}) end as digest,
+    case when {joined('bare')} <> '' then md5({spelled(joined('bare'))}) end as bare_digest from texts
 )
-select w.doc_id, k.license, coalesce(notices, '') as notices
-from whole w left join known k using (digest) left join noticed n using (r)
+select w.doc_id, coalesce(k.license, b.license) as license, coalesce(notices, '') as notices
+from whole w left join known k using (digest) left join known b on b.digest = w.bare_digest left join noticed n using (r)
 """

@@ -56,6 +56,46 @@ def test_lines_of_owners_and_of_terms(spark):
     assert all(x == "" for x in forms[: len(owners)]) and all(forms[len(owners) :])
 
 
+WRAPPED = [
+    "Copyright (c) 2020 Acme Software Foundation,\n  Beta Holdings and others",
+    "Copyright (c) 2020 A,\r\n  B and  \r\n  C",
+    "(c) 2019 A &\nB\nCopyright 2020 C,\nD",
+    "# © A,\n# B,\n# C and\n# D",
+]
+
+
+@pytest.mark.parametrize("owners", WRAPPED)
+def test_owners_lines_that_are_wrapped(spark, owners):
+    texts = [f"{owners}\n\n{t}" for _, t in licenses.TEXTS]
+    assert [x for x, _ in scanned(spark, texts)] == [name for name, _ in licenses.TEXTS]
+    # what isn't an owner's line goes on in the text
+    assert scanned(spark, ["One, two and\n" + licenses.TEXTS[0][1], "A copyright (c) 2020 B,\n" + licenses.TEXTS[0][1]]) == [(None, "")] * 2
+
+
+def test_a_known_text_keeps_what_follows_its_owner(spark):
+    text = "Copyright (C) 1989 Somebody, Inc.,\n51 Some Street\nEveryone may copy this."
+    docs = spark.createDataFrame([(1, text), (2, text.replace("51 Some Street", "B Inc.")), (3, "Everyone may copy this.")], "doc_id long, text string")
+    found = licenses.scan(docs, [("X", text), ("Y", "Everyone may copy this.")])
+    assert [r.license for r in found.orderBy("doc_id").collect()] == ["X", "Y", "Y"]
+
+
+def test_long_lists_of_owners(spark):
+    long = "Copyright (c) 2020 " + ",\n".join(f"Owner {k}" for k in range(101)) + "\n" + licenses.TEXTS[0][1]
+    wide = "Copyright (c) 2020 " + "a, " * 300_000 + "\nB\n" + licenses.TEXTS[0][1]
+    assert [x for x, _ in scanned(spark, [long, wide])] == [licenses.TEXTS[0][0]] * 2
+
+
+def test_wrapped_owners_by_sql(spark):
+    import duckdb
+
+    texts = [f"{o}\n{t}" for o in WRAPPED for _, t in licenses.TEXTS] + ["", None, "Copyright (c) 2020 A,\n", "© A,\nB", *WRAPPED]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with duckdb.connect() as db:
+        db.register("documents", docs.toArrow())
+        expected = db.sql(licenses.oracle_sql()).fetchall()
+    assert sorted(map(tuple, licenses.scan(docs).collect())) == sorted(expected)
+
+
 def test_ids_play_no_part(spark):
     text = "x\nLicense: MIT"
     assert scanned(spark, [text, text, "y", None, ""], [1, None, 1, 2, 3]) in (
