@@ -271,7 +271,7 @@ def flatten_tree(trees: DataFrame) -> DataFrame:
 
 
 #: Keys of a node in a nested structure, in their order.
-KEYS = ("title", "node_id", "start_index", "end_index", "summary", "prefix_summary", "text")
+KEYS = ("title", "node_id", "start_index", "end_index", "summary", "prefix_summary", "text", "line_num")
 
 
 def nested_json(tree: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -60,3 +60,9 @@ def path_subgraph(g: DocumentGraph, steps: DataFrame) -> DataFrame:
 
 def node_type_counts(g: DocumentGraph) -> DataFrame:
     return graph_nodes(g).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def write_graph(g: DocumentGraph, path: str) -> None:
+    """Nodes and edges as JSON, a row a line, in a folder each; keys that are null are left out."""
+    graph_nodes(g).write.json(f"{path}/nodes")
+    graph_edges(g).write.json(f"{path}/edges")

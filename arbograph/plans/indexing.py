@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbograph.functions import models
 from arbograph.graph import DocumentGraph
-from arbograph.operators import contents, extraction, retrieval, structure, summaries, temporal, vectors, writes
+from arbograph.operators import contents, extraction, prompts, retrieval, structure, summaries, temporal, vectors, writes
 from arbograph.operators import markdown as md
 from arbograph.runlog import RunLog, counted
 from arbograph.session import materialise
@@ -85,6 +85,15 @@ def _add_changes(g: DocumentGraph, documents: DataFrame, log: RunLog) -> Documen
         return _stored(writes.insert_temporal_edges(g, found.drop("name", "entity_type")), "temporal_edges")
 
 
+def _markdown_nodes(texts: DataFrame, least_tokens: int | None) -> DataFrame:
+    """Sections of (doc_id, text) with parents, depths and first lines; small ones are merged if ``least_tokens`` is given."""
+    sections = md.md_sections(texts)
+    if least_tokens is not None:
+        lines = sections.select("doc_id", "ord", "line_num")
+        sections = md.md_thinning(sections, least_tokens).join(lines, ["doc_id", "ord"])
+    return structure.section_depth(md.md_tree(sections)).select("doc_id", "ord", "parent_ord", "depth", "title", "text", "line_num")
+
+
 def index_markdown(g: DocumentGraph, documents: DataFrame, extract: Extractor, client: models.Client | None = None, least_tokens: int | None = None, summarise: models.Client | None = None, size: int = 1, log: RunLog | None = None) -> DocumentGraph:
     """Markdown documents (doc_name, doc_group, doc_version, text) added to a graph.
 
@@ -96,16 +105,46 @@ def index_markdown(g: DocumentGraph, documents: DataFrame, extract: Extractor, c
     log = _log(g, log)
     g, ids = _add_documents(g, documents, log)
     texts = documents.join(ids, ["doc_name", "doc_version"]).select("doc_id", "text")
-    sections = md.md_sections(texts)
-    if least_tokens is not None:
-        lines = sections.select("doc_id", "ord", "line_num")
-        sections = md.md_thinning(sections, least_tokens).join(lines, ["doc_id", "ord"])
-    tree = structure.section_depth(md.md_tree(sections))
-    nodes = tree.select("doc_id", "ord", "parent_ord", "depth", "title", "text", F.col("line_num").alias("start_index"), F.lit(None).cast("int").alias("end_index"))
+    nodes = _markdown_nodes(texts, least_tokens).withColumnRenamed("line_num", "start_index").withColumn("end_index", F.lit(None).cast("int"))
     g, new = _add_sections(g, nodes, log, summarise, size)
     return _add_changes(_add_entities(g, new, extract, client, log), ids, log)
 
 
+DESCRIBE = "Say in one sentence what the document with this structure is about, and what tells it from others. Answer with this sentence only."
+
+
+def markdown_structures(
+    documents: DataFrame, least_tokens: int | None = None, summarise: models.Client | None = None, short: int = summaries.SHORT, size: int = 1, node_ids: bool = True, text: bool = False, describe: models.Client | None = None
+) -> DataFrame:
+    """doc_id, doc_name and a nested JSON structure of Markdown documents (doc_id, doc_name, text), without a graph.
+
+    A node has its title and first line and, where asked for, its id, its text and
+    its summary, which is a prefix summary if other nodes are below it; ``describe``
+    adds a description of the document, told from titles and summaries.
+
+    Defined results: a document without headings, or without a text, has an empty
+    structure; a model that fails leaves an empty summary, or no description.
+    """
+    nodes = materialise(structure.node_ids(_markdown_nodes(documents.select("doc_id", "text"), least_tokens)), "nodes")
+    if summarise is not None:
+        made = summaries.summarised(nodes, summarise, short=short, size=size).select("doc_id", "ord", F.col("summary").alias("_summary"))
+        above = nodes.filter("parent_ord is not null").select("doc_id", F.col("parent_ord").alias("ord"), F.lit(True).alias("_above")).distinct()
+        own = F.coalesce("_above", F.lit(False))
+        nodes = nodes.join(made, ["doc_id", "ord"]).join(above, ["doc_id", "ord"], "left")
+        nodes = materialise(nodes.withColumns({"summary": F.when(~own, F.col("_summary")), "prefix_summary": F.when(own, F.col("_summary"))}).drop("_summary", "_above"), "nodes")
+    keys = tuple(k for k in structure.KEYS if (k != "node_id" or node_ids) and (k != "text" or text))
+    trees = documents.select("doc_id", "doc_name").join(structure.nested_json(nodes, keys), "doc_id", "left").withColumn("json", F.coalesce("json", F.lit('{"structure":[]}')))
+    head = ["doc_name"]
+    if describe is not None:
+        untold = materialise(trees.drop("json").join(structure.nested_json(nodes, tuple(k for k in keys if k != "text")), "doc_id"), "untold")
+        told = models.replies(untold, prompts.prompt(DESCRIBE, F.col("json")), describe).select("doc_id", F.trim("answer").alias("doc_description"))
+        trees = trees.join(materialise(told, "described"), "doc_id", "left")
+        head.append("doc_description")
+    own = F.to_json(F.struct(*head))
+    start = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.when(own == "{}", "").otherwise(","))
+    return trees.select("doc_id", "doc_name", F.concat(start, F.substring("json", 2, 2**31 - 1)).alias("json"))
+
+
 def index_pages(g: DocumentGraph, documents: DataFrame, pages: DataFrame, extract: Extractor, client: models.Client, verify: bool = False, summarise: models.Client | None = None, size: int = 1, log: RunLog | None = None) -> DocumentGraph:
     """Paged documents: (doc_name, doc_group, doc_version) and (doc_name, page_no, text, tokens), their contents asked for.
 

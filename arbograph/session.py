@@ -12,6 +12,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,15 +52,39 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what ``materialise`` stores meanwhile once the block ends, with an error too.
+
+    Results must have been written or collected by then: frames that were made
+    within read tables that are gone.  An inner block removes its own tables only.
+    """
+    paths: list[str] = []
+    held = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(held)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps
     reuse the rows, and a lost executor loses none of them.
 
     ``batch_rows``: rows of an Arrow batch meanwhile, for whole texts that go
-    to Python; smaller batches need less memory on both sides.
+    to Python; smaller batches need less memory on both sides.  The table stays
+    until the session's owner clears the folder, or until a ``scratch`` block ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (stored := _SCRATCH.get()) is not None:
+        stored.append(path)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     try:
