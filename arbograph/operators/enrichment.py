@@ -14,6 +14,10 @@ RELATIONSHIP_TYPES = (
 )
 
 
+#: Mentions of a section whose pairs one task builds; of larger sections every pair of such blocks is a task's.
+BLOCK = 2_048
+
+
 def isolated_entities(g: DocumentGraph, min_mentions: int = 2) -> DataFrame:
     """Entities with mentions but no relationship: an anti-join with all ends, mentions counted before it."""
     r = g["entity_relationships"]
@@ -27,11 +31,17 @@ def cooccurring_pairs(g: DocumentGraph, min_shared: int = 2) -> DataFrame:
     """Pairs of entities that share sections and have no relationship in either direction.
 
     Pairs are counted by section id alone; names are joined to the few that
-    pass.  The edges' two directions are folded into one key.
+    pass.  The edges' two directions are folded into one key.  A section with many
+    mentions is cut into blocks by a hash of their entities, and blocks meet in pairs.
     """
     m = g["section_entities"].select("section_id", "entity_id").distinct()
+    # of the sections with more mentions than a block, how many blocks they have
+    cut = g["section_entities"].groupBy("section_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")
+    m = m.join(cut, "section_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("entity_id"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     pairs = (
-        m.withColumnRenamed("entity_id", "entity1_id").join(m.withColumnRenamed("entity_id", "entity2_id"), "section_id")
+        m.select("section_id", F.col("entity_id").alias("entity1_id"), own.alias("block1"), every.alias("block2"))
+        .join(m.select("section_id", F.col("entity_id").alias("entity2_id"), every.alias("block1"), own.alias("block2")), ["section_id", "block1", "block2"])
         .filter("entity1_id < entity2_id").groupBy("entity1_id", "entity2_id").agg(F.count("*").alias("shared_sections"))
         .filter(F.col("shared_sections") >= min_shared)
     )

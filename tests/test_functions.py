@@ -1,5 +1,7 @@
 """Column expressions, sequential algorithms and models, against plain Python."""
 
+import collections
+import itertools
 import json
 import random
 
@@ -268,3 +270,24 @@ def test_resolved_names_take_the_smallest_id(spark):
     keys = spark.createDataFrame([("apple",), ("ear",), ("a",), ("zzz",)], "key string")
     found = {(r.key, r.entity_id) for r in retrieval.containing(names, keys).collect()}
     assert found == {("apple", 1), ("apple", 2), ("ear", 3), ("a", 1), ("a", 2), ("a", 3)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 2_048])
+def test_pairs_of_sections_with_many_mentions(spark, monkeypatch, block):
+    from arbograph.graph import DocumentGraph
+
+    monkeypatch.setattr(enrichment, "BLOCK", block)
+    rng = random.Random(block)
+    mentions = [(1, e) for e in range(20)] * 2 + [(rng.randrange(2, 8), rng.randrange(20)) for _ in range(40)] + [(9, 3)]
+    edges = [(rng.randrange(20), rng.randrange(20)) for _ in range(20)]
+    g = DocumentGraph(spark, {
+        "section_entities": spark.createDataFrame([*mentions, (None, 1), (1, None)], "section_id long, entity_id long"),
+        "entity_relationships": spark.createDataFrame(edges, "source_entity long, target_entity long"),
+        "entities": spark.createDataFrame([(e, f"e{e}", "X") for e in range(20)], "entity_id long, name string, entity_type string"),
+    })
+    expected = collections.Counter()
+    for section in {s for s, _ in mentions}:
+        expected.update(itertools.combinations(sorted({e for s, e in mentions if s == section}), 2))
+    linked = {tuple(sorted(x)) for x in edges}
+    found = {(r.entity1_id, r.entity2_id): r.shared_sections for r in enrichment.cooccurring_pairs(g).collect()}
+    assert found == {pair: n for pair, n in expected.items() if n >= 2 and pair not in linked}
