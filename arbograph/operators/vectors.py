@@ -13,23 +13,55 @@ from arbograph.session import materialise
 ROWS, PROBES, AT_ONCE = 16_384, 8_192, 256
 
 
+BLOCKS = ("key", "size", "row_block", "probe_block")
+
+
+def _hashed(rows: DataFrame, probes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows and probes by pairs of blocks: every block of the one with every block of the other; None if there are no pairs."""
+    count = lambda x, n, name: x.groupBy("key", "size").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    cut = materialise(count(rows, ROWS, "row_blocks").join(count(probes, PROBES, "probe_blocks"), ["key", "size"]), "blocks")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.join(cut, ["key", "size"]).select("key", "size", part("row_blocks").alias("row_block"), every("probe_blocks").alias("probe_block"), "id", "vector")
+    sent = probes.join(cut, ["key", "size"]).select("key", "size", every("row_blocks").alias("row_block"), part("probe_blocks").alias("probe_block"), "id", "vector")
+    return (None, None) if cut.isEmpty() else (held, sent)
+
+
+def _ranges(rows: DataFrame, probes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """As ``_hashed`` with ranges of ids as blocks, without pairs all of whose rows have larger ids than all probes; null ids are in none.
+
+    Ids are counted in steps of half a block, and a block is a run of steps: it
+    ends with the step that fills its half.
+    """
+
+    def cut(x: DataFrame, n: int, name: str) -> tuple[DataFrame, DataFrame]:
+        step = max(n // 2, 1)
+        stepped = x.filter("id is not null").withColumn("step", F.floor(F.col("id") / step))
+        before = F.sum("n").over(Window.partitionBy("key", "size").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+        counts = stepped.groupBy("key", "size", "step").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+        return stepped, materialise(counts.select("key", "size", "step", "low", "high", F.floor(F.coalesce(before, F.lit(0)) / step).alias(name)), "blocks")
+
+    (rows, row_cut), (probes, probe_cut) = cut(rows, ROWS, "row_block"), cut(probes, PROBES, "probe_block")
+    lows = row_cut.groupBy("key", "size", "row_block").agg(F.min("low").alias("low"))
+    highs = probe_cut.groupBy("key", "size", "probe_block").agg(F.max("high").alias("high"))
+    pairs = materialise(lows.join(highs, ["key", "size"]).filter("low < high").select(*BLOCKS), "pairs")  # a row a task
+    place = lambda x, steps, name: x.join(steps.select("key", "size", "step", name), ["key", "size", "step"]).join(pairs, ["key", "size", name]).select(*BLOCKS, "id", "vector")
+    return (None, None) if pairs.isEmpty() else (place(rows, row_cut, "row_block"), place(probes, probe_cut, "probe_block"))
+
+
 def _nearest(rows: DataFrame, probes: DataFrame, k: int, below: float, earlier: bool) -> DataFrame:
     """(probe_id, id, score) of the k rows most similar to each probe; both are (id, key, vector).
 
     Rows and probes of a key, with vectors of equal length, are cut into blocks
     of bounded size by their counts, and every block of probes meets every
     block of rows, so a key that most rows share is spread over tasks.  Of a
-    pair of blocks only each probe's k best are kept.
+    pair of blocks only each probe's k best are kept.  With ``earlier``, for rows with
+    smaller ids than the probe's only, blocks are ranges of ids, and those that lie
+    behind a block of probes aren't sent there: about half of all pairs.
     """
     spark = rows.sparkSession
     rows, probes = (x.select(F.col("id").alias("id"), F.col("key").alias("key"), F.size("vector").alias("size"), F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null and key is not null") for x in (rows, probes))
-    count = lambda x, n, name: x.groupBy("key", "size").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
-    cut = materialise(count(rows, ROWS, "row_blocks").join(count(probes, PROBES, "probe_blocks"), ["key", "size"]), "blocks")
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["key", "size", "row_block", "probe_block"]
-    held = rows.join(cut, ["key", "size"]).select("key", "size", part("row_blocks").alias("row_block"), every("probe_blocks").alias("probe_block"), "id", "vector")
-    sent = probes.join(cut, ["key", "size"]).select("key", "size", every("row_blocks").alias("row_block"), part("probe_blocks").alias("probe_block"), "id", "vector")
+    held, sent = (_ranges if earlier else _hashed)(rows, probes)
 
     def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         vectors = table.column("vector").combine_chunks()
@@ -56,9 +88,9 @@ def _nearest(rows: DataFrame, probes: DataFrame, k: int, below: float, earlier:
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(dict(zip(("probe_id", "id", "score"), columns, strict=True)))
 
-    if cut.isEmpty():
+    if held is None:
         return spark.createDataFrame([], "probe_id long, id long, score double")
-    return held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(meet, "probe_id long, id long, score double")
+    return held.groupBy(*BLOCKS).cogroup(sent.groupBy(*BLOCKS)).applyInArrow(meet, "probe_id long, id long, score double")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:

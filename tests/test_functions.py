@@ -291,3 +291,23 @@ def test_pairs_of_sections_with_many_mentions(spark, monkeypatch, block):
     linked = {tuple(sorted(x)) for x in edges}
     found = {(r.entity1_id, r.entity2_id): r.shared_sections for r in enrichment.cooccurring_pairs(g).collect()}
     assert found == {pair: n for pair, n in expected.items() if n >= 2 and pair not in linked}
+
+
+def test_blocks_behind_a_probe_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROWS", 20)
+    monkeypatch.setattr(vectors, "PROBES", 20)
+    ids = [*range(100), *range(5_000, 5_100), *range(90_000, 99_000, 90), -7, None]
+    rows = spark.createDataFrame([(i, "a", 2, [1.0, 0.0]) for i in ids] + [(1, "b", 2, [1.0, 0.0])], "id long, key string, size int, vector array<double>")
+    held, sent = (list(map(tuple, x.select(*vectors.BLOCKS, "id").collect())) for x in vectors._ranges(rows, rows))
+    sizes = collections.Counter(x[:4] for x in held)
+    assert max(sizes.values()) <= 20 and {x[:4] for x in sent} == set(sizes)
+    n = len({x[3] for x in sent if x[0] == "a"})  # rows and probes have the same blocks
+    assert 0 < len(sizes) <= n * (n + 1) / 2
+    # each pair with a smaller id meets once
+    by_block = collections.defaultdict(list)
+    for *block, i in held:
+        by_block[tuple(block)].append(i)
+    met = collections.Counter((i, p) for *block, p in sent for i in by_block[tuple(block)] if i < p)
+    own = sorted(i for i in ids if i is not None)
+    assert met == collections.Counter(itertools.combinations(own, 2))
+    assert vectors._ranges(rows.filter("key = 'b'"), rows) == (None, None)
