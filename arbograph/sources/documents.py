@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -71,10 +72,15 @@ def document_name(path: F.Column) -> F.Column:
 
 
 def read_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:
-    """Pages (doc_id, doc_name, page_no, text) of binary files by a pluggable extractor, one file at a time."""
+    """Pages (doc_id, doc_name, page_no, text) of binary files by a pluggable extractor, one file at a time.
+
+    A folder's files of other kinds are left out; a path to one such file is refused.
+    """
     if "://" not in path and not os.path.exists(path):
         raise FileNotFoundError(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    if os.path.isfile(path) and not fnmatch.fnmatch(os.path.basename(path).lower(), glob.lower()):
+        raise ValueError(f"{path} is no {glob} file")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*" if os.path.isfile(path) else glob).load(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

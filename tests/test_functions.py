@@ -192,6 +192,10 @@ def test_sources(spark, tmp_path):
     assert [(r.doc_name, r.page_no, r.text) for r in pages] == [("b.pdf", 1, "one"), ("b.pdf", 2, "two")]
     with pytest.raises(FileNotFoundError):
         source.read_pages(spark, str(tmp_path / "none"), None)
+    with pytest.raises(ValueError):
+        source.read_pages(spark, str(tmp_path / "a.md"), None)
+    (tmp_path / "c.PDF").write_bytes(b"three")
+    assert [r.text for r in source.read_pages(spark, str(tmp_path / "c.PDF"), lambda data: [data.decode()]).collect()] == ["three"]
 
 
 def test_structures_survive_a_round_trip(spark, tmp_path):
