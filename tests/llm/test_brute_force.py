@@ -331,6 +331,34 @@ def test_recall(spark, n, hot):
     assert hits >= 0.95 * wanted
 
 
+@pytest.mark.parametrize("kind", ["tight", "large", "small", "elsewhere"])
+def test_recall_on_other_rows(spark, kind):
+    rng = np.random.default_rng(8)
+    n, d = (6000, 64) if kind == "tight" else (3000, 32)
+    x = rng.normal(size=(n, d))
+    asked = np.arange(0, n, 20)
+    if kind == "tight":  # a cluster's rows differ by less than what one level of codes leaves over
+        x = rng.normal(size=(10, d))[rng.integers(0, 10, n)] + 1e-4 * x
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    elif kind == "large":  # squares beyond single precision
+        x = 1e25 * x
+    elif kind == "small":
+        x = 1e-30 * x
+    else:  # queries that aren't like the rows
+        x = rng.normal(size=(8, d))[rng.integers(0, 8, n)] + 0.3 * x
+        x[asked] = rng.normal(size=(len(asked), d))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), 20).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in asked:
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        hits += len(found[int(q)] & set(np.lexsort((np.arange(n), -s))[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(asked), hits / (20 * len(asked))
+
+
 def test_clustered_vectors_need_few_visits(spark):
     rng = np.random.default_rng(5)
     n = 50_000
