@@ -18,7 +18,7 @@ a bucket.  Exact copies are first reduced to one representative, so that
 buckets hold different texts.
 
 *Checks.*  In each bucket the exact overlap of all members is computed in
-blocks of bounded size.  If a bucket needs several blocks, its most linked
+blocks of a bounded number of texts and words.  If a bucket needs several blocks, its most linked
 member is compared with all of them, then every member that this leaves
 outside the main component is, in chunks: no link that matters to the classes
 is lost, no bucket must fit in one task, and no pairs are emitted.
@@ -53,8 +53,10 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: At a similarity of 0.8 all bands miss with a probability of 6e-5.
 BANDS, BAND_ROWS = 32, 6
-#: Members of a bucket that are compared within one task.
-BLOCK = 1024
+#: Members of a bucket that are compared at once within one task, and their words together.
+BLOCK, BLOCK_WORDS = 1024, 262_144
+#: Shingles whose overlaps are added up at a time, and rows of a table of overlaps that are judged at a time.
+COLUMNS, STRIP = 1_024, 128
 #: Candidates' ids are broadcast up to this number (16 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 250_000
@@ -196,7 +198,7 @@ def _runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 
 
 def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, digest of the words, buckets and a hash (pick) of every text with a word."""
+    """doc_id, digest of the words, buckets, a hash (pick) and the number of words of every text with a word."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -215,15 +217,16 @@ def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) ->
                         batch.column(2).slice(low, high - low),
                         pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1))),
+                        pa.array(sizes),
                     ],
-                    ["doc_id", "pick", "digest", "buckets"],
+                    ["doc_id", "pick", "digest", "buckets", "words"],
                 )
 
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         .filter("doc_id is not null and text is not null")
         .select("doc_id", "text", F.xxhash64("text").alias("pick"))
-        .mapInArrow(sketch, "doc_id long, pick long, digest binary, buckets array<long>")
+        .mapInArrow(sketch, "doc_id long, pick long, digest binary, buckets array<long>, words long")
         .filter("digest is not null")
     )
 
@@ -242,7 +245,7 @@ def overlaps(text, shingle, weight, n: int, left: int) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     text, column = text[order], column[order]
     out = np.zeros((left, n), np.float32)
-    width = 4096
+    width = COLUMNS
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         low, high = np.searchsorted(column, (start, start + width))
         table = np.zeros((n, width), np.float32)
@@ -251,12 +254,20 @@ def overlaps(text, shingle, weight, n: int, left: int) -> np.ndarray:
     return out
 
 
-def _linked(texts: Sequence[str], left: int, threshold: float) -> np.ndarray:
+def _linked(texts: pa.Array, left: int, threshold: float) -> np.ndarray:
+    """Which of the first ``left`` texts are near duplicates of which of all; words are strings for a run of texts at a time only."""
     shingler = Shingler()
-    text, shingle, weight = shingler.bags(*shingler.word_hashes(texts))
+    runs = [shingler.word_hashes(texts.slice(low, high - low).to_pylist()) for low, high in _runs(texts, CHUNK_BYTES)]
+    shingler.cache.clear()
+    text, shingle, weight = shingler.bags(np.concatenate([flat for flat, _ in runs]), np.concatenate([sizes for _, sizes in runs]))
+    del runs
     total = np.bincount(text, weights=weight, minlength=len(texts))
-    both = overlaps(text, shingle, weight, len(texts), left).astype(np.float64)
-    return (both >= threshold * (total[:left, None] + total[None, :] - both) - 1e-9) & (both > 0)
+    both = overlaps(text, shingle, weight, len(texts), left)
+    out = np.empty(both.shape, bool)
+    for low in range(0, left, STRIP):
+        part = both[low : low + STRIP].astype(np.float64)
+        out[low : low + STRIP] = (part >= threshold * (total[low : min(low + STRIP, left), None] + total[None, :] - part) - 1e-9) & (part > 0)
+    return out
 
 
 def _components(links: np.ndarray) -> np.ndarray:
@@ -277,7 +288,7 @@ def _within_block(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
         ids = table.column("doc_id").to_numpy()
-        links = _linked(table.column("text").to_pylist(), len(ids), threshold)
+        links = _linked(table.column("text").combine_chunks(), len(ids), threshold)
         label = _components(links)
         return pa.table(
             {
@@ -299,9 +310,11 @@ def _across_blocks(threshold: float):
         table = table.sort_by([("traveller", "descending"), ("doc_id", "ascending")])
         n = int(table.column("traveller").to_numpy(zero_copy_only=False).sum())
         ids, root = table.column("doc_id").to_numpy(), table.column("root").to_numpy()
-        links = _linked(table.column("text").to_pylist(), n, threshold)[:, n:]
-        found = {(ids[a], root[n + b]) for a, b in zip(*np.nonzero(links), strict=True)}
-        out = np.array(sorted(found), np.int64).reshape(-1, 2)
+        links = _linked(table.column("text").combine_chunks(), n, threshold)[:, n:]
+        roots, at = np.unique(root[n:], return_inverse=True)
+        a, b = np.nonzero(links)
+        found = np.unique(a * len(roots) + at[b])
+        out = np.stack([ids[found // max(1, len(roots))], roots[found % max(1, len(roots))]], axis=1)
         key = {k: table.column(k)[0].as_py() for k in ("bucket", "block")}
         return pa.table(
             {
@@ -320,19 +333,19 @@ def links(docs: DataFrame, prints: DataFrame, threshold: float = THRESHOLD, bloc
 
     ``prints`` must be stored rows of ``fingerprints``, one for each text.
     """
-    members = prints.select("doc_id", F.explode("buckets").alias("bucket"))
+    members = prints.select("doc_id", "words", F.explode("buckets").alias("bucket"))
     hashed = F.xxhash64("doc_id")
     shared = materialise(
         members.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.sum(F.shiftright(hashed, 20)).alias("s"), F.bit_xor(hashed).alias("x"))
+        .agg(F.count("*").alias("n"), F.sum(F.shiftright(hashed, 20)).alias("s"), F.bit_xor(hashed).alias("x"), F.sum("words").alias("words"))
         .filter("n > 1")
         .groupBy("n", "s", "x")  # buckets of the same members
-        .agg(F.min("bucket").alias("bucket"))
-        .select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")),
+        .agg(F.min("bucket").alias("bucket"), F.max("words").alias("words"))
+        .select("bucket", F.ceil(F.greatest(F.col("n") / block, F.least(F.col("n"), F.col("words") / BLOCK_WORDS))).cast("int").alias("blocks")),
         "shared",
     )
     members = materialise(
-        members.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int")),
+        members.drop("words").join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int")),
         "members",
     )
     wanted = members.select("doc_id").distinct().join(prints.select("doc_id", "pick"), "doc_id")
@@ -413,7 +426,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     prints = materialise(fingerprints(docs), "fingerprints", BATCH_ROWS)
     copies = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("first")), "copies")
     firsts = prints.join(copies.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    one = firsts.groupBy("doc_id").agg(F.min(F.struct("pick", "digest", "buckets")).alias("p")).select("doc_id", "p.*")
+    one = firsts.groupBy("doc_id").agg(F.min(F.struct("pick", "digest", "buckets", "words")).alias("p")).select("doc_id", "p.*")
     found = links(docs, one, threshold)
     same = prints.select("digest", "doc_id").join(copies, "digest").filter("doc_id <> first")
     found = found.unionByName(same.select("doc_id", F.col("first").alias("other")))

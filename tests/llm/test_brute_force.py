@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
@@ -186,6 +187,29 @@ def test_classes_equal_all_pairs(spark, block, monkeypatch):
     assert found == classes(texts)
 
 
+def test_blocks_are_bounded_by_words(spark, monkeypatch):
+    texts = copies(6)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(bagminhash, "BLOCK_WORDS", 500)
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicate_classes(docs).collect()} == classes(texts)
+
+
+def test_memory_of_a_block():
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(5_000)])
+    own = lambda: np.where(np.arange(200) == rng.integers(200), rng.choice(words, 200), base)
+    base = rng.choice(words, 200)
+    texts = [" ".join(own()) for _ in range(1024)]
+    table = pa.table({"bucket": [1] * 1024, "block": pa.array([0] * 1024, pa.int32()), "doc_id": range(1024), "text": texts})
+    run, _ = bagminhash._within_block(0.8)
+    tracemalloc.start()
+    found = run(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.column("root").to_pylist() == [0] * 1024
+    assert peak < 32e6, peak
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64)
