@@ -24,6 +24,8 @@ STEP = ("question_id", "entity_ord", "row_ord", "node_type", "node_id", "node_la
 
 #: Runs of characters of keys that are sent to the tasks at most.
 SENT_RUNS = 100_000
+#: Characters of keys that are sent to the tasks with their rarest runs at most.
+SENT_CHARS = 4_000_000
 
 
 def _gram(text: Column, n: int):
@@ -42,7 +44,8 @@ def containing(names: DataFrame, keys: DataFrame) -> DataFrame:
     A key is met through its rarest run of three characters, or as a whole if it is
     shorter, by equality, so only names that share it are compared.  Of the names
     only runs that some key has leave the scan, where so many keys' runs can be
-    sent to the tasks.
+    sent to the tasks; where the keys can, no run leaves it. The names' runs are
+    never sent, which Spark would do by the size of the names' files.
     """
     own = keys.filter("key <> ''").select("key", F.explode(F.when(F.length("key") >= 3, _grams(F.col("key"), (3,))).otherwise(F.array("key"))).alias("gram"))
     own = materialise(own, "grams")
@@ -56,6 +59,10 @@ def containing(names: DataFrame, keys: DataFrame) -> DataFrame:
     runs = runs.join(asked, "gram", "left_semi")
     counted = runs.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = own.join(counted, "gram").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    if own.select("key").distinct().agg(F.sum(F.length("key"))).first()[0] <= SENT_CHARS:
+        rarest = F.broadcast(rarest)
+    else:
+        runs = runs.hint("merge")
     return rarest.join(runs, "gram").filter(F.contains("low", "key")).select("key", "entity_id").distinct()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbograph.graph import DocumentGraph
-from arbograph.session import read_table
+from arbograph.session import read_table, sent_by_rows
 
 _DOC = "(o_custkey * 10) + (CAST(year(o_orderdate) AS BIGINT) - 1995) + 1"
 _PRIORITY = "CAST(substring(o_orderpriority, 1, 1) AS BIGINT)"
@@ -182,7 +182,7 @@ def load_graph(spark: SparkSession, sf_dir: str) -> DocumentGraph:
             "documents": documents(orders),
             "sections": sections(orders),
             "section_hierarchy": hierarchy(orders),
-            "entities": entities(part, read("supplier")),
+            "entities": sent_by_rows(entities(part, read("supplier"))),
             "section_entities": mentions(lineitem),
             "entity_relationships": relationships(lineitem, part),
             "sessions": sessions,
