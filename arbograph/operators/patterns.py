@@ -165,13 +165,14 @@ def entity_paths_by_name(g: DocumentGraph, pairs: DataFrame, limit: int | None =
     ends = {}
     for end in ("source", "target"):
         asked = asked_patterns(pairs.select(F.col(f"{end}_query").alias("query")))
-        ends[end] = named.join(asked, contains("name", F.col("query"))).select(F.col("query").alias(f"{end}_query"), F.col("entity_id").alias(f"{end}_id"))
+        ends[end] = named.join(asked, contains("name", F.col("query"))).select(F.col("query").alias(f"{end}_query"), F.col("entity_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")).distinct()
     r = g["entity_relationships"].select(F.col("source_entity").alias("source_id"), F.col("target_entity").alias("mid_id"))
     s = g["entity_relationships"].select(F.col("source_entity").alias("mid_id"), F.col("target_entity").alias("target_id"))
     # ids that meet over some middle, so that pairs of ends aren't formed
     met = r.join(ends["source"].select("source_id").distinct(), "source_id", "left_semi").join(s.join(ends["target"].select("target_id").distinct(), "target_id", "left_semi"), "mid_id")
-    hits = entity_paths(g, met).join(ends["source"], "source_id").join(ends["target"], "target_id").join(pairs, ["source_query", "target_query"])
-    order = Window.partitionBy("source_query", "target_query").orderBy("source_id", "mid_id", "target_id", "r1_type", "r2_type")
+    # by name too: an id that several entities have leads to all their names
+    hits = entity_paths(g, met).join(ends["source"], ["source_id", "source_name"]).join(ends["target"], ["target_id", "target_name"]).join(pairs, ["source_query", "target_query"])
+    order = Window.partitionBy("source_query", "target_query").orderBy("source_id", "mid_id", "target_id", "r1_type", "r2_type", "source_name", "mid_name", "target_name", "mid_type")
     return hits.withColumn("ord", F.row_number().over(order)).filter(F.lit(True) if limit is None else F.col("ord") <= limit).select("source_query", "target_query", "ord", *PATH)
 
 

@@ -133,3 +133,14 @@ def test_paths_by_ids_and_by_names(spark, graph):
     pairs = spark.createDataFrame([("ac%e", "cet"), ("eta", "ETA"), ("none", "eta")], "source_query string, target_query string")
     by_name = {(r.source_query, r.source_name, r.target_name) for r in patterns.entity_paths_by_name(graph, pairs).collect()}
     assert by_name == {("ac%e", "Acme", "Ceta"), ("eta", "Beta", "Eta")}
+
+
+def test_paths_by_names_of_entities_that_share_an_id(spark):
+    rows = {
+        "entities": ([(1, "Acme", "X"), (1, "Other", "X"), (2, "Mid", "X"), (2, "Also", "X"), (3, "Ceta", "X"), (3, "Ceta", "X"), (3, "Zeta", "X")], "entity_id long, name string, entity_type string"),
+        "entity_relationships": ([(1, 2, "SUPPLIES"), (2, 3, "OWNS")], "source_entity long, target_entity long, relationship string"),
+    }
+    g = DocumentGraph.from_tables(spark, {name: spark.createDataFrame(*table) for name, table in rows.items()})
+    pairs = spark.createDataFrame([("acme", "ceta")], "source_query string, target_query string")
+    found = [(r.ord, r.source_name, r.mid_name, r.target_name) for r in patterns.entity_paths_by_name(g, pairs).orderBy("ord").collect()]
+    assert found == [(1, "Acme", "Also", "Ceta"), (2, "Acme", "Also", "Ceta"), (3, "Acme", "Mid", "Ceta"), (4, "Acme", "Mid", "Ceta")]
