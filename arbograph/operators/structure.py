@@ -9,9 +9,10 @@ from __future__ import annotations
 import bisect
 import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,16 +240,48 @@ def group_pages(tokens: list[int], max_tokens: int, overlap: int = 1) -> list[tu
         starts.append(max(cut - overlap, 0))
 
 
+def _groups_of(docs: pa.Array, numbers: pa.Array, tokens: np.ndarray, starts: np.ndarray, max_tokens: int, overlap: int) -> pa.RecordBatch:
+    """Groups of the documents that begin at ``starts``; those that fit one group go without a loop."""
+    ends = np.append(starts[1:], len(tokens))
+    own, group, first, last = starts, np.zeros(len(starts), np.int64), starts, ends - 1
+    large = np.add.reduceat(tokens, starts) > max_tokens
+    if large.any():
+        cut = [(s, k, s + a, s + b) for s, e in zip(starts[large].tolist(), ends[large].tolist()) for k, (a, b) in enumerate(group_pages(tokens[s:e].tolist(), max_tokens, overlap))]
+        own, group, first, last = (np.concatenate([x[~large], y]) for x, y in zip((own, group, first, last), np.array(cut, np.int64).T))
+    sums = np.concatenate([[0], np.cumsum(tokens)])
+    columns = [docs.take(pa.array(own)).cast("int64"), pa.array(group, "int32"), *(numbers.take(pa.array(x)).cast("int32") for x in (first, last)), pa.array(sums[last + 1] - sums[first], "int64")]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "group_no", "first_page", "last_page", "tokens"])
+
+
 def page_groups(pages: DataFrame, max_tokens: int = 20_000, overlap: int = 1) -> DataFrame:
-    """doc_id, group_no, first_page, last_page and tokens; sequential within a document, so one document is one call."""
+    """doc_id, group_no, first_page, last_page and tokens.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_no")
-        numbers, tokens = pdf["page_no"].tolist(), pdf["tokens"].tolist()
-        rows = [(pdf["doc_id"].iloc[0], k, numbers[a], numbers[b], sum(tokens[a : b + 1])) for k, (a, b) in enumerate(group_pages(tokens, max_tokens, overlap))]
-        return pd.DataFrame(rows, columns=["doc_id", "group_no", "first_page", "last_page", "tokens"])
+    Sequential within a document only: tasks have whole documents in order, and
+    a batch's documents go through one call; the last one waits for the next batch.
+    """
 
-    return pages.select("doc_id", "page_no", "tokens").groupBy("doc_id").applyInPandas(run, "doc_id long, group_no int, first_page int, last_page int, tokens long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                if held and held[-1].column(0)[-1] == batch.column(0)[0] and batch.column(0)[0] == batch.column(0)[-1]:
+                    held.append(batch)  # the same document goes on
+                    continue
+                held.append(batch)
+            if not held:
+                return
+            docs, numbers, tokens = (pa.concat_arrays([b.column(k) for b in held]) for k in range(3))
+            known, keys, sizes = docs.is_valid().to_numpy(False), docs.fill_null(0).to_numpy(False), tokens.to_numpy(False).astype(np.int64)
+            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]) | (known[1:] != known[:-1])) + 1])
+            done = len(keys) if batch is None else starts[-1]
+            held = [pa.RecordBatch.from_arrays([docs[done:], numbers[done:], tokens[done:]], ["doc_id", "page_no", "tokens"])] if done < len(keys) else []
+            if done:
+                yield _groups_of(docs[:done], numbers[:done], sizes[:done], starts[starts < done], max_tokens, overlap)
+
+    whole = pages.select("doc_id", "page_no", "tokens").repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_last("page_no"))
+    return whole.mapInArrow(run, "doc_id long, group_no int, first_page int, last_page int, tokens long")
 
 
 NODE = "title string, node_id string, start_index int, end_index int, summary string, nodes string"

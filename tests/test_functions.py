@@ -94,6 +94,25 @@ def test_group_pages_covers_all_pages_within_bounds():
     assert structure.group_pages([], 100) == []
 
 
+def test_page_groups_of_many_documents_in_batches(spark):
+    rng = random.Random(5)
+    docs = {d: [rng.randrange(60) for _ in range(rng.choice([1, 2, 5, 30]))] for d in [*range(40), None]}
+    rows = [(d, k, t) for d, tokens in docs.items() for k, t in enumerate(tokens, 1)]
+    rng.shuffle(rows)
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, tokens long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "7")
+        for limit in (50, 200, 10**6):
+            found = structure.page_groups(pages, limit)
+            expected = [(d, k, a + 1, b + 1, sum(t[a : b + 1])) for d, t in docs.items() for k, (a, b) in enumerate(structure.group_pages(t, limit))]
+            assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+    finally:
+        spark.conf.set(key, before)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()  # a call a document takes milliseconds each
+
+
 def test_thinning_merges_what_is_below(spark):
     rng = random.Random(4)
     rows = []
