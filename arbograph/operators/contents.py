@@ -36,6 +36,8 @@ from arbograph.session import materialise
 CHECK_PAGES = 20
 #: Pages that one round asks for.
 WAVE_PAGES = 5
+#: Open documents whose ids are sent to the tasks, so that only their pages are dealt out, at most.
+SENT_DOCUMENTS = 100_000
 #: Entries that a later part of a document is shown.
 RECENT = 10
 #: Rounds in which wrong entries are asked for again.
@@ -80,17 +82,22 @@ def contents_pages(pages: DataFrame, starts: DataFrame, client: models.Client, c
     The run begins on one of the first ``check_pages`` pages and ends before the
     first page that is said to be none; pages of which nothing is said don't end
     it.  A round asks for the next ``wave`` pages of the documents whose run isn't
-    at its end.
+    at its end, or for as many as the run has so far, so few rounds meet long runs
+    and at most as many pages are asked for in vain.
     """
     last = pages.groupBy("doc_id").agg(F.max("page_no").cast("int").alias("last"))
     state = starts.join(last, "doc_id").select("doc_id", F.col("start").cast("int").alias("at"), F.lit(None).cast("int").alias("first"), "last")
     found = None
     while True:
-        end = F.least(F.col("at") + wave - 1, F.col("last"), F.when(F.col("first").isNull(), check_pages).otherwise(F.col("last")))
+        end = F.least(F.col("at") + F.greatest(F.lit(wave), F.col("at") - F.col("first")) - 1, F.col("last"), F.when(F.col("first").isNull(), check_pages).otherwise(F.col("last")))
         state = state.withColumn("end", end.cast("int")).filter("at <= end")
-        if state.isEmpty():
+        begin, stop, n = state.agg(F.min("at"), F.max("end"), F.count("*")).first()
+        if begin is None:
             return found if found is not None else pages.select("doc_id", "page_no").filter("false")
-        asked = _page_of(state.withColumn("page_no", F.explode(F.sequence("at", "end"))), pages)
+        held = pages.filter(F.col("page_no").between(begin, stop))  # other pages aren't dealt out
+        if n <= SENT_DOCUMENTS:
+            held = held.join(F.broadcast(state.select("doc_id")), "doc_id", "left_semi")
+        asked = _page_of(state.withColumn("page_no", F.explode(F.sequence("at", "end"))), held)
         told = _ask(asked, client, DETECT, F.coalesce("text", F.lit("")))
         told = materialise(told.select("doc_id", "page_no", "first", "end", "last", _word(F.col("answer"), "toc_detected").alias("said")), "detected")
         first = F.coalesce(F.first("first"), F.min(F.when(F.col("said") == "yes", F.col("page_no"))))

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbograph.functions import models
 from arbograph.graph import DocumentGraph
@@ -334,3 +335,22 @@ def test_answers_that_end_by_length_go_on(spark):
 
 def test_scripted_tables_are_json():
     assert json.loads(scripted().chat(f"{contents.TRANSFORM}\n\n1|Ax|2;"))["table_of_contents"][0]["page"] == 2
+
+
+def test_long_runs_of_contents_pages_take_few_rounds(spark, monkeypatch):
+    def said(d, k):
+        return {1: "yes" if k <= 250 else "no", 2: "no" if k < 4 else "yes", 3: ("no", "yes", "unclear")[k % 3], 4: "no"}[d]
+
+    rounds, store = [], contents.materialise
+    monkeypatch.setattr(contents, "materialise", lambda rows, name: (rounds.append(name), store(rows, name))[1])
+    last = {1: 300, 2: 60, 3: 40, 4: 30}
+    pages = spark.createDataFrame([(d, k, said(d, k)) for d in last for k in range(1, last[d] + 1)], "doc_id long, page_no int, text string")
+
+    class Reader:
+        def chat(self, prompt):
+            return json.dumps({"toc_detected": prompt.rsplit("\n\n", 1)[1]})
+
+    starts = pages.select("doc_id").distinct().withColumn("start", F.lit(1))
+    found = {(r.doc_id, r.page_no) for r in contents.contents_pages(pages, starts, Reader()).collect()}
+    assert found == {(1, k) for k in range(1, 251)} | {(2, k) for k in range(4, 61)} | {(3, 1)}
+    assert rounds.count("detected") <= 10
