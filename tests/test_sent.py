@@ -10,7 +10,7 @@ from arbograph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Queries over names of entities.
-NAMED = ["resolve_entity_names", "intent_comparison"]
+NAMED = ["resolve_entity_names", "intent_comparison", "question_answers"]
 
 
 @pytest.fixture(scope="module")
